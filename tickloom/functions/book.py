@@ -7,14 +7,13 @@ is in :data:`UNITS`; the fee is the round-trip cost in basis points.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import ratio, ratio_if_positive
 
 FEE_BPS = 23.0
+LEVEL_COLUMNS = ("bid_px", "ask_px", "bid_qty", "ask_qty")
 
 # The unit of measurement of each column.
 UNITS = {
@@ -46,7 +45,7 @@ def level(side: str, i: int) -> Column:
 
 
 def level_sum(side: str, first: int, last: int) -> Column:
-    return reduce(lambda a, b: a + b, [level(side, i) for i in range(first, last + 1)])
+    return F.expr(" + ".join(f"{side}[{i - 1}]" for i in range(first, last + 1)))
 
 
 def mid() -> Column:
@@ -149,24 +148,24 @@ def rolling_zscore(
     return F.when(F.count(value).over(frame) >= min_observations, score)
 
 
-def order_flow_imbalance(window: WindowSpec, levels: int) -> Column:
-    """Net change of resting demand between consecutive quotes, summed over the first levels."""
+def previous_levels(df: DataFrame, window: WindowSpec) -> DataFrame:
+    """Add the previous quote's level arrays, which :func:`order_flow_imbalance` reads."""
+    return df.withColumns({f"_prev_{c}": F.lag(c, 1).over(window) for c in LEVEL_COLUMNS})
 
-    def at(i: int) -> Column:
-        def before(name: str) -> Column:
-            return F.element_at(F.lag(name, 1).over(window), i)
 
-        bid, ask, bid_size, ask_size = (level(c, i) for c in ("bid_px", "ask_px", "bid_qty", "ask_qty"))
-        bid0, ask0 = before("bid_px"), before("ask_px")
-        demand = F.when(bid >= bid0, bid_size).otherwise(0.0) - F.when(
-            bid <= bid0, before("bid_qty")
-        ).otherwise(0.0)
-        supply = F.when(ask <= ask0, ask_size).otherwise(0.0) - F.when(
-            ask >= ask0, before("ask_qty")
-        ).otherwise(0.0)
-        return F.when(bid0.isNotNull(), demand - supply)
+def order_flow_imbalance(levels: int) -> Column:
+    """Net change of resting demand since the previous quote, summed over the first levels.
 
-    return reduce(lambda a, b: a + b, [at(i) for i in range(1, levels + 1)])
+    Written as SQL text: ten levels would be hundreds of Column objects.
+    """
+    term = (
+        "if(bid_px[{i}] >= _prev_bid_px[{i}], bid_qty[{i}], 0D)"
+        " - if(bid_px[{i}] <= _prev_bid_px[{i}], _prev_bid_qty[{i}], 0D)"
+        " - if(ask_px[{i}] <= _prev_ask_px[{i}], ask_qty[{i}], 0D)"
+        " + if(ask_px[{i}] >= _prev_ask_px[{i}], _prev_ask_qty[{i}], 0D)"
+    )
+    total = " + ".join(f"({term.format(i=i)})" for i in range(levels))
+    return F.expr(f"CASE WHEN _prev_bid_px IS NOT NULL THEN {total} END")
 
 
 def signed_flow(window: WindowSpec, size: int, buy: str = "buy_volume", sell: str = "sell_volume") -> Column:
@@ -175,9 +174,17 @@ def signed_flow(window: WindowSpec, size: int, buy: str = "buy_volume", sell: st
     return F.when(F.count(F.lit(1)).over(frame) == size, imbalance(bought, sold))
 
 
-def price_drop_count(price: str, window: WindowSpec, size: int = 50) -> Column:
-    """How often ``price`` fell from one row to the next in the last ``size`` rows."""
-    return rolling_sum(price, window, size)
+def price_dropped(price: str, window: WindowSpec) -> Column:
+    """1.0 where ``price`` is below its previous value; NULL on the first row."""
+    return (F.col(price) < F.lag(price, 1).over(window)).cast("double")
+
+
+def trade_event_indicator(buy: str = "buy_volume", sell: str = "sell_volume") -> Column:
+    return ((F.col(buy) + F.col(sell)) > 0).cast("double")
+
+
+def traded_volume(buy: str = "buy_volume", sell: str = "sell_volume") -> Column:
+    return F.col(buy) + F.col(sell)
 
 
 def over_qbar(value: Column, qbar: Column) -> Column:

@@ -31,7 +31,8 @@ def winsorise(df: DataFrame, keys: Sequence[str], value: str, upper: float) -> D
     joined = df.join(caps, list(keys), "left") if keys else df.withColumn(
         "_cap", caps.select("_cap").scalar()
     )
-    return joined.withColumn(value, F.least(F.col(value), F.col("_cap"))).drop("_cap")
+    over = F.col(value) > F.col("_cap")
+    return joined.withColumn(value, F.when(over, F.col("_cap")).otherwise(F.col(value))).drop("_cap")
 
 
 def clip_to_domain(df: DataFrame, columns: Sequence[str], domain: DataFrame) -> DataFrame:

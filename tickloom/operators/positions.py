@@ -92,6 +92,26 @@ def sorted_positions(
     return positions_by_piece(ranged, keys, F.col("_range"), order, out).drop("_range")
 
 
+def sorted_running_total(
+    df: DataFrame, order: Sequence[Column], weight: str, out: str, pieces: int | None = None
+) -> DataFrame:
+    """Running sum of ``weight`` along a global order, current row included."""
+    count = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(
+        df.repartitionByRange(count, *order).withColumn("_range", F.spark_partition_id())
+    )
+    sums = ranged.groupBy("_range").agg(F.sum(weight).alias("_sum"))
+    # One row per range: as many as the job has partitions.
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        ranged.join(offsets, "_range")
+        .withColumn(out, F.sum(weight).over(inside) + F.col("_offset"))
+        .drop("_range", "_offset")
+    )
+
+
 def tile(position: Column, total: Column, tiles: int) -> Column:
     """0-based tile of a 1-based position; the first ``total % tiles`` tiles get one more row."""
     zero = position - 1

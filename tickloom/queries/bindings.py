@@ -60,26 +60,31 @@ e AS (
 # --- derived order book ------------------------------------------------------
 
 
-def with_book(df: DataFrame) -> DataFrame:
-    e = F.col("event_id")
-    drift = 10000 + 5 * ((e * 7919) % 41 - 20)
-    best_bid = drift - 5 * (1 + e % 3)
-    best_ask = drift + 5 * (1 + F.floor(e / 3) % 3)
+BOOK_SIDES = {
+    "bid_px": "{bid} - 5 * {k}",
+    "ask_px": "{ask} + 5 * {k}",
+    "bid_qty": "1 + (event_id * 31 + {i} * 17) % 199",
+    "ask_qty": "1 + (event_id * 37 + {i} * 23) % 199",
+}
 
-    def levels(build):
-        return F.array(*[build(i).cast("double") for i in range(1, 11)])
 
-    return df.select(
+def with_book(df: DataFrame) -> DataFrame:
+    drift = "(10000 + 5 * ((event_id * 7919) % 41 - 20))"
+    bid, ask = f"({drift} - 5 * (1 + event_id % 3))", f"({drift} + 5 * (1 + event_id div 3 % 3))"
+    arrays = [
+        "array("
+        + ", ".join(f"double({form.format(bid=bid, ask=ask, i=i, k=i - 1)})" for i in range(1, 11))
+        + f") AS {name}"
+        for name, form in BOOK_SIDES.items()
+    ]
+    return df.selectExpr(
         "*",
-        best_bid.cast("double").alias("bid1"),
-        best_ask.cast("double").alias("ask1"),
-        levels(lambda i: best_bid - 5 * (i - 1)).alias("bid_px"),
-        levels(lambda i: best_ask + 5 * (i - 1)).alias("ask_px"),
-        levels(lambda i: 1 + (e * 31 + i * 17) % 199).alias("bid_qty"),
-        levels(lambda i: 1 + (e * 37 + i * 23) % 199).alias("ask_qty"),
-        F.when(F.col("side") == "sell", (best_bid + 5 * (e % 3 - 1)).cast("double")).alias("sell_min_price"),
-        F.when(F.col("side") == "buy", F.col("vol")).otherwise(0.0).alias("buy_volume"),
-        F.when(F.col("side") == "sell", F.col("vol")).otherwise(0.0).alias("sell_volume"),
+        f"double({bid}) AS bid1",
+        f"double({ask}) AS ask1",
+        *arrays,
+        f"if(side = 'sell', double({bid} + 5 * (event_id % 3 - 1)), NULL) AS sell_min_price",
+        "if(side = 'buy', vol, 0D) AS buy_volume",
+        "if(side = 'sell', vol, 0D) AS sell_volume",
     )
 
 
