@@ -84,7 +84,7 @@ def permute_within(
     ``groups`` is empty).
     """
     donors = shuffled_positions(
-        df.select(*groups, position, F.col(value).alias(out)), groups, [position], seed, "_place"
+        df.select(*groups, position, F.col(value).alias(out)), groups, [*groups, position], seed, "_place"
     ).select(*groups, F.col("_place").alias(position), out)
     return df.join(donors, [*groups, position])
 

@@ -1 +1,967 @@
-"""Registered queries."""
+"""Registered queries on the predictions binding."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tickloom.functions.numeric import ratio
+from tickloom.operators import bootstrap as boot
+from tickloom.operators import filters, joins, metrics, sampling, signals
+from tickloom.operators.windows import signal_rules, with_prior_quantiles
+from tickloom.plans import laws, references, verdicts
+from tickloom.queries.bindings import P_SQL, predictions, table
+from tickloom.queries.registry import draw_sql, query, r6, rounded
+from tickloom.session import cut_lineage
+from tickloom.sources import tables as store
+
+WITH_P = f"WITH {P_SQL}"
+REPS = 200
+SEED = 5
+PREDS = {"sse_a": "pred_a", "sse_b": "pred_b"}
+BONF = 0.05 / 12
+
+STAT_CTE = """
+st AS (SELECT symbol, any_value(tick_group) AS tick_group, any_value(liq_group) AS liq_group, count(*) AS n,
+         sum(y) AS sy, sum(y * y) AS syy, sum((y - pred_a) * (y - pred_a)) AS sse_a,
+         sum((y - pred_b) * (y - pred_b)) AS sse_b FROM p GROUP BY 1)"""
+
+
+def stats(spark, sf):
+    return metrics.symbol_statistics(
+        predictions(spark, sf), ["symbol", "tick_group", "liq_group"], "y", PREDS
+    )
+
+
+def r2_sql(sse: str, n="sum(n)", sy="sum(sy)", syy="sum(syy)") -> str:
+    return f"1 - sum({sse}) / nullif({syy} - {sy} * {sy} / {n}, 0)"
+
+
+# --- fit quality -------------------------------------------------------------
+
+
+@query(
+    "a13_weighted_r2",
+    f"""{WITH_P} SELECT eval_set, round(1 - sum(w * (y - pred_a) * (y - pred_a)) /
+        (sum(w * y * y) - sum(w * y) * sum(w * y) / sum(w)), 6) AS r2 FROM p GROUP BY 1""",
+)
+def weighted_r2(spark, sf):
+    return predictions(spark, sf).groupBy("eval_set").agg(
+        r6(metrics.weighted_r2(F.col("y"), F.col("pred_a"), F.col("w")), "r2")
+    )
+
+
+def _wcorr(x: str) -> str:
+    return (
+        f"abs((sum(w * {x} * y) / sum(w) - sum(w * {x}) / sum(w) * sum(w * y) / sum(w)) / sqrt("
+        f"(sum(w * {x} * {x}) / sum(w) - pow(sum(w * {x}) / sum(w), 2)) * "
+        f"(sum(w * y * y) / sum(w) - pow(sum(w * y) / sum(w), 2))))"
+    )
+
+
+@query(
+    "a14_rank_inputs",
+    f"""{WITH_P}, r AS ({' UNION ALL '.join(
+        f"SELECT '{c}' AS input, {_wcorr(c)} AS strength FROM p" for c in ('pred_a', 'pred_b', 'liq_group', 'tick_group'))})
+        SELECT input, round(strength, 6) AS strength FROM r ORDER BY r.strength DESC, input LIMIT 3""",
+)
+def rank_inputs(spark, sf):
+    from tickloom.plans.formulas import rank_inputs as ranked
+
+    return rounded(
+        ranked(predictions(spark, sf), ["pred_a", "pred_b", "liq_group", "tick_group"], "y", "w", 3)
+    )
+
+
+@query(
+    "a16_symbol_sufficient_statistics",
+    f"""{WITH_P}, {STAT_CTE} SELECT symbol, n, round(sy, 4) AS sy, round(syy, 4) AS syy,
+        round(sse_a, 4) AS sse_a, round(sse_b, 4) AS sse_b FROM st""",
+)
+def symbol_sufficient_statistics(spark, sf):
+    return rounded(stats(spark, sf).drop("tick_group", "liq_group"), 4)
+
+
+@query(
+    "a16_pooled_r2",
+    f"{WITH_P}, {STAT_CTE} SELECT CAST(sum(n) AS BIGINT) AS n, round({r2_sql('sse_a')}, 6) AS r2_sse_a, "
+    f"round({r2_sql('sse_b')}, 6) AS r2_sse_b FROM st",
+)
+def pooled_r2(spark, sf):
+    return rounded(metrics.pooled_r2(stats(spark, sf), [], ["sse_a", "sse_b"]))
+
+
+@query(
+    "a17_r2_by_groups",
+    f"""{WITH_P}, {STAT_CTE} SELECT CAST(grouping(tick_group) * 2 + grouping(liq_group) AS BIGINT) AS level,
+        tick_group, liq_group, count(*) AS n_symbols, CAST(sum(n) AS BIGINT) AS n, round({r2_sql('sse_a')}, 6) AS r2,
+        count(*) >= 20 AS interpretable
+        FROM st GROUP BY GROUPING SETS ((), (tick_group), (liq_group), (tick_group, liq_group))""",
+)
+def r2_by_groups(spark, sf):
+    return rounded(metrics.r2_by_groups(stats(spark, sf), "tick_group", "liq_group", "sse_a"))
+
+
+SHARE_CTE = f"""{STAT_CTE},
+tt AS (SELECT sum(n) AS tn, sum(sy) / sum(n) AS ybar FROM st),
+pt AS (SELECT st.*, syy - 2 * ybar * sy + n * ybar * ybar AS part, tn FROM st, tt),
+sh AS (SELECT *, part / sum(part) OVER () AS variation_share, n / tn AS row_share,
+         row_number() OVER (ORDER BY part DESC, symbol) AS place FROM pt)"""
+
+
+def shares(spark, sf):
+    pooled = cut_lineage(stats(spark, sf)).withColumn("all", F.lit("all"))
+    return metrics.variation_shares(pooled, ["all"], "symbol")
+
+
+@query(
+    "a18_variation_shares",
+    f"""{WITH_P}, {SHARE_CTE} SELECT symbol, round(variation_share, 6) AS variation_share,
+        round(row_share, 6) AS row_share FROM sh""",
+)
+def variation_shares(spark, sf):
+    return rounded(shares(spark, sf).select("symbol", "variation_share", "row_share"))
+
+
+KS = (1, 5, 10, 20, 50)
+
+
+@query(
+    "a18_variation_concentration",
+    f"""{WITH_P}, {SHARE_CTE} SELECT {', '.join(
+        f"round(sum(variation_share) FILTER (place <= {k}), 6) AS top{k}" for k in KS)} FROM sh""",
+)
+def variation_concentration(spark, sf):
+    return rounded(metrics.concentration(shares(spark, sf), ["all"], "symbol", KS).drop("all"))
+
+
+def _without(k: int) -> str:
+    f = f"FILTER (place > {k})"
+    return (
+        f"1 - sum(sse_a) {f} / nullif(sum(syy) {f} - sum(sy) {f} * sum(sy) {f} / sum(n) {f}, 0)"
+    )
+
+
+@query(
+    "a19_r2_without_top_symbols",
+    f"""{WITH_P}, {SHARE_CTE} SELECT {', '.join(
+        f"round({_without(k)}, 6) AS r2_without_{k}" for k in (1, 2, 5))} FROM sh""",
+)
+def r2_without_top_symbols(spark, sf):
+    return rounded(
+        metrics.r2_without_top(shares(spark, sf), ["all"], "symbol", (1, 2, 5), "sse_a").drop("all")
+    )
+
+
+SYMBOL_R2 = "1 - sse_a / nullif(syy - sy * sy / n, 0)"
+
+
+@query(
+    "a19_symbol_r2_summary",
+    f"""{WITH_P}, {STAT_CTE} SELECT round(quantile_cont({SYMBOL_R2}, 0.5), 6) AS median_r2,
+        round(avg(CAST({SYMBOL_R2} > 0 AS INT)), 6) AS share_positive FROM st""",
+)
+def symbol_r2_summary(spark, sf):
+    from tickloom.operators.quantiles import grouped_quantiles
+
+    total = F.col("syy") - ratio(F.col("sy") * F.col("sy"), F.col("n"))
+    each = cut_lineage(
+        stats(spark, sf).select(F.when(total > 0, 1.0 - ratio(F.col("sse_a"), total)).alias("r2"))
+    )
+    median = grouped_quantiles(each, [], "r2", {"m": 0.5}).scalar()
+    return rounded(
+        each.agg(F.avg((F.col("r2") > 0).cast("double")).alias("share_positive")).withColumn(
+            "median_r2", median
+        )
+    )
+
+
+@query(
+    "t06_top_variation_symbols",
+    f"""{WITH_P}, {SHARE_CTE} SELECT symbol, tick_group, n AS n_rows, round(variation_share, 6) AS variation_share,
+        round({SYMBOL_R2}, 6) AS symbol_r2, CAST(place AS INT) AS place FROM sh WHERE place <= 10""",
+)
+def top_variation_symbols(spark, sf):
+    top = metrics.top_variation(shares(spark, sf), ["all"], "symbol", 10)
+    total = F.col("syy") - ratio(F.col("sy") * F.col("sy"), F.col("n"))
+    return rounded(
+        top.select(
+            "symbol", "tick_group", F.col("n").alias("n_rows"), "variation_share",
+            F.when(total > 0, 1.0 - ratio(F.col("sse_a"), total)).alias("symbol_r2"), "place",
+        )
+    )
+
+
+# --- calibration -------------------------------------------------------------
+
+EDGES = ", ".join(f"quantile_cont(p, {i / 10}) AS e{i}" for i in range(11))
+
+
+def calibration_sql(pred: str, y: str) -> str:
+    return f"""
+kn AS (SELECT eval_set, {pred} AS p, {y} AS y FROM p WHERE {pred} IS NOT NULL AND {y} IS NOT NULL),
+ed AS (SELECT eval_set, {EDGES}, quantile_cont(p, 0.99) AS t99, quantile_cont(p, 0.999) AS t999 FROM kn GROUP BY 1),
+bd AS (SELECT kn.*, t99, t999, 1 + {' + '.join(f'CAST(p >= e{i} AS INT)' for i in range(1, 10))} AS d
+       FROM kn JOIN ed USING (eval_set)),
+bl AS (SELECT *, 'D' || d AS bin FROM bd UNION ALL SELECT *, 'top1%' FROM bd WHERE p >= t99
+       UNION ALL SELECT *, 'top0.1%' FROM bd WHERE p >= t999),
+cal AS (SELECT eval_set, bin, count(*) AS n, min(p) AS lowest, max(p) AS highest, avg(p) AS mean_pred,
+          avg(y) AS mean_y, avg(CAST(y > 0 AS INT)) AS pos_share FROM bl GROUP BY 1, 2)"""
+
+
+CAL_OUT = ", ".join(
+    f"round({c}, 6) AS {c}" for c in ("lowest", "highest", "mean_pred", "mean_y", "pos_share")
+)
+
+
+@query(
+    "a20_calibration_table",
+    f"{WITH_P}, {calibration_sql('pred_b', 'y - 20')} SELECT eval_set, bin, n, {CAL_OUT} FROM cal",
+)
+def calibration_table(spark, sf):
+    rows = predictions(spark, sf).select("eval_set", "pred_b", (F.col("y") - 20).alias("y"))
+    return rounded(metrics.calibration_table(rows, ["eval_set"], "pred_b", "y"))
+
+
+@query(
+    "a21_fill_calibration_gap",
+    f"""{WITH_P}, {calibration_sql('pred_a / 50', 'CAST(y > 20 AS INT)::DOUBLE')}
+        SELECT eval_set, round(max(abs(mean_pred - mean_y)), 6) AS max_abs_gap,
+               max(abs(mean_pred - mean_y)) <= 0.25 AS passed FROM cal WHERE bin LIKE 'D%' GROUP BY 1""",
+)
+def fill_calibration_gap(spark, sf):
+    rows = predictions(spark, sf).select(
+        "eval_set", (F.col("pred_a") / 50).alias("p"), (F.col("y") > 20).cast("double").alias("y")
+    )
+    cal = metrics.calibration_table(rows, ["eval_set"], "p", "y")
+    return rounded(metrics.worst_calibration_gap(cal, ["eval_set"]))
+
+
+@query(
+    "a22_adverse_selection_and_constant",
+    f"""{WITH_P}, c AS (SELECT eval_set, quantile_cont(pred_b, 0.9) AS cut FROM p GROUP BY 1),
+        t AS (SELECT eval_set, count(*) AS n, avg(y - 30) AS m FROM p JOIN c USING (eval_set) WHERE pred_b >= cut GROUP BY 1),
+        k AS (SELECT eval_set, corr(pred_b, y) AS r FROM p GROUP BY 1)
+        SELECT eval_set, n, round(m, 6) AS top_decile_mean, m < 0 AS adverse_ok, round(r, 6) AS correlation,
+               r > 0.05 AS beats_constant FROM t JOIN k USING (eval_set)""",
+)
+def adverse_selection_and_constant(spark, sf):
+    rows = predictions(spark, sf).withColumn("outcome", F.col("y") - 30)
+    top = metrics.top_decile_outcome(rows, ["eval_set"], "pred_b", "outcome").withColumnRenamed(
+        "passed", "adverse_ok"
+    )
+    constant = metrics.beats_constant(rows, ["eval_set"], "pred_b", "y").withColumnRenamed(
+        "passed", "beats_constant"
+    )
+    return rounded(top.join(constant, "eval_set"))
+
+
+# --- signals -----------------------------------------------------------------
+
+SIG_CTE = f"""
+so AS (SELECT *, list_sort(list(pred_a) OVER z) AS la, list_sort(list(pred_b) OVER z) AS lb FROM p
+       WINDOW z AS (PARTITION BY symbol ORDER BY tick_seq ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+sg AS (SELECT symbol, eval_set, y - 30 AS y, u.model, u.rule, u.score FROM (SELECT *, unnest([
+         {{model: 'a', rule: 'all', score: pred_a, fired: true}}, {{model: 'b', rule: 'all', score: pred_b, fired: true}},
+         {{model: 'a', rule: 'abs', score: pred_a, fired: pred_a > 0}}, {{model: 'b', rule: 'abs', score: pred_b, fired: pred_b > 0}},
+         {{model: 'a', rule: 'q70', score: pred_a, fired: len(la) = 20 AND pred_a > la[15]}},
+         {{model: 'b', rule: 'q70', score: pred_b, fired: len(lb) = 20 AND pred_b > lb[15]}}]) AS u FROM so) WHERE u.fired),
+ss AS (SELECT model, rule, eval_set, symbol, count(*) AS n, sum(y) AS sy, count(*) FILTER (y > 0) AS npos,
+         sum(score) AS sp FROM sg GROUP BY 1, 2, 3, 4)"""
+
+
+def signal_stats(spark, sf):
+    rows = predictions(spark, sf, sequenced=True)
+    cut = with_prior_quantiles(rows, ["symbol"], "tick_seq", "pred_a", {"qa": 0.7}, size=20)
+    cut = with_prior_quantiles(cut, ["symbol"], "tick_seq", "pred_b", {"qb": 0.7}, size=20)
+    cut = cut.withColumn("y", F.col("y") - 30)
+    fired = {}
+    for model in "ab":
+        rules = signal_rules(f"pred_{model}", [f"q{model}"], F.col("y"))
+        for rule, name in (("sig_all", "all"), ("sig_abs", "abs"), (f"sig_q{model}", "q70")):
+            fired[(model, name)] = (rules[rule], f"pred_{model}")
+    return signals.signal_statistics(cut, ["eval_set", "symbol"], "y", fired)
+
+
+@query(
+    "a23_signal_economics",
+    f"""{WITH_P}, {SIG_CTE}, t AS (SELECT model, rule, eval_set, CAST(sum(n) AS BIGINT) AS n_rows,
+          count(DISTINCT symbol) AS n_symbols, sum(sy) AS sy, sum(npos) AS npos, sum(sp) AS sp FROM ss GROUP BY 1, 2, 3)
+        SELECT model, rule, eval_set, n_rows, n_symbols,
+          round(n_rows / max(n_rows) FILTER (rule = 'all') OVER (PARTITION BY model, eval_set), 6) AS share_of_rows,
+          round(sy / n_rows, 6) AS mean_y, round(npos / n_rows, 6) AS pos_share, round(sp / n_rows, 6) AS mean_pred FROM t""",
+)
+def signal_economics(spark, sf):
+    return rounded(signals.signal_economics(signal_stats(spark, sf), ["eval_set"]))
+
+
+def members_sql(source: str = "p", group: str = "") -> str:
+    """Draw-count CTEs ``cnt`` for the symbols of ``source``, per ``group`` if given."""
+    g = f"{group}, " if group else ""
+    part = f"PARTITION BY {group}" if group else ""
+    keys = f"'{SEED}'" if not group else f"'{SEED}', {group}"
+    return f"""
+sym AS (SELECT DISTINCT {g}symbol FROM {source}),
+place AS (SELECT {g}symbol, row_number() OVER ({part} ORDER BY {draw_sql(SEED, 'symbol')}, symbol) AS place,
+                 count(*) OVER ({part}) AS k FROM sym),
+hits AS (SELECT {g}rep, {draw_sql(SEED, *([group] if group else []), 'rep', 'place')} % k + 1 AS place
+         FROM place, range({REPS}) r(rep)),
+cnt AS (SELECT {g}rep, symbol, count(*) AS times FROM hits JOIN place USING ({g}place) GROUP BY ALL)"""
+
+
+@query(
+    "d01_label_economics_verdict",
+    f"""{WITH_P}, {SIG_CTE}, e1 AS (SELECT * FROM ss WHERE eval_set = 'eval1'), {members_sql('e1')},
+        rp AS (SELECT model, rule, rep, sum(times * sy) / nullif(sum(times * n), 0) AS r FROM cnt JOIN e1 USING (symbol)
+               GROUP BY 1, 2, 3),
+        ci AS (SELECT model, rule, quantile_cont(r, {BONF / 2!r}) AS lo, quantile_cont(r, {1 - BONF / 2!r}) AS hi
+               FROM rp GROUP BY 1, 2),
+        t AS (SELECT model, rule, CAST(sum(n) AS BIGINT) AS n_rows, count(DISTINCT symbol) AS n_symbols FROM e1 GROUP BY 1, 2)
+        SELECT model, rule, n_rows, n_symbols, round(lo, 6) AS lo, round(hi, 6) AS hi,
+          CASE WHEN n_rows < 1000 OR n_symbols < 20 THEN 'too few' WHEN lo > 0 THEN 'profit' WHEN hi < 0 THEN 'loss'
+               ELSE 'undecided' END AS verdict FROM t JOIN ci USING (model, rule)""",
+)
+def label_economics_verdict(spark, sf):
+    stat = cut_lineage(signal_stats(spark, sf).filter(F.col("eval_set") == "eval1"))
+    counts = boot.draw_counts(stat.select("symbol").distinct(), [], "symbol", reps=REPS, seed=SEED)
+    ci = boot.ratio_interval(
+        counts, stat, "symbol", ["model", "rule"], "sy", "n", {"lo": BONF / 2, "hi": 1 - BONF / 2}
+    )
+    totals = signals.signal_economics(stat, [])
+    joined = totals.join(ci, ["model", "rule"])
+    verdict = verdicts.label_economics(F.col("n_rows"), F.col("n_symbols"), F.col("lo"), F.col("hi"))
+    return joined.select("model", "rule", "n_rows", "n_symbols", r6("lo"), r6("hi"), verdict.alias("verdict"))
+
+
+RULES = {"low": 10.0, "mid": 25.0, "high": 40.0}
+RATE_SQL = " UNION ALL ".join(
+    f"SELECT '{f}' AS fresh, '{s}' AS stored, '{r}' AS rule, "
+    f"avg(CAST(({fc} > {c}) = ({sc} > {c}) AS INT)) AS rate FROM p"
+    for f, fc in (("a", "pred_a"), ("b", "pred_b"))
+    for s, sc in (("a", "pred_a + CASE WHEN symbol % 50 = 0 THEN 0.5 ELSE 0 END"), ("b", "pred_b"))
+    for r, c in RULES.items()
+)
+
+
+def rescored(spark, sf):
+    nudge = F.when(F.col("symbol") % 50 == 0, 0.5).otherwise(0.0)
+    return predictions(spark, sf).withColumns(
+        {"stored_a": F.col("pred_a") + nudge, "stored_b": F.col("pred_b")}
+    )
+
+
+def rates(spark, sf):
+    return signals.agreement_rates(
+        rescored(spark, sf), {"a": "pred_a", "b": "pred_b"}, {"a": "stored_a", "b": "stored_b"}, RULES
+    )
+
+
+@query(
+    "a35_signal_agreement",
+    f"{WITH_P}, x AS ({RATE_SQL}) SELECT fresh, stored, rule, round(rate, 6) AS rate FROM x",
+)
+def signal_agreement(spark, sf):
+    return rounded(rates(spark, sf))
+
+
+@query(
+    "a36_difference_distribution",
+    f"""{WITH_P}, d AS (SELECT abs(pred_a - pred_b) AS d FROM p) SELECT round(max(d), 6) AS max,
+        round(quantile_cont(d, 0.999), 6) AS q999, round(quantile_cont(d, 0.99), 6) AS q99,
+        round(quantile_cont(d, 0.5), 6) AS median, round(avg(CAST(d > 1e-5 AS INT)), 6) AS share_above, count(*) AS n FROM d""",
+)
+def difference_distribution(spark, sf):
+    return rounded(signals.difference_distribution(predictions(spark, sf), "pred_a", "pred_b"))
+
+
+@query(
+    "d11_prediction_check",
+    f"""{WITH_P}, x AS ({RATE_SQL}), m AS (SELECT max(abs(pred_b - pred_b)) AS diff FROM p)
+        SELECT round(min(rate) FILTER (fresh = stored), 6) AS same_min,
+               round(max(rate) FILTER (fresh <> stored AND rule = 'high'), 6) AS swapped_max,
+               any_value(diff) <= 1e-5 AND min(rate) FILTER (fresh = stored) >= 0.995
+                 AND max(rate) FILTER (fresh <> stored AND rule = 'high') < 0.995 AS passed FROM x, m""",
+)
+def prediction_check(spark, sf):
+    same = F.col("fresh") == F.col("stored")
+    diff = rescored(spark, sf).agg(F.max(F.abs(F.col("pred_b") - F.col("stored_b"))).alias("d")).scalar()
+    summary = rates(spark, sf).agg(
+        F.min(F.when(same, F.col("rate"))).alias("same_min"),
+        F.max(F.when(~same & (F.col("rule") == "high"), F.col("rate"))).alias("swapped_max"),
+    ).withColumn("_diff", diff)
+    passed = verdicts.prediction_check(
+        F.lit(0), F.col("_diff"), F.col("same_min"), F.col("swapped_max")
+    )
+    return summary.select(r6("same_min"), r6("swapped_max"), passed.alias("passed"))
+
+
+# --- regression --------------------------------------------------------------
+
+
+@query(
+    "a26_slope_spread",
+    f"""{WITH_P}, s AS (SELECT symbol, regr_slope(y, pred_a) AS b FROM p GROUP BY 1
+          HAVING count(*) >= 20 AND stddev_pop(pred_a) >= 1e-12)
+        SELECT count(*) AS n_symbols, round(avg(b), 6) AS slope_mean, round(stddev_pop(b), 6) AS slope_std,
+               round(abs(stddev_pop(b) / avg(b)), 6) AS slope_cv FROM s""",
+)
+def slope_spread(spark, sf):
+    return rounded(metrics.slope_spread(predictions(spark, sf), "symbol", "pred_a", "y"))
+
+
+@query(
+    "m10_affine_law",
+    f"""{WITH_P}, s AS (SELECT symbol, regr_slope(y, pred_a) AS b FROM p GROUP BY 1
+          HAVING count(*) >= 20 AND stddev_pop(pred_a) >= 1e-12)
+        SELECT count(*) AS n_symbols, round(avg(b), 6) AS slope_mean, round(stddev_pop(b), 6) AS slope_std,
+               round(abs(stddev_pop(b) / avg(b)), 6) AS slope_cv, count(*) < 3 AS ambiguous,
+               count(*) >= 3 AND abs(stddev_pop(b) / avg(b)) <= 0.15 AND avg(b) > 0 AS passed FROM s""",
+)
+def affine_law(spark, sf):
+    return rounded(laws.measure_affine(predictions(spark, sf), "symbol", "pred_a", "y"))
+
+
+LOGFIT = """lg AS (SELECT ln(abs(pred_a)) AS lx, ln(abs(y)) AS ly FROM p WHERE abs(pred_a) > 0 AND abs(y) > 0),
+f AS (SELECT count(*) AS n, regr_slope(ly, lx) AS exponent, regr_intercept(ly, lx) AS intercept,
+        regr_r2(ly, lx) AS r2 FROM lg)"""
+
+
+@query(
+    "a27_log_log_fit",
+    f"""{WITH_P}, {LOGFIT} SELECT n, round(exponent, 6) AS exponent, round(intercept, 6) AS intercept,
+        round(r2, 6) AS r2 FROM f""",
+)
+def log_log_fit(spark, sf):
+    return rounded(metrics.log_log_fit(predictions(spark, sf), "pred_a", "y"))
+
+
+@query(
+    "m11_exponent_law",
+    f"""{WITH_P}, {LOGFIT} SELECT n, round(exponent, 6) AS exponent, round(intercept, 6) AS intercept,
+        round(r2, 6) AS r2, n < 50 OR r2 < 0.6 AS ambiguous,
+        NOT (n < 50 OR r2 < 0.6) AND exponent BETWEEN 0.4 AND 0.7 AS passed FROM f""",
+)
+def exponent_law(spark, sf):
+    return rounded(laws.measure_exponent(predictions(spark, sf), "pred_a", "y"))
+
+
+def _minor(m, drop_row, drop_col):
+    return [[c for j, c in enumerate(r) if j != drop_col] for i, r in enumerate(m) if i != drop_row]
+
+
+def _det(m):
+    if len(m) == 1:
+        return m[0][0]
+    terms = [
+        f"{'-' if j % 2 else '+'} ({m[0][j]}) * ({_det(_minor(m, 0, j))})" for j in range(len(m))
+    ]
+    return " ".join(terms).lstrip("+ ")
+
+
+def solve_sql(xs: list[str], y: str, source: str) -> str:
+    """CTE ``sol`` with coefficients ``b0..`` and ``r2`` of a multiple regression, by Cramer's rule."""
+    k = len(xs)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    cov = ", ".join(f"covar_pop({xs[i]}, {xs[j]}) AS c{i}{j}" for i, j in pairs)
+    cy = ", ".join(f"covar_pop({x}, {y}) AS y{i}" for i, x in enumerate(xs))
+    means = ", ".join(f"avg({x}) AS m{i}" for i, x in enumerate(xs))
+    matrix = [[f"c{min(i, j)}{max(i, j)}" for j in range(k)] for i in range(k)]
+    coefs = []
+    for v in range(k):
+        replaced = [[f"y{i}" if j == v else matrix[i][j] for j in range(k)] for i in range(k)]
+        coefs.append(f"({_det(replaced)}) / ({_det(matrix)}) AS b{v}")
+    r2 = " + ".join(f"b{i} * y{i}" for i in range(k))
+    intercept = f"my - ({' + '.join(f'b{i} * m{i}' for i in range(k))})"
+    return f"""
+mom AS (SELECT count(*) AS n, {cov}, {cy}, {means}, avg({y}) AS my, var_pop({y}) AS vy FROM {source}),
+cof AS (SELECT *, {', '.join(coefs)} FROM mom),
+sol AS (SELECT *, ({r2}) / vy AS r2, {intercept} AS b_intercept FROM cof)"""
+
+
+@query(
+    "a28_multiple_regression",
+    f"""{WITH_P}, {solve_sql(['pred_a', 'pred_b', 'w'], 'y', 'p')} SELECT n, round(b0, 6) AS coef1,
+        round(b1, 6) AS coef2, round(b2, 6) AS coef3, round(b_intercept, 6) AS intercept, round(r2, 6) AS r2 FROM sol""",
+)
+def multiple_regression(spark, sf):
+    fit = laws.measure_multiscale(predictions(spark, sf), ["pred_a", "pred_b", "w"], "y")
+    return rounded(fit.drop("uses_all", "all_positive", "passed"))
+
+
+@query(
+    "m12_multiscale_law",
+    f"""{WITH_P}, {solve_sql(['pred_a', 'pred_b', 'w'], 'y', 'p')} SELECT n, round(b0, 6) AS coef1,
+        round(b1, 6) AS coef2, round(b2, 6) AS coef3, round(b_intercept, 6) AS intercept, round(r2, 6) AS r2,
+        abs(b0) > 1e-6 AND abs(b1) > 1e-6 AND abs(b2) > 1e-6 AS uses_all, b0 > 0 AND b1 > 0 AND b2 > 0 AS all_positive,
+        r2 >= 0.85 AND b0 > 1e-6 AND b1 > 1e-6 AND b2 > 1e-6 AS passed FROM sol""",
+)
+def multiscale_law(spark, sf):
+    return rounded(laws.measure_multiscale(predictions(spark, sf), ["pred_a", "pred_b", "w"], "y"))
+
+
+WITHIN_CTE = """
+d AS (SELECT * FROM p WHERE symbol % 2 = 0), r AS (SELECT * FROM p WHERE symbol % 2 = 1),
+dm AS (SELECT pred_a - avg(pred_a) OVER (PARTITION BY symbol) AS xa, w - avg(w) OVER (PARTITION BY symbol) AS xw,
+              y - avg(y) OVER (PARTITION BY symbol) AS yy FROM d)"""
+
+
+def halves(spark, sf):
+    rows = predictions(spark, sf)
+    return rows.filter(F.col("symbol") % 2 == 0), rows.filter(F.col("symbol") % 2 == 1)
+
+
+@query(
+    "a29_fixed_effect_regression",
+    f"""{WITH_P}, {WITHIN_CTE}, {solve_sql(['xa', 'xw'], 'yy', 'dm')},
+        dom AS (SELECT min(xa) AS la, max(xa) AS ha, min(xw) AS lw, max(xw) AS hw FROM dm),
+        g AS (SELECT avg(y) AS gm FROM d),
+        pr AS (SELECT r.*, gm + b0 * least(greatest(pred_a - avg(pred_a) OVER (PARTITION BY symbol), la), ha)
+                 + b1 * least(greatest(w - avg(w) OVER (PARTITION BY symbol), lw), hw) AS pred FROM r, sol, dom, g)
+        SELECT symbol, count(*) AS n, round(avg(pred), 6) AS mean_pred, round(sum((y - pred) * (y - pred)) / count(*), 4) AS mse
+        FROM pr GROUP BY 1""",
+)
+def fixed_effect_regression(spark, sf):
+    fit, score = halves(spark, sf)
+    scored = references.fixed_effects(fit, score, "symbol", ["pred_a", "w"], "y")
+    err = F.col("y") - F.col("pred")
+    return scored.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg("pred"), "mean_pred"), r6(F.avg(err * err), "mse", 4)
+    )
+
+
+@query(
+    "m17_linear_reference",
+    f"""{WITH_P}, d AS (SELECT * FROM p WHERE symbol % 2 = 0), r AS (SELECT * FROM p WHERE symbol % 2 = 1),
+        f AS (SELECT regr_slope(y, pred_a) AS b, regr_intercept(y, pred_a) AS a, min(pred_a) AS lo, max(pred_a) AS hi FROM d),
+        x AS (SELECT y, a + b * least(greatest(pred_a, lo), hi) AS pred FROM r, f)
+        SELECT round(1 - sum((y - pred) * (y - pred)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 6) AS r2 FROM x""",
+)
+def linear_reference(spark, sf):
+    fit, score = halves(spark, sf)
+    scored = references.linear(fit, score, "pred_a", "y")
+    return scored.agg(r6(metrics.weighted_r2(F.col("y"), F.col("pred"), F.lit(1.0)), "r2"))
+
+
+@query(
+    "m17_power_reference",
+    f"""{WITH_P}, q AS (SELECT symbol, pred_a - 25 AS x, y - 30 AS y FROM p),
+        d AS (SELECT x, y, ln(abs(x)) AS lx, ln(abs(y)) AS ly FROM q WHERE symbol % 2 = 0 AND x <> 0 AND y <> 0),
+        f AS (SELECT regr_slope(ly, lx) AS b, regr_intercept(ly, lx) AS a,
+              CASE WHEN avg(CAST(sign(x) = sign(y) AS INT)) >= 0.5 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s,
+              min(abs(x)) AS lo, max(abs(x)) AS hi FROM d),
+        z AS (SELECT y, s * sign(x) * exp(a + b * ln(least(greatest(abs(x), lo), hi))) AS pred
+              FROM q, f WHERE symbol % 2 = 1 AND x <> 0)
+        SELECT count(*) AS n, round(1 - sum((y - pred) * (y - pred)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 6) AS r2 FROM z""",
+)
+def power_reference(spark, sf):
+    fit, score = (
+        h.select("symbol", (F.col("pred_a") - 25).alias("x"), (F.col("y") - 30).alias("y"))
+        for h in halves(spark, sf)
+    )
+    scored = references.power(fit, score, "x", "y")
+    return scored.agg(
+        F.count("pred").alias("n"), r6(metrics.weighted_r2(F.col("y"), F.col("pred"), F.lit(1.0)), "r2")
+    )
+
+
+@query(
+    "f10_clip_to_fitted_domain",
+    f"""{WITH_P}, m AS (SELECT min(y) AS lo, max(y) AS hi FROM p WHERE tick_group = 0 AND y < 60)
+        SELECT symbol, round(sum(least(greatest(y, lo), hi)), 4) AS clipped FROM p, m GROUP BY 1""",
+)
+def clip_to_fitted_domain(spark, sf):
+    rows = predictions(spark, sf)
+    domain = filters.domain_of(rows.filter((F.col("tick_group") == 0) & (F.col("y") < 60)), ["y"])
+    return filters.clip_to_domain(rows.select("symbol", "y"), ["y"], domain).groupBy("symbol").agg(
+        r6(F.sum("y"), "clipped", 4)
+    )
+
+
+BINNED_CTE = """
+bn AS (SELECT *, ntile(20) OVER (ORDER BY pred_a, symbol, tick_seq) - 1 AS bin FROM p),
+bm AS (SELECT bin, sum(w * y) / sum(w) AS mean_y, sum(w * pred_a) / sum(w) AS mean_pred, sum(w) AS weight,
+         count(*) AS n FROM bn GROUP BY 1)"""
+BINNED_R2 = """1 - sum(weight * (mean_y - mean_pred) * (mean_y - mean_pred)) /
+    (sum(weight * mean_y * mean_y) - sum(weight * mean_y) * sum(weight * mean_y) / sum(weight))"""
+
+
+def bins(spark, sf):
+    rows = predictions(spark, sf, sequenced=True)
+    return metrics.binned_means(rows, "pred_a", "y", "w", ["symbol", "tick_seq"], 20)
+
+
+@query(
+    "a30_binned_means",
+    f"""{WITH_P}, {BINNED_CTE} SELECT bin, round(mean_y, 6) AS mean_y, round(mean_pred, 6) AS mean_pred,
+        round(weight, 6) AS weight, n FROM bm""",
+)
+def binned_means(spark, sf):
+    return rounded(bins(spark, sf))
+
+
+@query(
+    "a31_amplification",
+    f"""{WITH_P}, {BINNED_CTE}, b AS (SELECT {BINNED_R2} AS br FROM bm),
+        r AS (SELECT 1 - sum(w * (y - pred_a) * (y - pred_a)) / (sum(w * y * y) - sum(w * y) * sum(w * y) / sum(w)) AS rr FROM p)
+        SELECT round(br, 6) AS binned_r2, round(rr, 6) AS row_r2, round(br / rr, 6) AS amplification FROM b, r""",
+)
+def amplification(spark, sf):
+    row = predictions(spark, sf).agg(
+        metrics.weighted_r2(F.col("y"), F.col("pred_a"), F.col("w")).alias("r")
+    ).scalar()
+    out = metrics.binned_r2(bins(spark, sf)).withColumn("row_r2", row)
+    return rounded(out.withColumn("amplification", ratio(F.col("binned_r2"), F.col("row_r2"))))
+
+
+@query(
+    "a42_prediction_correlation",
+    f"{WITH_P} SELECT eval_set, round(corr(pred_a, pred_b), 6) AS correlation FROM p GROUP BY 1",
+)
+def prediction_correlation(spark, sf):
+    return predictions(spark, sf).groupBy("eval_set").agg(r6(F.corr("pred_a", "pred_b"), "correlation"))
+
+
+@query("a34_ridge_path")
+def ridge_path(spark, sf):
+    rows = predictions(spark, sf)
+    symbols = rows.select("symbol", "tick_group").distinct()
+    split = sampling.group_split(symbols, "tick_group", "symbol", SEED).select("symbol", "role")
+    marked = rows.join(split, "symbol")
+    path, _ = references.ridge_path(
+        marked.filter(F.col("role") == "train"),
+        marked.filter(F.col("role") == "select"),
+        ["pred_a", "pred_b", "liq_group"],
+        "y",
+        "w",
+    )
+    return rounded(path)
+
+
+# --- filters and joins -------------------------------------------------------
+
+
+@query(
+    "f12_without_dominant_symbol",
+    f"""{WITH_P}, x AS (SELECT arg_max(symbol, (n, symbol)) AS s FROM (SELECT symbol, count(*) AS n FROM p GROUP BY 1))
+        SELECT eval_set, count(*) AS n_all, count(*) FILTER (symbol <> s) AS n_without, round(avg(y), 6) AS mean_all,
+               round(avg(y) FILTER (symbol <> s), 6) AS mean_without FROM p, x GROUP BY 1""",
+)
+def without_dominant_symbol(spark, sf):
+    rows = predictions(spark, sf)
+    sizes = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    dominant = sizes.agg(F.max(F.struct("n", "symbol"))["symbol"].alias("s")).scalar()
+    rest = F.col("symbol") != F.col("_s")
+    return rows.withColumn("_s", dominant).groupBy("eval_set").agg(
+        F.count(F.lit(1)).alias("n_all"),
+        F.count_if(rest).alias("n_without"),
+        r6(F.avg("y"), "mean_all"),
+        r6(F.avg(F.when(rest, F.col("y"))), "mean_without"),
+    )
+
+
+@query(
+    "f14_drop_nonfinite_predictions",
+    f"""{WITH_P} SELECT eval_set, count(*) FILTER (tick_seq % 17 = 0) AS dropped,
+        count(*) FILTER (tick_seq % 17 <> 0) AS kept FROM p GROUP BY 1""",
+)
+def drop_nonfinite_predictions(spark, sf):
+    from tickloom.functions.numeric import finite
+
+    rows = predictions(spark, sf, sequenced=True).withColumn(
+        "pred", F.when(F.col("tick_seq") % 17 == 0, F.lit(float("nan"))).otherwise(F.col("pred_a"))
+    )
+    known = finite(F.col("pred")).isNotNull()
+    return rows.groupBy("eval_set").agg(
+        F.count_if(~known).alias("dropped"), F.count_if(known).alias("kept")
+    )
+
+
+@query(
+    "j02_attribute_lookup",
+    f"""{WITH_P} SELECT n.n_name, count(*) AS n, round(avg(y), 6) AS mean_y FROM p
+        LEFT JOIN supplier s ON p.symbol = s.s_suppkey LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey GROUP BY 1""",
+)
+def attribute_lookup(spark, sf):
+    suppliers = table(spark, sf, "supplier").join(
+        table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
+    )
+    named = suppliers.select(F.col("s_suppkey").alias("symbol"), "n_name")
+    joined = joins.lookup(predictions(spark, sf), named, ["symbol"])
+    return joined.groupBy("n_name").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("y"), "mean_y"))
+
+
+@query(
+    "j03_membership_filter",
+    f"""{WITH_P} SELECT symbol, count(*) AS n FROM p
+        WHERE symbol IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000) GROUP BY 1""",
+)
+def membership_filter(spark, sf):
+    rich = table(spark, sf, "supplier").filter(F.col("s_acctbal") > 5000).select(
+        F.col("s_suppkey").alias("symbol")
+    )
+    kept = joins.semi_join(predictions(spark, sf), rich, ["symbol"])
+    return kept.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "j09_row_alignment",
+    f"""{WITH_P}, o AS (SELECT eval_set, symbol, tick_seq, CASE WHEN tick_seq = 7 THEN y + 1 ELSE y END AS y FROM p
+          WHERE tick_seq <> 3)
+        SELECT eval_set, count(*) AS n_rows, count(*) FILTER (p.y IS DISTINCT FROM o.y) AS mismatches
+        FROM p FULL JOIN o USING (eval_set, symbol, tick_seq) GROUP BY 1""",
+)
+def row_alignment(spark, sf):
+    rows = predictions(spark, sf, sequenced=True)
+    other = rows.filter(F.col("tick_seq") != 3).withColumn(
+        "y", F.when(F.col("tick_seq") == 7, F.col("y") + 1).otherwise(F.col("y"))
+    )
+    paired = joins.alignment(rows, other, ["eval_set", "symbol", "tick_seq"], "y")
+    return paired.groupBy("eval_set").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if("mismatch").alias("mismatches")
+    )
+
+
+@query(
+    "s09_write_predictions",
+    f"{WITH_P} SELECT symbol, count(*) AS n, round(sum(pred_b), 4) AS total FROM p WHERE eval_set = 'eval2' GROUP BY 1",
+)
+def write_predictions(spark, sf):
+    path = store.scratch_path(spark, "predictions")
+    store.write_predictions(predictions(spark, sf), path)
+    back = spark.read.parquet(path).filter(F.col("eval_set") == "eval2")
+    return back.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("pred_b"), "total", 4))
+
+
+@query(
+    "s10_filtered_read",
+    """SELECT l_suppkey AS symbol, count(*) AS n, round(sum(l_quantity), 4) AS qty FROM lineitem
+       WHERE l_returnflag IN ('A', 'R') AND l_suppkey < 40 GROUP BY 1""",
+)
+def filtered_read(spark, sf):
+    rows = table(spark, sf, "lineitem").filter(
+        F.col("l_returnflag").isin("A", "R") & (F.col("l_suppkey") < 40)
+    )
+    return rows.groupBy(F.col("l_suppkey").alias("symbol")).agg(
+        F.count(F.lit(1)).alias("n"), r6(F.sum("l_quantity"), "qty", 4)
+    )
+
+
+# --- permutation and bootstrap -----------------------------------------------
+
+
+@query(
+    "r07_permute_within_symbol",
+    f"""{WITH_P}, o AS (SELECT symbol, y AS py, row_number() OVER (PARTITION BY symbol
+          ORDER BY {draw_sql(SEED, 'symbol', 'tick_seq')}, tick_seq) AS tick_seq FROM p)
+        SELECT symbol, count(*) AS n, round(sum(y), 4) AS total, round(sum(py), 4) AS permuted_total,
+               round(corr(y, py), 6) AS correlation, round(sum((py - pred_a) * (py - pred_a)) / count(*), 4) AS mse
+        FROM p JOIN o USING (symbol, tick_seq) GROUP BY 1""",
+)
+def permute_within_symbol(spark, sf):
+    rows = predictions(spark, sf, sequenced=True)
+    mixed = sampling.permute_within(rows, ["symbol"], "tick_seq", "y", SEED, "py")
+    err = F.col("py") - F.col("pred_a")
+    return mixed.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("n"),
+        r6(F.sum("y"), "total", 4),
+        r6(F.sum("py"), "permuted_total", 4),
+        r6(F.corr("y", "py"), "correlation"),
+        r6(F.avg(err * err), "mse", 4),
+    )
+
+
+@query(
+    "r07_permute_globally",
+    f"""{WITH_P}, g AS (SELECT *, row_number() OVER (ORDER BY symbol, tick_seq) AS row_id FROM p),
+        o AS (SELECT y AS py, row_number() OVER (ORDER BY {draw_sql(SEED, 'row_id')}, row_id) AS row_id FROM g)
+        SELECT symbol, count(*) AS n, round(sum(py), 4) AS permuted_total,
+               round(sum((py - pred_a) * (py - pred_a)) / count(*), 4) AS mse FROM g JOIN o USING (row_id) GROUP BY 1""",
+)
+def permute_globally(spark, sf):
+    from tickloom.operators.positions import sorted_positions
+
+    rows = predictions(spark, sf, sequenced=True)
+    numbered = sorted_positions(rows, [], [F.col("symbol"), F.col("tick_seq")], "row_id")
+    mixed = sampling.permute_within(numbered, [], "row_id", "y", SEED, "py")
+    err = F.col("py") - F.col("pred_a")
+    return mixed.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.sum("py"), "permuted_total", 4), r6(F.avg(err * err), "mse", 4)
+    )
+
+
+FOLDS_CTE = f"""
+dl AS (SELECT rep, symbol, (row_number() OVER (PARTITION BY rep ORDER BY {draw_sql(SEED, 'rep', 'symbol')}, rep, symbol) - 1) % 5
+         AS fold FROM (SELECT DISTINCT symbol FROM p), range(4) r(rep)),
+sm AS (SELECT symbol, count(*)::DOUBLE AS n, sum(pred_a) AS sx, sum(y) AS sy, sum(pred_a * pred_a) AS sxx,
+         sum(pred_a * y) AS sxy FROM p GROUP BY 1),
+hf AS (SELECT rep, fold, sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy
+       FROM dl JOIN sm USING (symbol) GROUP BY 1, 2),
+tf AS (SELECT rep, fold, sum(n) OVER w - n AS n, sum(sx) OVER w - sx AS sx, sum(sy) OVER w - sy AS sy,
+         sum(sxx) OVER w - sxx AS sxx, sum(sxy) OVER w - sxy AS sxy FROM hf WINDOW w AS (PARTITION BY rep)),
+ab AS (SELECT rep, fold, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b,
+         (sy - (n * sxy - sx * sy) / (n * sxx - sx * sx) * sx) / n AS a FROM tf),
+er AS (SELECT rep, y, a + b * pred_a AS pred FROM p JOIN dl USING (symbol) JOIN ab USING (rep, fold))"""
+
+
+@query(
+    "r08_repeated_kfold",
+    f"""{WITH_P}, {FOLDS_CTE} SELECT rep, round(1 - sum((y - pred) * (y - pred)) /
+        (sum(y * y) - sum(y) * sum(y) / count(*)), 6) AS r2 FROM er GROUP BY 1""",
+)
+def repeated_kfold(spark, sf):
+    made = references.repeated_kfold(
+        predictions(spark, sf), "symbol", "pred_a", "y", folds=5, repeats=4, seed=SEED
+    )
+    return rounded(made.withColumn("rep", F.col("rep").cast("bigint")))
+
+
+R2_REP = "1 - sum(times * {e}) / nullif(sum(times * syy) - sum(times * sy) * sum(times * sy) / sum(times * n), 0)"
+CI_OUT = "round(quantile_cont(r, 0.025), 6) AS lo, round(quantile_cont(r, 0.975), 6) AS hi"
+SUMS = ["n", "sy", "syy", "sse_a", "sse_b"]
+BOUNDS = {"lo": 0.025, "hi": 0.975}
+
+
+def group_reps(stat, group, groups_on=("tick_group",)):
+    counts = boot.draw_counts(stat.select(*groups_on, "symbol"), list(groups_on), "symbol", reps=REPS, seed=SEED)
+    return boot.replicate_sums(counts, stat, [*groups_on, "symbol"], list(groups_on), SUMS)
+
+
+@query(
+    "r10_symbol_bootstrap_of_r2",
+    f"""{WITH_P}, {STAT_CTE}, {members_sql('p', 'tick_group')},
+        rp AS (SELECT tick_group, rep, {R2_REP.format(e='sse_a')} AS r FROM cnt JOIN st USING (tick_group, symbol) GROUP BY 1, 2)
+        SELECT tick_group, {CI_OUT}, count(*) FILTER (r IS NULL) AS null_reps FROM rp GROUP BY 1""",
+)
+def symbol_bootstrap_of_r2(spark, sf):
+    stat = cut_lineage(stats(spark, sf))
+    reps = group_reps(stat, "tick_group")
+    return rounded(boot.interval(reps, ["tick_group"], boot.r2_of_sums(sse="sse_a"), BOUNDS))
+
+
+def _paired(stat):
+    counts = boot.draw_counts(stat.select("symbol"), [], "symbol", reps=REPS, seed=SEED)
+    reps = boot.replicate_sums(counts, stat, ["symbol"], [], SUMS)
+    delta = boot.r2_of_sums(sse="sse_b") - boot.r2_of_sums(sse="sse_a")
+    ci = boot.interval(reps, [], delta, BOUNDS)
+    point = metrics.pooled_r2(stat, [], ["sse_a", "sse_b"]).select(F.struct("*")).scalar()
+    return ci.withColumn("_p", point).select(
+        r6(F.col("_p.r2_sse_b") - F.col("_p.r2_sse_a"), "delta"),
+        r6("lo"),
+        r6("hi"),
+        verdicts.paired_effect(F.col("lo"), F.col("hi")).alias("verdict"),
+    )
+
+
+PAIRED_OUT = f"""
+rp AS (SELECT rep, ({R2_REP.format(e='sse_b')}) - ({R2_REP.format(e='sse_a')}) AS r FROM cnt JOIN use USING (symbol) GROUP BY 1),
+po AS (SELECT ({r2_sql('sse_b')}) - ({r2_sql('sse_a')}) AS delta FROM use),
+ci AS (SELECT quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi FROM rp)
+SELECT round(delta, 6) AS delta, round(lo, 6) AS lo, round(hi, 6) AS hi,
+       CASE WHEN lo > 0 THEN 'better' WHEN hi < 0 THEN 'worse' ELSE 'no effect' END AS verdict FROM po, ci"""
+
+
+@query("r11_paired_bootstrap", f"{WITH_P}, {STAT_CTE}, use AS (SELECT * FROM st), {members_sql('use')}, {PAIRED_OUT}")
+def paired_bootstrap(spark, sf):
+    return _paired(cut_lineage(stats(spark, sf)))
+
+
+
+
+@query(
+    "d04_paired_effect_by_group",
+    f"""{WITH_P}, {STAT_CTE}, {members_sql('p', 'tick_group')},
+        rp AS (SELECT tick_group, rep, ({R2_REP.format(e='sse_b')}) - ({R2_REP.format(e='sse_a')}) AS r
+               FROM cnt JOIN st USING (tick_group, symbol) GROUP BY 1, 2),
+        ci AS (SELECT tick_group, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi FROM rp GROUP BY 1)
+        SELECT tick_group, round(lo, 6) AS lo, round(hi, 6) AS hi,
+          CASE WHEN lo > 0 THEN 'better' WHEN hi < 0 THEN 'worse' ELSE 'no effect' END AS verdict FROM ci""",
+)
+def paired_effect_by_group(spark, sf):
+    reps = group_reps(cut_lineage(stats(spark, sf)), "tick_group")
+    delta = boot.r2_of_sums(sse="sse_b") - boot.r2_of_sums(sse="sse_a")
+    ci = boot.interval(reps, ["tick_group"], delta, BOUNDS)
+    return ci.select(
+        "tick_group", r6("lo"), r6("hi"), verdicts.paired_effect(F.col("lo"), F.col("hi")).alias("verdict")
+    )
+
+
+@query(
+    "r16_paired_bootstrap_without_top",
+    f"{WITH_P}, {SHARE_CTE}, use AS (SELECT * FROM sh WHERE place > 1), {members_sql('use')}, {PAIRED_OUT}",
+)
+def paired_bootstrap_without_top(spark, sf):
+    share = shares(spark, sf)
+    top = metrics.top_variation(share, ["all"], "symbol", 1).select("symbol")
+    return _paired(cut_lineage(share.join(top, "symbol", "left_anti").select("symbol", *SUMS)))
+
+
+BOOT_BINS = 12
+
+
+@query(
+    "r15_bootstrap_of_binned_r2",
+    f"""{WITH_P}, {members_sql('p')}, rw AS (SELECT rep, pred_a, y, w, symbol, tick_seq, unnest(range(times)) AS copy
+            FROM p JOIN cnt USING (symbol) WHERE rep < {BOOT_BINS}),
+        bn AS (SELECT *, ntile(20) OVER (PARTITION BY rep ORDER BY pred_a, symbol, tick_seq, copy) AS bin FROM rw),
+        bm AS (SELECT rep, bin, sum(w * y) / sum(w) AS mean_y, sum(w * pred_a) / sum(w) AS mean_pred, sum(w) AS weight
+               FROM bn GROUP BY 1, 2)
+        SELECT rep, round({BINNED_R2}, 6) AS binned_r2 FROM bm GROUP BY 1""",
+)
+def bootstrap_of_binned_r2(spark, sf):
+    rows = predictions(spark, sf, sequenced=True)
+    counts = boot.draw_counts(rows.select("symbol").distinct(), [], "symbol", reps=BOOT_BINS, seed=SEED)
+    made = references.bootstrap_binned_r2(rows, counts, "symbol", "pred_a", "y", "w", ["symbol", "tick_seq"])
+    return rounded(made.withColumn("rep", F.col("rep").cast("bigint")))
+
+
+HET_CTE = f"""
+pm AS (SELECT p.*, o.py FROM p JOIN (SELECT symbol, y AS py, row_number() OVER (PARTITION BY symbol
+        ORDER BY {draw_sql(SEED, 'symbol', 'tick_seq')}, tick_seq) AS tick_seq FROM p) o USING (symbol, tick_seq)),
+ct AS (SELECT tick_group, symbol, count(*) AS n, sum(py) AS sy, sum(py * py) AS syy,
+         sum((py - pred_a) * (py - pred_a)) AS sse_a FROM pm GROUP BY 1, 2),
+pa AS (SELECT tick_group, rep, {R2_REP.format(e='sse_a')} AS a, {R2_REP.format(e='sse_b')} AS b
+       FROM cnt JOIN st USING (tick_group, symbol) GROUP BY 1, 2),
+pc AS (SELECT tick_group, rep, {R2_REP.format(e='sse_a')} AS a FROM cnt JOIN ct USING (tick_group, symbol) GROUP BY 1, 2),
+gi AS (SELECT 'primary' AS model, tick_group AS grp, quantile_cont(a, 0.025) AS lo, quantile_cont(a, 0.975) AS hi FROM pa GROUP BY 2
+  UNION ALL SELECT 'baseline', tick_group, quantile_cont(b, 0.025), quantile_cont(b, 0.975) FROM pa GROUP BY 2),
+gp AS (SELECT 'primary' AS model, tick_group AS grp, {r2_sql('sse_a')} AS r2 FROM st GROUP BY 2
+  UNION ALL SELECT 'baseline', tick_group, {r2_sql('sse_b')} FROM st GROUP BY 2),
+gr AS (SELECT * FROM gi JOIN gp USING (model, grp)),
+en AS (SELECT model, arg_max(grp, r2) AS bg, arg_max(lo, r2) AS bl, arg_max(hi, r2) AS bh, arg_min(grp, r2) AS wg,
+         arg_min(lo, r2) AS wl, arg_min(hi, r2) AS wh, max(lo) <= min(hi) AS allo FROM gr GROUP BY 1),
+vi AS (SELECT count(*) FILTER (lo > 0) AS v FROM (SELECT tick_group, quantile_cont(a, 0.025) AS lo FROM pc GROUP BY 1)),
+ju AS (SELECT a.*, v, a.bl > a.wh OR a.wl > a.bh AS apart, b.bg AS bbg, b.bl > b.wh OR b.wl > b.bh AS bapart
+       FROM en a, en b, vi WHERE a.model = 'primary' AND b.model = 'baseline')"""
+
+
+@query(
+    "d03_heterogeneity_verdict",
+    f"""{WITH_P}, {STAT_CTE}, {members_sql('p', 'tick_group')}, {HET_CTE}
+        SELECT bg AS best_group, wg AS worst_group, CASE WHEN v > 0 THEN 'withheld'
+          WHEN apart AND bl > 0 AND wl <= 0 THEN 'yes' WHEN allo THEN 'no' ELSE 'unclear' END AS heterogeneity,
+          CASE WHEN v = 0 AND apart AND bl > 0 AND wl <= 0 THEN CASE WHEN bapart AND bbg = bg THEN 'essence'
+               ELSE 'model value' END END AS nature FROM ju""",
+)
+def heterogeneity_verdict(spark, sf):
+    rows = predictions(spark, sf, sequenced=True)
+    real = cut_lineage(
+        metrics.symbol_statistics(rows, ["tick_group", "symbol"], "y", PREDS)
+    )
+    mixed = sampling.permute_within(rows, ["symbol"], "tick_seq", "y", SEED, "py")
+    control = cut_lineage(metrics.symbol_statistics(mixed, ["tick_group", "symbol"], "py", PREDS))
+    counts = cut_lineage(
+        boot.draw_counts(real.select("tick_group", "symbol"), ["tick_group"], "symbol", reps=REPS, seed=SEED)
+    )
+
+    def intervals(stat, sse):
+        reps = boot.replicate_sums(counts, stat, ["tick_group", "symbol"], ["tick_group"], SUMS)
+        return boot.interval(reps, ["tick_group"], boot.r2_of_sums(sse=sse), BOUNDS)
+
+    groups = None
+    for model, sse in (("primary", "sse_a"), ("baseline", "sse_b")):
+        point = metrics.pooled_r2(real, ["tick_group"], [sse]).withColumnRenamed(f"r2_{sse}", "r2")
+        part = intervals(real, sse).join(point, "tick_group").select(
+            F.lit("tick").alias("axis"), F.lit(model).alias("model"), F.col("tick_group").alias("grp"), "r2", "lo", "hi"
+        )
+        groups = part if groups is None else groups.unionByName(part)
+    controls = intervals(control, "sse_a").select(F.lit("tick").alias("axis"), "lo")
+    return verdicts.heterogeneity(groups, controls, ["axis"]).drop("axis")
