@@ -18,7 +18,7 @@ def ratio_if_positive(num: Column, den: Column) -> Column:
 def finite(col: Column) -> Column:
     """NaN and infinities become NULL, so aggregates skip them."""
     value = col.cast("double")
-    return F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), value)
+    return F.when(F.abs(value) < F.lit(float("inf")), value)  # NaN sorts above infinity
 
 
 def positive(col: Column) -> Column:

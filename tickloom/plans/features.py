@@ -73,14 +73,13 @@ def feature_matrix(
             "_dropped": book.price_dropped("bid1", w),
             **{f"mid_return_{k}t_bps": book.lagged_return_bps("mid", w, k) for k in sizes.lags},
         }
-        second = {
-            "qbar": book.rolling_mean("bid_queue_depth_at_l1", w, sizes.qbar),
-            f"bid_best_price_drop_count_{sizes.drops}t": book.rolling_sum("_dropped", w, sizes.drops),
+        rolling = {
+            "qbar": ("mean", "bid_queue_depth_at_l1", sizes.qbar),
+            f"bid_best_price_drop_count_{sizes.drops}t": ("sum", "_dropped", sizes.drops),
+            "ofi_depth_5_zscore": ("zscore", "ofi_depth_5", sizes.zscore),
+            "microprice_velocity_zscore": ("zscore", "microprice_velocity", sizes.zscore),
         }
-        for name in ("ofi_depth_5", "microprice_velocity"):
-            second[f"{name}_zscore"] = book.rolling_zscore(
-                name, w, sizes.zscore, sizes.zscore_min, sizes.zscore_include_current
-            )
+        second = {}
         if trades:
             first["trade_event_indicator"] = book.trade_event_indicator()
             first["vol_flow"] = book.traded_volume()
@@ -96,7 +95,14 @@ def feature_matrix(
                 for k in (k1, k2)
             },
         }
-        staged = book.previous_levels(df, w).withColumns(first).withColumns(second)
+        staged = book.with_rolling(
+            book.previous_levels(df, w).withColumns(first),
+            w,
+            rolling,
+            zscore_min=sizes.zscore_min,
+            zscore_include_current=sizes.zscore_include_current,
+        )
+        staged = staged.withColumns(second) if second else staged
         return staged.withColumns(third).drop("_dropped", *[f"_prev_{c}" for c in book.LEVEL_COLUMNS])
 
     return over_rows(

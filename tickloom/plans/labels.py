@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.book import FEE_BPS, spread_bps
+from tickloom.functions.book import FEE_BPS
 from tickloom.functions.numeric import positive, ratio
 from tickloom.operators.asof import fill_flag, forward_asof
 
@@ -25,13 +25,17 @@ def path_label(
     horizon_us: int = HORIZON_US,
     bucket_us: int | None = None,
     fee_bps: float = FEE_BPS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Add ``raw_net_bps``, ``y_path`` and ``mask`` from the first tick at or after the horizon.
+    """``raw_net_bps``, ``y_path`` and ``mask`` from the first tick at or after the horizon.
 
-    Expects ``bid1, ask1`` and the level arrays. A horizon past the day end is unobserved.
+    Expects ``bid1`` and ``ask1``. A horizon past the day end is unobserved. The result has the
+    row key, the two prices, ``keep`` and the labels; wide book columns would travel through the
+    shuffle for nothing.
     """
+    lean = ticks.select(*keys, seq, time, "bid1", "ask1", *keep)
     exits = forward_asof(
-        ticks,
+        lean,
         keys,
         time,
         seq,
@@ -39,16 +43,16 @@ def path_label(
         take={"_exit_seq": seq, "_exit_bid": "bid1"},
         bucket_us=bucket_us or 2 * horizon_us,
     )
-    sold, bought = positive(F.col("_exit_bid")), positive(F.col("ask1"))
+    bid, ask = F.col("bid1"), F.col("ask1")
+    sold, bought = positive(F.col("_exit_bid")), positive(ask)
     raw = (ratio(sold, bought) - 1.0) * 1e4 - fee_bps
-    friction = spread_bps() + fee_bps
+    spread = ratio((ask - bid) * 1e4, (bid + ask) / 2.0)
     labelled = exits.withColumn("raw_net_bps", F.when(F.col("_exit_seq").isNotNull(), raw))
     return (
-        labelled.withColumn(
-            "y_path", F.when(friction > 0, ratio(F.col("raw_net_bps"), friction))
-        )
+        labelled.withColumn("_friction", spread + fee_bps)
+        .withColumn("y_path", F.when(F.col("_friction") > 0, ratio(F.col("raw_net_bps"), F.col("_friction"))))
         .withColumn("mask", F.col("_exit_seq").isNotNull() & F.col("y_path").isNotNull())
-        .drop("_exit_seq", "_exit_bid")
+        .drop("_exit_seq", "_exit_bid", "_friction")
     )
 
 
@@ -63,7 +67,9 @@ def with_labels(
     order_us: int = ORDER_US,
 ) -> DataFrame:
     """Both labels."""
-    paths = path_label(ticks, keys, time, seq, horizon_us=horizon_us)
+    paths = path_label(
+        ticks, keys, time, seq, horizon_us=horizon_us, keep=["sell_min_price"]
+    )
     return fill_flag(
         paths, keys, time, seq, sell_min="sell_min_price", limit_price="bid1",
         max_rows=order_ticks, max_us=order_us,

@@ -87,10 +87,16 @@ def flow_law(quotes, keys, seq, sizes=LawWindows(), chunk_rows=CHUNK_ROWS) -> Da
             {
                 "_ofi": book.order_flow_imbalance(5),
                 "_ret": book.lagged_return_bps("mid", w, sizes.lags[1]),
-                "_qbar": book.rolling_mean("bid_queue_depth_at_l1", w, sizes.qbar),
             }
         )
-        total = staged.withColumn("_flow", book.rolling_sum("_ofi", w, sizes.flow))
+        total = book.with_rolling(
+            staged,
+            w,
+            {
+                "_qbar": ("mean", "bid_queue_depth_at_l1", sizes.qbar),
+                "_flow": ("sum", "_ofi", sizes.flow),
+            },
+        )
         return total.withColumns(
             {
                 "x1": ratio_if_positive(F.col("_flow"), F.col("_qbar")),
@@ -110,14 +116,16 @@ def impact_law(quotes, keys, seq, sizes=LawWindows(), chunk_rows=CHUNK_ROWS) ->
                 "_signed": F.col("buy_volume") - F.col("sell_volume"),
                 "_fast": book.lagged_return_bps("mid", w, sizes.lags[0]),
                 "_ret": book.lagged_return_bps("mid", w, sizes.lags[1]),
-                "_qbar": book.rolling_mean("bid_queue_depth_at_l1", w, sizes.qbar),
             }
         )
-        total = staged.withColumns(
+        total = book.with_rolling(
+            staged,
+            w,
             {
-                "_vol": book.rolling_sum("_signed", w, sizes.flow),
-                "_sigma": book.rolling_std("_fast", w, sizes.vol),
-            }
+                "_qbar": ("mean", "bid_queue_depth_at_l1", sizes.qbar),
+                "_vol": ("sum", "_signed", sizes.flow),
+                "_sigma": ("std", "_fast", sizes.vol),
+            },
         )
         return total.withColumns(
             {
@@ -137,7 +145,9 @@ def volatility_law(quotes, keys, seq, sizes=LawWindows(), chunk_rows=CHUNK_ROWS)
         staged = df.withColumns(
             {f"_r{i}": book.lagged_return_bps("mid", w, k) for i, k in enumerate(sizes.lags)}
         )
-        vols = staged.withColumns({f"_v{i}": book.rolling_std(f"_r{i}", w, sizes.vol) for i in range(3)})
+        vols = book.with_rolling(
+            staged, w, {f"_v{i}": ("std", f"_r{i}", sizes.vol) for i in range(3)}
+        )
         spread = F.col("spread_bps")
         return vols.withColumns(
             {

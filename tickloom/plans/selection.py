@@ -22,9 +22,10 @@ def trust_region(df: DataFrame, columns: Sequence[str], quantile: float = TRUST_
 
     Only the mean vector and the covariance matrix reach the driver.
     """
-    known = drop_incomplete(df, list(columns))
+    # The features are read for the covariance, for the radius and for the result.
+    known = cut_lineage(drop_incomplete(df, list(columns)))
     moments = covariance(known, columns)
-    measured = cut_lineage(known.withColumn("distance", mahalanobis(columns, moments["mean"], moments["cov"])))
+    measured = known.withColumn("distance", mahalanobis(columns, moments["mean"], moments["cov"]))
     radius = grouped_quantiles(measured, [], "distance", {"radius": quantile}).select("radius").scalar()
     return measured.withColumn("on_manifold", F.col("distance") <= radius)
 
