@@ -29,9 +29,11 @@ def micros_to_packed(micros_of_day: Column) -> Column:
 
 
 def epoch_micros(ts: Column) -> Column:
-    """Microseconds since 1970 of a zone-less timestamp, whatever the session zone."""
-    origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.timestamp_diff("MICROSECOND", origin, ts.cast("timestamp_ntz"))
+    """Microseconds since 1970 of a wall clock. Built from its fields, so that neither the session
+    zone nor its daylight saving changes a timestamp that has no zone."""
+    days = F.unix_date(ts.cast("date")).cast("bigint")
+    micros = (F.extract(F.lit("SECOND"), ts) * SECOND_US).cast("bigint")
+    return ((days * 24 + F.hour(ts)) * 60 + F.minute(ts)) * 60 * SECOND_US + micros
 
 
 def bucket_of(micros: Column, width_us: int) -> Column:

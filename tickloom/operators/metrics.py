@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.numeric import ratio, root
 from tickloom.operators.positions import sorted_positions, sorted_running_total, tile
 from tickloom.operators.quantiles import grouped_quantiles
+from tickloom.session import cut_lineage
 
 WIDE_SUMS = 64
 
@@ -259,8 +260,8 @@ def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation with average ties over the rows where both are known."""
-    pairs = df.select(x, y).na.drop().groupBy(x, y).agg(F.count(F.lit(1)).alias("_n"))
-    rows = df.select(x, y).na.drop()
+    rows = cut_lineage(df.select(x, y).na.drop())
+    pairs = rows.groupBy(x, y).agg(F.count(F.lit(1)).alias("_n"))
     rx, ry = average_ranks(rows, x, "_rx"), average_ranks(rows, y, "_ry")
     ranked = pairs.join(rx, x).join(ry, y)
     n = F.col("_n").cast("double")

@@ -40,12 +40,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return tune(spark)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the one the context has, or the one ``spark.checkpoint.dir`` names.
 
     A machine-local folder is only ever used when the master itself is local.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -54,6 +53,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
             shared = tempfile.mkdtemp(prefix="spark-tickloom-", dir="/tmp")
         context.setCheckpointDir(shared)
+    return context.getCheckpointDir().rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

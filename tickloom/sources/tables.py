@@ -10,17 +10,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.session import shared_folder
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared checkpoint location (a local one only on a local master)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="spark-tickloom-", dir="/tmp")
-    return f"{shared}/tickloom-{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/tickloom-{name}-{uuid.uuid4().hex}"
 
 
 def read_keyed_csv(spark: SparkSession, path: str, schema: str, key: str, width: int = 6) -> DataFrame:
