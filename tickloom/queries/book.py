@@ -245,7 +245,7 @@ def finite_rows(spark, sf):
     return drop_incomplete(broken, ["a", "p"]).select("event_id", r6("a"), "p")
 
 
-@query("f06_columns_common_to_all_symbols")
+@query("f06_columns_common_to_all_symbols", f"{WITH_B} SELECT event_id, bid1, ask1, vol FROM b")
 def common_columns(spark, sf):
     rows = _plain(spark, sf).withColumn("only_some", F.when(F.col("symbol") % 2 == 0, F.col("vol")))
     wanted = ["bid1", "ask1", "only_some", "vol"]
@@ -253,7 +253,14 @@ def common_columns(spark, sf):
     return rows.select("event_id", *kept)
 
 
-@query("f07_dimensionless_columns")
+@query(
+    "f07_dimensionless_columns",
+    f"""{WITH_B}, {LEVEL_CTE} SELECT event_id, round(book_imbalance, 6) AS book_imbalance,
+        round(queue_imbalance_best, 6) AS queue_imbalance_best,
+        round(spread_bps / (spread_bps + 23), 6) AS spread_to_round_trip_cost_ratio,
+        '{{"bid_queue_depth_at_l1":"dimension quantity","spread_bps":"dimension return","vol":"no dimension recorded"}}' AS dropped
+        FROM f1""",
+)
 def dimensionless_columns(spark, sf):
     scored = level_features(_plain(spark, sf)).select(
         "event_id", "spread_bps", "book_imbalance", "queue_imbalance_best", "bid_queue_depth_at_l1",
@@ -261,7 +268,7 @@ def dimensionless_columns(spark, sf):
     )
     kept, dropped = filters.dimensionless(filters.with_units(scored, feature.UNITS), ["event_id"])
     reasons = F.create_map(*[F.lit(x) for item in sorted(dropped.items()) for x in item])
-    return kept.withColumn("dropped", F.to_json(reasons))
+    return rounded(kept.withColumn("dropped", F.to_json(reasons)))
 
 
 @query(
@@ -578,7 +585,25 @@ def formula_scores(spark, sf):
     return rounded(formulas.score_formulas(made, FORMULAS, "y", "w"))
 
 
-@query("m14_formula_response")
+RESPONSES = {"c1": "({0})", "c2": "-0.5 * ({0})", "c3": "({0}) * m", "c4": "tanh({0}) - m"}
+
+
+def _response_sql(name: str) -> str:
+    form = RESPONSES[name]
+    up, down, mid = (form.format(x) for x in ("pos + step", "pos - step", "pos"))
+    return (
+        f"SELECT '{name}' AS formula_id, point, round(pos, 6) AS \"at\", round({mid}, 6) AS value, "
+        f"round((({up}) - ({down})) / (2 * step), 6) AS slope FROM gr"
+    )
+
+
+@query(
+    "m14_formula_response",
+    f"""{WITH_B}, {LAW_CTE}, o AS (SELECT x1, x2 FROM law1 WHERE y IS NOT NULL),
+        q AS (SELECT quantile_cont(x1, 0.02) AS lo, quantile_cont(x1, 0.98) AS hi, quantile_cont(x2, 0.5) AS m FROM o),
+        gr AS (SELECT point, lo + (hi - lo) * point / 40 AS pos, (hi - lo) * 1e-4 AS step, m FROM q, range(41) r(point))
+        {' UNION ALL '.join(_response_sql(n) for n in RESPONSES)}""",
+)
 def formula_response(spark, sf):
     made = laws.microprice_law(book(spark, sf), KEYS, "tick_seq", LAW_SIZES).filter("mask")
     return rounded(

@@ -620,7 +620,42 @@ def prediction_correlation(spark, sf):
     return predictions(spark, sf).groupBy("eval_set").agg(r6(F.corr("pred_a", "pred_b"), "correlation"))
 
 
-@query("a34_ridge_path")
+ALPHAS = (1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0, 1000.0)
+RIDGE_XS = ("pred_a", "pred_b", "liq_group")
+
+
+def _wcov(a: str, b: str) -> str:
+    return f"(sum(w * {a} * {b}) / sum(w) - sum(w * {a}) / sum(w) * sum(w * {b}) / sum(w))"
+
+
+def ridge_sql() -> str:
+    """Standardised ridge by Cramer's rule for every alpha, scored on the selection rows."""
+    k = range(3)
+    cols = [f"{_wcov(RIDGE_XS[i], RIDGE_XS[j])} AS c{i}{j}" for i in k for j in k if i <= j]
+    cols += [f"{_wcov(RIDGE_XS[i], 'y')} AS y{i}" for i in k]
+    cols += [f"sum(w * {x}) / sum(w) AS m{i}" for i, x in enumerate(RIDGE_XS)]
+    matrix = [
+        ["1 + alpha" if i == j else f"c{min(i, j)}{max(i, j)} / sqrt(c{i}{i} * c{j}{j})" for j in k] for i in k
+    ]
+    target = [f"y{i} / sqrt(c{i}{i})" for i in k]
+    betas = []
+    for v in k:
+        swapped = [[target[i] if j == v else matrix[i][j] for j in k] for i in k]
+        betas.append(f"({_det(swapped)}) / ({_det(matrix)}) / sqrt(c{v}{v}) AS b{v}")
+    pred = "my + " + " + ".join(f"b{i} * ({x} - m{i})" for i, x in enumerate(RIDGE_XS))
+    alphas = ", ".join(f"({a!r}::DOUBLE)" for a in ALPHAS)
+    return f"""
+gs AS (SELECT symbol, CASE WHEN place <= n // 6 THEN 'eval' WHEN place <= 2 * (n // 6) THEN 'select' ELSE 'train' END AS role
+       FROM (SELECT *, row_number() OVER (PARTITION BY tick_group ORDER BY {draw_sql(SEED, 'symbol')}, symbol) AS place,
+                    count(*) OVER (PARTITION BY tick_group) AS n FROM (SELECT DISTINCT symbol, tick_group FROM p))),
+mo AS (SELECT {', '.join(cols)}, sum(w * y) / sum(w) AS my FROM p JOIN gs USING (symbol) WHERE role = 'train'),
+be AS (SELECT *, {', '.join(betas)} FROM mo, (SELECT * FROM (VALUES {alphas}) t(alpha))),
+pr AS (SELECT alpha, y, w, {pred} AS pred FROM p JOIN gs USING (symbol), be WHERE role = 'select')
+SELECT alpha, round(1 - sum(w * (y - pred) * (y - pred)) / (sum(w * y * y) - sum(w * y) * sum(w * y) / sum(w)), 6) AS r2
+FROM pr GROUP BY 1"""
+
+
+@query("a34_ridge_path", f"{WITH_P}, {ridge_sql()}")
 def ridge_path(spark, sf):
     rows = predictions(spark, sf)
     symbols = rows.select("symbol", "tick_group").distinct()
@@ -629,9 +664,10 @@ def ridge_path(spark, sf):
     path, _ = references.ridge_path(
         marked.filter(F.col("role") == "train"),
         marked.filter(F.col("role") == "select"),
-        ["pred_a", "pred_b", "liq_group"],
+        list(RIDGE_XS),
         "y",
         "w",
+        ALPHAS,
     )
     return rounded(path)
 
