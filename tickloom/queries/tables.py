@@ -427,9 +427,6 @@ def select_rows(spark, sf):
     return chosen.select("vec_id", "on_manifold", r6("weight"))
 
 
-UNIFORM = "{draw} / 4294967296.0::DOUBLE"
-
-
 @query(
     "r09_uniform_box_sample",
     f"""WITH {V_SQL}, q AS (SELECT {', '.join(
