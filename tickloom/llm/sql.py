@@ -1,0 +1,42 @@
+"""DuckDB SQL for the queries of this subpackage."""
+
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+OP2_LINE_DEDUP = r"""
+WITH d AS (SELECT coalesce(doc_id, -9223372036854775808) AS did, doc_id, coalesce(text, '') AS body FROM documents),
+parts AS (SELECT did, body, string_split(body, chr(10)) AS lines FROM d),
+l AS (SELECT did, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM parts),
+k AS (SELECT did, line, pos, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+s AS (SELECT key, min(did) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT did) >= 2),
+j AS (SELECT k.did, k.line, k.pos, (s.key IS NOT NULL AND k.did <> s.first) AS gone FROM k LEFT JOIN s ON k.key = s.key)
+SELECT nullif(did, -9223372036854775808) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM j GROUP BY did
+"""
+
+OP5_QUALITY_RULES = (
+    r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS body, """
+    + _WORDS
+    + r""" AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS wl FROM documents),
+n AS (SELECT r, doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(body, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+    length(regexp_replace(body, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+    length(regexp_replace(body, '[^A-Z]+', '', 'g')) AS n_capitals,
+    length(regexp_replace(body, '[^!]+', '', 'g')) AS n_exclamations,
+    len(wl)::BIGINT AS n_word_lines, (len(wl) - len(list_distinct(wl)))::BIGINT AS n_dup_lines FROM d),
+t AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3),
+g AS (SELECT r, i, [w[i], w[i + 1], w[i + 2]] AS g FROM t),
+c AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g),
+p AS (SELECT r, count(DISTINCT x)::BIGINT AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS x FROM c WHERE n > 1) GROUP BY r),
+m AS (SELECT n.*, coalesce(n_repeat_words, 0) AS n_repeat_words FROM n LEFT JOIN p USING (r)),
+b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > word_chars THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 40 * n_word_lines THEN 8 ELSE 0 END
+    + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END
+    + CASE WHEN 2 * n_capitals > word_chars THEN 64 ELSE 0 END
+    + CASE WHEN 20 * n_exclamations > word_chars THEN 128 ELSE 0 END)::BIGINT AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed,
+    fail_bits = 0 AS kept, fail_bits FROM b
+"""
+)
