@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import crc_fold
 from tickloom.llm.lines import dedup_lines
+from tickloom.llm.quality import score_quality
 from tickloom.llm.rules import apply_policy, rule_ledger
 from tickloom.llm.simhash import near_groups
+from tickloom.llm.toxicity import fit_toxicity, score_toxicity
 from tickloom.llm import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +51,23 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits"
     )
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", (crc_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "worst_start", "worst_end", "worst_score",
+    )
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, _table(spark, sf_dir, "labels"))
+    return scored.select(
+        F.col("row.doc_id").alias("doc_id"), (crc_fold(F.col("row.doc_id"), 3) == 1).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
