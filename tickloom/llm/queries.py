@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import crc_fold
+from tickloom.llm.common import NO_ID, crc_fold
 from tickloom.llm.lines import dedup_lines
+from tickloom.llm.mixing import mixed
+from tickloom.llm.pieces import encode
 from tickloom.llm.quality import score_quality
 from tickloom.llm.rules import apply_policy, rule_ledger
 from tickloom.llm.simhash import near_groups
@@ -71,3 +73,27 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("row.doc_id").alias("doc_id"), (crc_fold(F.col("row.doc_id"), 3) == 1).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+DOMAIN_TARGETS = {"clean": 0.93, "poor": 0.05, "toxic": 0.02}
+
+
+def labelled_domains(labels: DataFrame) -> DataFrame:
+    """Domain of each labelled document; null labels count as the better one."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").otherwise("clean")
+    return labels.select(F.col("doc_id").cast("long").alias("k"), domain.alias("domain"))
+
+
+@query
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rates = mixed(docs, labelled_domains(_table(spark, sf_dir, "labels")), DOMAIN_TARGETS)
+    return rates.select(
+        F.nullif("did", F.lit(NO_ID)).alias("doc_id"), "tokens",
+        *[F.get("p", F.lit(i)).alias(f"p_{n}") for i, n in enumerate(DOMAIN_TARGETS)], "rate",
+    )
+
+
+@query
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(_table(spark, sf_dir, "documents"), dropout=0.1, seed=1)
