@@ -22,8 +22,10 @@ from tickloom.llm.common import cut_lineage, keyed_rows, text_of
 WORDS = 1 << 15  # buckets of words; with the number of domains this bounds what is collected and broadcast
 CALIBRATION_ROWS = 5_000  # most labelled rows the calibration is fitted on, chosen by the hash of their id
 EVIDENCE = 3.0  # most that one word may say for or against a domain
+DOUBT = 0.7  # evidence below this is chance more often than not and counts as none
 SMOOTHING = 20.0
-STEPS = 40
+STEPS = 30
+CLOSE = 1e-4  # gap of a domain, as a share of all tokens, that needs no further step
 
 
 @dataclass
@@ -35,7 +37,8 @@ class DomainModel:
     bias: np.ndarray
 
     def features(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        return per_group(self.evidence[ids], sizes) / np.sqrt(sizes + 1.0)[:, None]
+        total = per_group(self.evidence[ids], sizes)
+        return np.sign(total) * np.log1p(np.abs(total))
 
     def posteriors(self, x: np.ndarray) -> np.ndarray:
         z = x @ self.weights + self.bias
@@ -87,6 +90,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: int, id_col: str
     overall = (table.sum(axis=1) + 1e-9) / (table.sum() + 1e-9 * WORDS)
     within = (table + SMOOTHING * overall[:, None]) / np.maximum(table.sum(axis=0) + SMOOTHING, 1e-9)
     evidence = np.clip(np.log((within * table.sum() + SMOOTHING) / (overall[:, None] * table.sum() + SMOOTHING)), -EVIDENCE, EVIDENCE)
+    evidence = np.sign(evidence) * np.maximum(np.abs(evidence) - DOUBT, 0)
     model = DomainModel(evidence, np.zeros((domains, domains)), np.zeros(domains))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,14 +141,17 @@ def _rate(steps: list[np.ndarray], max_rate: float | None) -> Column:
 
 
 def fit_rates(
-    scored: DataFrame, weights: list[float], total_tokens: float | None = None, max_rate: float | None = None, steps: int = STEPS
+    scored: DataFrame, weights: list[float], anchor: int | None = None, total_tokens: float | None = None,
+    max_rate: float | None = None, headroom: float = 1.0, steps: int = STEPS,
 ) -> Column:
     """Rate of each row of ``scored``, such that expected tokens per domain come near ``weights`` of the total.
 
     Minimises the squared gaps of the domains, in the metric that their token products give, over rates of
     zero or more (and at most ``max_rate``). In that metric a step of one is the largest safe one. The
     gradient of a document depends on its posteriors only, so a rate is replayed from the few numbers of
-    each step and nothing is stored per document. Default total: the largest that repeats no domain.
+    each step and nothing is stored per document. The total is ``total_tokens``, or what keeps the tokens of
+    the domain number ``anchor`` as they are, or else the largest that repeats no domain; ``headroom``
+    multiplies the latter two. With ``max_rate`` 1 and some headroom, documents of the anchor stay whole.
     Domains without tokens get no gradient; without any tokens every rate is 1.
     """
     k = len(weights)
@@ -158,22 +165,23 @@ def fit_rates(
     if have.sum() <= 0:
         return F.lit(1.0)
     present = have > 0
-    total = total_tokens if total_tokens is not None else float((have[present] / np.maximum(share[present], 1e-12)).min())
+    whole = have / np.maximum(share, 1e-12)
+    total = total_tokens or headroom * float(whole[anchor] if anchor is not None and present[anchor] else whole[present].min())
     target, inverse = share * total, np.linalg.pinv(products, rcond=1e-10)
     taken: list[np.ndarray] = []
     for _ in range(steps):
         rate = _rate(taken, max_rate)
         now = np.array(scored.agg(*[F.sum(t * p[i] * rate) for i in range(k)]).first())
-        step = inverse @ (now - target)
-        if np.abs(step).max() < 1e-7:
+        if np.abs(now - target).max() <= CLOSE * total:
             break
+        step = inverse @ (now - target)
         taken.append(step)
     return _rate(taken, max_rate)
 
 
 def mixed(
     docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text",
-    total_tokens: float | None = None, max_rate: float | None = None,
+    anchor: str | None = None, total_tokens: float | None = None, max_rate: float | None = None, headroom: float = 1.0,
 ) -> DataFrame:
     """``did``, ``th``, ``tokens``, ``p`` and ``rate`` of every row of ``docs``.
 
@@ -186,7 +194,8 @@ def mixed(
     numbered = labelled.filter(F.col("domain").isin(names)).select("k", number.alias("y"))
     model = fit_domains(docs, numbered, len(names), id_col, text_col)
     scored = cut_lineage(posteriors(docs, model, id_col, text_col))
-    return scored.withColumn("rate", fit_rates(scored, [targets[n] for n in names], total_tokens, max_rate))
+    rates = fit_rates(scored, [targets[n] for n in names], names.index(anchor) if anchor else None, total_tokens, max_rate, headroom)
+    return scored.withColumn("rate", rates)
 
 
 def drawn(docs: DataFrame, rates: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -75,7 +75,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-DOMAIN_TARGETS = {"clean": 0.93, "poor": 0.05, "toxic": 0.02}
+DOMAIN_TARGETS = {"clean": 0.90, "poor": 0.05, "toxic": 0.05}
 
 
 def labelled_domains(labels: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def labelled_domains(labels: DataFrame) -> DataFrame:
 @query
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    rates = mixed(docs, labelled_domains(_table(spark, sf_dir, "labels")), DOMAIN_TARGETS)
+    rates = mixed(docs, labelled_domains(_table(spark, sf_dir, "labels")), DOMAIN_TARGETS, anchor="clean")
     return rates.select(
         F.nullif("did", F.lit(NO_ID)).alias("doc_id"), "tokens",
         *[F.get("p", F.lit(i)).alias(f"p_{n}") for i, n in enumerate(DOMAIN_TARGETS)], "rate",
