@@ -146,8 +146,9 @@ def fit_rates(
 ) -> Column:
     """Rate of each row of ``scored``, such that expected tokens per domain come near ``weights`` of the total.
 
-    Minimises the squared gaps of the domains, in the metric that their token products give, over rates of
-    zero or more (and at most ``max_rate``). In that metric a step of one is the largest safe one. The
+    Minimises the sum of squared gaps over the domains, each divided by the tokens it has, over rates of zero
+    or more (and at most ``max_rate``). Documents weigh by their tokens; as posteriors sum to one, the
+    curvature is then at most one and a step of one is safe. The
     gradient of a document depends on its posteriors only, so a rate is replayed from the few numbers of
     each step and nothing is stored per document. The total is ``total_tokens``, or what keeps the tokens of
     the domain number ``anchor`` as they are, or else the largest that repeats no domain; ``headroom``
@@ -157,25 +158,20 @@ def fit_rates(
     k = len(weights)
     share = np.asarray(weights, float) / sum(weights)
     t, p = F.col("tokens").cast("double"), [F.get("p", F.lit(i)) for i in range(k)]
-    sums = scored.agg(
-        *[F.coalesce(F.sum(t * p[i]), F.lit(0.0)) for i in range(k)],
-        *[F.coalesce(F.sum(t * p[i] * p[j]), F.lit(0.0)) for i in range(k) for j in range(k)],
-    ).first()
-    have, products = np.array(sums[:k]), np.array(sums[k:]).reshape(k, k)
+    have = np.array(scored.agg(*[F.coalesce(F.sum(t * p[i]), F.lit(0.0)) for i in range(k)]).first())
     if have.sum() <= 0:
         return F.lit(1.0)
     present = have > 0
     whole = have / np.maximum(share, 1e-12)
     total = total_tokens or headroom * float(whole[anchor] if anchor is not None and present[anchor] else whole[present].min())
-    target, inverse = share * total, np.linalg.pinv(products, rcond=1e-10)
+    target = share * total
     taken: list[np.ndarray] = []
     for _ in range(steps):
         rate = _rate(taken, max_rate)
         now = np.array(scored.agg(*[F.sum(t * p[i] * rate) for i in range(k)]).first())
         if np.abs(now - target).max() <= CLOSE * total:
             break
-        step = inverse @ (now - target)
-        taken.append(step)
+        taken.append(np.where(present, (now - target) / np.maximum(have, 1e-12), 0.0))
     return _rate(taken, max_rate)
 
 
