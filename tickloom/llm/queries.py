@@ -14,6 +14,7 @@ from tickloom.llm.pieces import encode
 from tickloom.llm.quality import score_quality
 from tickloom.llm.rules import apply_policy, rule_ledger
 from tickloom.llm.simhash import near_groups
+from tickloom.llm.topk import integer_vectors, top_k
 from tickloom.llm.toxicity import fit_toxicity, score_toxicity
 from tickloom.llm import sql
 
@@ -97,3 +98,8 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"), dropout=0.1, seed=1)
+
+
+@query
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(integer_vectors(_table(spark, sf_dir, "embeddings")))
