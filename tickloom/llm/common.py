@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.session import cut_lineage
+from tickloom.session import cut_lineage, shared_folder
 
-__all__ = ["cut_lineage", "WORD_BREAK", "NO_ID", "words", "spaced", "word_windows", "lower_ascii", "text_of", "keyed_rows", "crc_fold"]
+__all__ = ["cut_lineage", "staged", "WORD_BREAK", "NO_ID", "words", "spaced", "word_windows", "lower_ascii", "text_of", "keyed_rows", "crc_fold"]
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 # A null id counts as one document that sorts before all others.
@@ -58,3 +60,10 @@ def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def crc_fold(id_column: Column, folds: int) -> Column:
     return F.crc32(id_column.cast("string")) % folds
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Written as a table into the shared folder and read again: lineage cut, compact, safe from lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

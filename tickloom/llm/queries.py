@@ -14,6 +14,8 @@ from tickloom.llm.pieces import encode
 from tickloom.llm.quality import score_quality
 from tickloom.llm.rules import apply_policy, rule_ledger
 from tickloom.llm.simhash import near_groups
+from tickloom.llm.subtrees import dedup_words
+from tickloom.llm.suffixes import dedup_bytes
 from tickloom.llm.topk import integer_vectors, top_k
 from tickloom.llm.toxicity import fit_toxicity, score_toxicity
 from tickloom.llm import sql
@@ -103,3 +105,15 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(integer_vectors(_table(spark, sf_dir, "embeddings")))
+
+
+@query
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_bytes(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_words(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -51,3 +51,20 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score FRO
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+OP10_SUBSTRING_DEDUP = (
+    r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, """
+    + _WORDS
+    + r""" AS w FROM documents),
+s AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+h AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM s),
+t AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+g AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM h JOIN t USING (h)),
+a AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+k AS (SELECT a.r, string_agg(word, ' ' ORDER BY a.j) FILTER (WHERE g.j IS NULL) AS kept, count(g.j) AS n_removed
+    FROM a LEFT JOIN g ON a.r = g.r AND a.j = g.j GROUP BY a.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+)
