@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import book
 from tickloom.functions.clock import packed_to_micros
-from tickloom.operators import frames, joins, metrics, ranking, sampling
+from tickloom.operators import bootstrap, frames, joins, metrics, ranking, sampling
 from tickloom.operators.asof import fill_flag, forward_asof, lookback_count
 from tickloom.operators.positions import (
     positions_by_piece,
@@ -111,21 +111,32 @@ def test_carried_scans_equal_one_window(frame):
     assert np.allclose(filled.gap, want.filled)
 
 
-def test_long_rolling_windows_match_direct_frames(frame):
-    requests = {
-        "mean": ("mean", "gap", 40), "sum": ("sum", "x", 40), "std": ("std", "x", 40), "z": ("zscore", "gap", 40)
-    }
-
-    def build(limit):
-        def add(d, w):
-            return book.with_rolling(d, w, requests, zscore_min=5, prefix_rows=limit)
-
-        return collected(frames.over_rows(frame, ["symbol"], "seq", add, before=41, chunk_rows=50), "symbol", "seq")
-
-    fast, slow = build(10), build(1000)
-    for c in requests:
-        assert (fast[c].isna() == slow[c].isna()).all()
-        assert np.allclose(fast[c].dropna(), slow[c].dropna())
+def test_rolling_windows_of_large_values_and_nan(spark):
+    """One method for all sizes: a small spread around 1e8 is kept, a NaN ends with its frame."""
+    big = 1e8 + np.arange(200) % 3
+    holed = np.ones(200) * 2.0
+    holed[50] = np.nan
+    rows = spark.createDataFrame(pd.DataFrame({"symbol": "a", "seq": range(1, 201), "big": big, "holed": holed}))
+    requests = {"std": ("std", "big", 40), "z": ("zscore", "big", 40), "mean": ("mean", "holed", 40)}
+
+    def add(d, w):
+        return book.with_rolling(d, w, requests, zscore_min=5)
+
+    got = collected(frames.over_rows(rows, ["symbol"], "seq", add, before=41, chunk_rows=50), "symbol", "seq")
+    want = pd.Series(big).rolling(40).std()
+    assert np.allclose(got["std"].astype(float)[39:], want[39:])
+    assert np.allclose(got.z.astype(float)[40:], ((big - pd.Series(big).rolling(40).mean()) / want)[40:])
+    assert got["mean"].astype(float)[199] == 2.0
+
+
+def test_every_replicate_is_kept(spark):
+    """A contract seen in one symbol of twenty: replicates that miss it are counted, not lost."""
+    symbols = spark.createDataFrame([(f"s{i}",) for i in range(20)], "symbol string")
+    stats = spark.createDataFrame([("s0", "a", 3.0, 2.0), ("s1", "b", 1.0, 0.0)], "symbol string, contract string, num double, den double")
+    counts = bootstrap.draw_counts(symbols, [], "symbol", reps=1000, seed=1)
+    out = {r.contract: r for r in bootstrap.ratio_interval(counts, stats, "symbol", ["contract"], "num", "den", {"lo": 0.025, "hi": 0.975}).collect()}
+    assert 200 < out["a"].null_reps < 600 and out["a"].lo == out["a"].hi == 1.5
+    assert out["b"].null_reps == 1000 and out["b"].lo is None
 
 
 @pytest.mark.parametrize("how", ["linear", "lower", "higher"])

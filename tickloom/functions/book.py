@@ -37,6 +37,19 @@ UNITS = {
     "book_imbalance_velocity": "dimensionless",
     "trade_event_indicator": "boolean",
     "bid_best_price_drop_count_50t": "count",
+    "mid_return_100t_bps": "return",
+    "signed_aggr_flow_100": "dimensionless",
+    "qbar": "quantity",
+    "ofi_over_qbar_5": "dimensionless",
+    "ofi_over_qbar_10": "dimensionless",
+    "ofi_l1_over_qbar": "dimensionless",
+    "bid_l1_depth_over_qbar": "dimensionless",
+    "microprice_velocity_over_spread": "dimensionless",
+    "mid_return_5t_over_spread": "dimensionless",
+    "mid_return_20t_over_spread": "dimensionless",
+    "mid_return_100t_over_spread": "dimensionless",
+    "ofi_depth_5_zscore": "dimensionless",
+    "microprice_velocity_zscore": "dimensionless",
 }
 
 
@@ -148,9 +161,6 @@ def rolling_zscore(
     return F.when(F.count(value).over(frame) >= min_observations, score)
 
 
-PREFIX_ROWS = 33
-
-
 def with_rolling(
     df: DataFrame,
     window: WindowSpec,
@@ -158,59 +168,21 @@ def with_rolling(
     *,
     zscore_min: int = 20,
     zscore_include_current: bool = True,
-    prefix_rows: int = PREFIX_ROWS,
 ) -> DataFrame:
     """Add rolling columns ``out: (kind, value, size)``; kinds are mean, sum, std and zscore.
 
-    Spark re-reads a sliding frame for every row, so long frames are taken as differences of
-    running sums instead: the cost per row no longer depends on the frame.
+    Every size takes the frame itself. Differences of running sums would cost less on long frames, but
+    they lose the spread of large values and carry a NaN to every later row.
     """
     direct = {"mean": rolling_mean, "sum": rolling_sum, "std": rolling_std}
-    short, long = {}, {}
-    for out, (kind, value, size) in requests.items():
-        if size >= prefix_rows:
-            long[out] = (kind, value, size)
-        elif kind == "zscore":
-            short[out] = rolling_zscore(value, window, size, zscore_min, zscore_include_current)
-        else:
-            short[out] = direct[kind](value, window, size)
-    df = df.withColumns(short) if short else df
-    if not long:
-        return df
-
-    running = window.rowsBetween(Window.unboundedPreceding, 0)
-    sums = {}
-    for value in {v for _, v, _ in long.values()}:
-        sums[f"_n_{value}"] = F.count(value).over(running)
-        sums[f"_s_{value}"] = F.coalesce(F.sum(value).over(running), F.lit(0.0))
-    for value in {v for k, v, _ in long.values() if k in ("std", "zscore")}:
-        sums[f"_q_{value}"] = F.coalesce(
-            F.sum(F.col(value) * F.col(value)).over(running), F.lit(0.0)
-        )
-    spans = {}
-    for kind, value, size in long.values():
-        prior = kind == "zscore" and not zscore_include_current
-        for part in ("n", "s", "q") if kind in ("std", "zscore") else ("n", "s"):
-            name, gap = f"_{part}_{value}", int(prior)
-            end = F.lag(name, 1).over(window) if prior else F.col(name)
-            spans[f"{name}_{size}_{gap}"] = F.coalesce(end, F.lit(0)) - F.coalesce(
-                F.lag(name, size + gap).over(window), F.lit(0)
-            )
-    outs = {}
-    for out, (kind, value, size) in long.items():
-        gap = int(kind == "zscore" and not zscore_include_current)
-        n, total, squares = (f"_{part}_{value}_{size}_{gap}" for part in ("n", "s", "q"))
-        var = f"({squares} - {total} * {total} / {n})"
-        # Rounding of the sums must not pass for spread.
-        spread = f"if({n} < 2 OR {var} <= 1e-12 * {squares}, 0D, sqrt({var} / ({n} - 1)))"
-        text = {
-            "sum": f"if({n} = {size}, {total}, NULL)",
-            "mean": f"if({n} = {size}, {total} / {size}, NULL)",
-            "std": f"if({n} = {size}, {spread}, NULL)",
-            "zscore": f"if({n} >= {zscore_min}, try_divide({value} - {total} / {n}, {spread}), NULL)",
-        }[kind]
-        outs[out] = F.expr(text)
-    return df.withColumns(sums).withColumns(spans).withColumns(outs).drop(*sums, *spans)
+    return df.withColumns(
+        {
+            out: rolling_zscore(value, window, size, zscore_min, zscore_include_current)
+            if kind == "zscore"
+            else direct[kind](value, window, size)
+            for out, (kind, value, size) in requests.items()
+        }
+    )
 
 
 def previous_levels(df: DataFrame, window: WindowSpec) -> DataFrame:

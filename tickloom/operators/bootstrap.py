@@ -60,12 +60,24 @@ def replicate_sums(
     by: Sequence[str],
     sums: Sequence[str],
 ) -> DataFrame:
-    """Weighted sums per replicate. Symbols without statistics add nothing, like zero rows."""
-    return (
+    """Weighted sums per replicate. Symbols without statistics add nothing, like zero rows.
+
+    Every group has every replicate: one that draws no symbol with statistics has sums of zero.
+    """
+    drawn = (
         counts.join(stats, list(on))
         .groupBy(*by, "rep")
         .agg(*[F.sum(F.col("times") * F.col(s)).alias(s) for s in sums])
     )
+    last = counts.agg(F.max("rep").alias("last"))
+    if by:
+        every = stats.select(*by).distinct().withColumn("last", last.scalar())
+    else:
+        every = last
+    every = every.select(*by, F.explode(F.sequence(F.lit(0), F.col("last").cast("int"))).alias("rep"))
+    return every.join(drawn, [*by, "rep"], "left").select(
+        *by, "rep", *[F.coalesce(F.col(s), F.lit(0)).alias(s) for s in sums]
+    )
 
 
 def r2_of_sums(n: str = "n", sy: str = "sy", syy: str = "syy", sse: str = "sse") -> Column:

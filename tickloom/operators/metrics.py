@@ -42,10 +42,11 @@ def weighted_corr(x: Column, y: Column, w: Column, min_rows: int = 10) -> Column
 
     mx, my = mean(w * x), mean(w * y)
     cov = mean(w * x * y) - mx * my
-    vx, vy = mean(w * x * x) - mx * mx, mean(w * y * y) - my * my
-    return F.when(
-        (F.count_if(known) >= min_rows) & (vx > 1e-14) & (vy > 1e-14), ratio(cov, root(vx * vy))
-    )
+    xx, yy = mean(w * x * x), mean(w * y * y)
+    vx, vy = xx - mx * mx, yy - my * my
+    # What rounding leaves of a constant column is no variance; the bound follows the column's unit.
+    varies = (vx > 1e-13 * xx) & (vy > 1e-13 * yy)
+    return F.when((F.count_if(known) >= min_rows) & varies, ratio(cov, root(vx) * root(vy)))
 
 
 def symbol_statistics(

@@ -20,14 +20,14 @@ class Windows:
     qbar: int = 100
     zscore: int = 100
     zscore_min: int = 20
-    flow: int = 20
+    flows: tuple[int, ...] = (20, 100)
     drops: int = 50
     lags: tuple[int, ...] = (5, 20, 100)
     zscore_include_current: bool = True
 
     @property
     def reach(self) -> int:
-        return 1 + max(self.qbar, self.zscore, self.flow, self.drops, *self.lags)
+        return 1 + max(self.qbar, self.zscore, self.drops, *self.flows, *self.lags)
 
 
 def level_features(df: DataFrame) -> DataFrame:
@@ -60,10 +60,14 @@ def feature_matrix(
     trades: bool = True,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """All features. With ``trades=False`` the trade-dependent ones are absent, not zero."""
+    """All features. With ``trades=False`` the trade-dependent ones are absent, not zero.
+
+    The best prices ``bid1, ask1`` are taken from the level arrays where they are not columns already.
+    """
+    best = {"bid1": book.level("bid_px", 1), "ask1": book.level("ask_px", 1)}
+    quotes = quotes.withColumns({n: c for n, c in best.items() if n not in quotes.columns})
 
     def build(df: DataFrame, w) -> DataFrame:
-        k1, k2 = sizes.lags[0], sizes.lags[1]
         first = {
             "microprice_velocity": book.lagged_return_bps("microprice", w, 1),
             "book_imbalance_velocity": book.change("book_imbalance", w),
@@ -83,7 +87,7 @@ def feature_matrix(
         if trades:
             first["trade_event_indicator"] = book.trade_event_indicator()
             first["vol_flow"] = book.traded_volume()
-            second[f"signed_aggr_flow_{sizes.flow}"] = book.signed_flow(w, sizes.flow)
+            second |= {f"signed_aggr_flow_{k}": book.signed_flow(w, k) for k in sizes.flows}
         third = {
             "ofi_over_qbar_5": ratio(F.col("ofi_depth_5"), F.col("qbar")),
             "ofi_over_qbar_10": ratio(F.col("ofi_depth_10"), F.col("qbar")),
@@ -92,7 +96,7 @@ def feature_matrix(
             "microprice_velocity_over_spread": ratio(F.col("microprice_velocity"), F.col("spread_bps")),
             **{
                 f"mid_return_{k}t_over_spread": ratio(F.col(f"mid_return_{k}t_bps"), F.col("spread_bps"))
-                for k in (k1, k2)
+                for k in sizes.lags
             },
         }
         staged = book.with_rolling(

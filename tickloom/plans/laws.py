@@ -194,7 +194,8 @@ def intensity_law(
     )
     caps = grouped_quantiles(rated, keys, "_rate", {"_cap": clip_quantile}, count_as="_known")
     medians = grouped_quantiles(rated.filter("_valid"), keys, "dt_prev", {"_median": 0.5})
-    scaled = rated.join(caps, list(keys)).join(medians, list(keys))
+    # A symbol without a usable gap has no median: its rows stay, with NULLs and mask false.
+    scaled = rated.join(caps, list(keys), "left").join(medians, list(keys), "left")
     capped = (F.col("_known") > 10) & (F.col("_rate") > F.col("_cap"))
     rate = F.when(capped, F.col("_cap")).otherwise(F.col("_rate"))
     return scaled.select(

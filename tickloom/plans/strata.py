@@ -104,7 +104,8 @@ def symbol_covariates(
 ) -> DataFrame:
     """Tick size (commonest gap between neighbouring levels), relative tick, spread in ticks.
 
-    Expects ``bid1, ask1`` and the price arrays. Equal counts take the smaller gap.
+    Expects ``bid1, ask1`` and the price arrays. Equal counts take the smaller gap. A symbol with quotes
+    but without a gap stays, with ``ok`` false and no tick.
     """
     valid = keep_groups(
         quotes.filter(strictly_valid_quote(F.col("bid1"), F.col("ask1"))), [key], min_quotes
@@ -130,7 +131,7 @@ def symbol_covariates(
         ratio(F.col("top.n"), F.col("total")).alias("tick_share"),
     )
     spread = F.col("ask1") - F.col("bid1")
-    shape = valid.join(ticks, key).groupBy(key).agg(
+    shape = valid.join(ticks, key, "left").groupBy(key).agg(
         F.avg(spread / F.col("tick")).alias("mean_spread_ticks"),
         F.avg((spread == F.col("tick")).cast("double")).alias("frac_one_tick"),
         F.count(F.lit(1)).alias("n_quotes"),
@@ -140,10 +141,11 @@ def symbol_covariates(
     )
     traded = quotes.groupBy(key).agg(F.max(turnover).alias("traded_value"))
     return (
-        ticks.join(shape, key)
+        shape.join(ticks, key, "left")
         .join(mids, key)
         .join(traded, key)
         .withColumn("rel_tick_bps", ratio(F.col("tick") * 1e4, F.col("median_price")))
+        .withColumn("ok", F.col("tick").isNotNull())
     )
 
 
@@ -154,7 +156,7 @@ def tick_size_known(covariates: DataFrame, min_share: float = MIN_TICK_SHARE) ->
 
 def tertile_groups(covariates: DataFrame, key: str) -> DataFrame:
     """Thirds by mean spread in ticks (ties: more one-tick quotes first) and by turnover."""
-    covariates = cut_lineage(covariates)
+    covariates = cut_lineage(covariates.filter(F.col("mean_spread_ticks").isNotNull()))
     total = covariates.agg(F.count(F.lit(1)).alias("n")).scalar()
     by_tick = sorted_positions(
         covariates.select(key, "mean_spread_ticks", "frac_one_tick", "traded_value"),

@@ -17,7 +17,7 @@ from tickloom.queries.registry import query, r6, rounded
 from tickloom.sources import ticks as source
 
 WITH_B = f"WITH {B_SQL}"
-SIZES = Windows(qbar=10, zscore=10, zscore_min=5, flow=10, drops=10, lags=(2, 5, 10))
+SIZES = Windows(qbar=10, zscore=10, zscore_min=5, flows=(10,), drops=10, lags=(2, 5, 10))
 LAW_SIZES = laws.LawWindows(qbar=10, flow=10, vol=10, lags=(2, 5, 10), forward=5)
 W = "OVER (PARTITION BY symbol ORDER BY tick_seq"
 
@@ -80,7 +80,23 @@ f AS (SELECT *, ofi_depth_5 / qbar AS ofi_over_qbar_5, ofi_depth_10 / qbar AS of
          ofi_cks_1 / qbar AS ofi_l1_over_qbar, bid_queue_depth_at_l1 / qbar AS bid_l1_depth_over_qbar,
          microprice_velocity / nullif(spread_bps, 0) AS microprice_velocity_over_spread,
          mid_return_2t_bps / nullif(spread_bps, 0) AS mid_return_2t_over_spread,
-         mid_return_5t_bps / nullif(spread_bps, 0) AS mid_return_5t_over_spread FROM f3)"""
+         mid_return_5t_bps / nullif(spread_bps, 0) AS mid_return_5t_over_spread,
+         mid_return_10t_bps / nullif(spread_bps, 0) AS mid_return_10t_over_spread FROM f3)"""
+
+# The same definitions over 40 rows.
+LONG = 40
+LONG_SIZES = Windows(qbar=LONG, zscore=LONG, zscore_min=5, flows=(10, LONG), drops=LONG, lags=(2, 5, 10))
+LONG_LAW_SIZES = laws.LawWindows(qbar=LONG, flow=LONG, vol=LONG, lags=(2, 5, 10), forward=5)
+
+
+def longer(cte: str) -> str:
+    for short, long in (
+        ("ROWS BETWEEN 9 PRECEDING", f"ROWS BETWEEN {LONG - 1} PRECEDING"),
+        ("= 10 THEN", f"= {LONG} THEN"), ("signed_aggr_flow_10", f"signed_aggr_flow_{LONG}"),
+        ("drop_count_10t", f"drop_count_{LONG}t"), ("lead(v1, 10)", f"lead(v1, {LONG})"),
+    ):
+        cte = cte.replace(short, long)
+    return cte
 
 
 def features(spark, sf):
@@ -132,12 +148,29 @@ _window_query(
     "x17_moves_over_spread",
     "mid_return_2t_over_spread",
     "mid_return_5t_over_spread",
+    "mid_return_10t_over_spread",
     "microprice_velocity_over_spread",
 )
 _window_query("x18_bid_depth_over_mean_depth", "bid_l1_depth_over_qbar")
 _window_query("x19_rolling_zscores", "ofi_depth_5_zscore", "microprice_velocity_zscore")
 
 
+_LONG_COLUMNS = (
+    "qbar", f"bid_best_price_drop_count_{LONG}t", f"signed_aggr_flow_{LONG}", "ofi_over_qbar_5", "bid_l1_depth_over_qbar",
+    "ofi_depth_5_zscore", "microprice_velocity_zscore",
+)
+
+
+@query(
+    "x20_long_windows",
+    f"""{WITH_B}, {longer(FEATURE_CTE)} SELECT symbol, tick_seq,
+        {', '.join(f'round({c}, 6) AS {c}' for c in _LONG_COLUMNS)} FROM f""",
+)
+def long_windows(spark, sf):
+    made = feature_matrix(book(spark, sf), KEYS, "tick_seq", LONG_SIZES)
+    return made.select("symbol", "tick_seq", *[r6(c) for c in _LONG_COLUMNS])
+
+
 @query(
     "x00_feature_matrix",
     f"""{WITH_B}, {FEATURE_CTE} SELECT symbol, count(*) AS n, count(qbar) AS n_qbar,
@@ -354,8 +387,8 @@ def covariates(spark, sf):
     "a15_symbol_covariates",
     f"""{WITH_B}, {COVARIATES_CTE} SELECT symbol, tick, round(tick_share, 6) AS tick_share,
         round(mean_spread_ticks, 6) AS mean_spread_ticks, round(frac_one_tick, 6) AS frac_one_tick, n_quotes,
-        round(median_price, 6) AS median_price, traded_value, round(tick * 1e4 / median_price, 6) AS rel_tick_bps
-        FROM cv""",
+        round(median_price, 6) AS median_price, traded_value, round(tick * 1e4 / median_price, 6) AS rel_tick_bps,
+        tick IS NOT NULL AS ok FROM cv""",
 )
 def symbol_covariates(spark, sf):
     return rounded(covariates(spark, sf))
@@ -411,14 +444,14 @@ law4 AS (SELECT symbol, tick_seq, v0 / spread_bps AS x1, v1 / spread_bps AS x2,
            lead(v1, 10) {W}) / spread_bps AS y FROM lw)"""
 
 
-def _law_query(name: str, table: str, xs: tuple[str, ...], build) -> None:
+def _law_query(name: str, table: str, xs: tuple[str, ...], build, cte=LAW_CTE, sizes=LAW_SIZES) -> None:
     cols = (*xs, "y")
     out = ", ".join(f"round({c}, 6) AS {c}" for c in cols)
     mask = " AND ".join(f"{c} IS NOT NULL" for c in cols)
 
-    @query(name, f"{WITH_B}, {LAW_CTE} SELECT symbol, tick_seq, {out}, {mask} AS mask FROM {table}")
+    @query(name, f"{WITH_B}, {cte} SELECT symbol, tick_seq, {out}, {mask} AS mask FROM {table}")
     def run(spark, sf):
-        made = build(book(spark, sf), KEYS, "tick_seq", LAW_SIZES)
+        made = build(book(spark, sf), KEYS, "tick_seq", sizes)
         return made.select("symbol", "tick_seq", *[r6(c) for c in cols], "mask")
 
 
@@ -426,6 +459,9 @@ _law_query("m03_microprice_law_dataset", "law1", ("x1", "x2"), laws.microprice_l
 _law_query("m04_flow_law_dataset", "law2", ("x1",), laws.flow_law)
 _law_query("m05_impact_law_dataset", "law3", ("x1", "x2"), laws.impact_law)
 _law_query("m06_volatility_law_dataset", "law4", ("x1", "x2", "x3"), laws.volatility_law)
+_law_query("m04_flow_law_long", "law2", ("x1",), laws.flow_law, longer(LAW_CTE), LONG_LAW_SIZES)
+_law_query("m05_impact_law_long", "law3", ("x1", "x2"), laws.impact_law, longer(LAW_CTE), LONG_LAW_SIZES)
+_law_query("m06_volatility_law_long", "law4", ("x1", "x2", "x3"), laws.volatility_law, longer(LAW_CTE), LONG_LAW_SIZES)
 
 
 INTENSITY_CTE = """
