@@ -36,7 +36,7 @@ def word_windows(spaced_text: Column, size: int) -> Column:
     One pass of a look-ahead, which costs far less than indexing an array of words per window.
     """
     ahead = " ".join(["[^ ]+"] * size)
-    return F.regexp_extract_all(spaced_text, F.lit(f"(?<![^ ])(?=({ahead}))"), 1)
+    return F.regexp_extract_all(spaced_text, F.lit(f"(?:^| )(?=({ahead}))"), 1)
 
 
 def lower_ascii(text: Column) -> Column:
