@@ -24,7 +24,8 @@ from tickloom.session import broadcast_if_small
 
 ODD = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(ODD, -1, 1 << 64)
-SETTLE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20  # of texts looked at together; several arrays of eight times that size exist at once
+SETTLE_BYTES = 2 << 20
 RUNS_AT_ONCE = 200_000
 CROWDED_TEXTS = 50_000  # most texts with crowded stretches whose list is broadcast rather than shuffled
 
@@ -37,16 +38,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Symbols:
-    """How texts become symbols. ``read`` gives hashes of all symbols and the number of each text.
+    """How texts become symbols. ``read`` gives the symbols of all texts and the number of each text's,
+    ``hashed`` a 64-bit hash of each symbol.
 
-    ``settle(group, body)`` gets stretches (as ``read`` hashes) sorted by group and returns, per stretch, which
-    of its windows occur in another one of its group or at another place of itself.
+    ``settle(stretches, group)`` gets stretches of symbols and returns, per stretch, which of its windows occur
+    in another one of its group or at another place of itself.
     """
 
     length: int
     grams: tuple[int, ...]
     crowd: int  # most distinct stretches of a group that are settled together
+    kind: type  # of a symbol
     read: Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]
+    hashed: Callable[[np.ndarray], np.ndarray]
     settle: Callable[[list[np.ndarray], np.ndarray], list[np.ndarray]]
 
 
@@ -122,8 +126,9 @@ def _anchors(symbols: Symbols, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of key, body and optionally the windows to look at: an anchor per row."""
         for batch in batches:
-            for part in pieces(batch, batch.schema.get_field_index("body")):
+            for part in pieces(batch, batch.schema.get_field_index("body"), PIECE_BYTES):
                 values, sizes = symbols.read(part.column("body").to_pylist())
+                values = symbols.hashed(values)
                 allowed = None
                 if "windows" in part.schema.names:
                     edge = np.zeros(len(values) + 1, np.int64)
@@ -149,7 +154,7 @@ def _cut(symbols: Symbols):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of key, body and its stretches: a row per stretch, with its symbols."""
         for batch in batches:
-            for part in pieces(batch, batch.schema.get_field_index("body")):
+            for part in pieces(batch, batch.schema.get_field_index("body"), PIECE_BYTES):
                 values, sizes = symbols.read(part.column("body").to_pylist())
                 keys = part.column("key").to_pylist()
                 begin = np.cumsum(sizes) - sizes
@@ -170,7 +175,7 @@ def _cut(symbols: Symbols):
 def _settled(symbols: Symbols):
     def spans(rows: list) -> pa.RecordBatch:
         group = np.unique(np.array([r[0] for r in rows], np.int64), return_inverse=True)[1]
-        marks = symbols.settle([np.frombuffer(r[4], np.uint64) for r in rows], group)
+        marks = symbols.settle([np.frombuffer(r[4], symbols.kind) for r in rows], group)
         keys, first, last = [], [], []
         for (_, key, at, known, _), mark in zip(rows, marks):
             if not known and mark.any():

@@ -89,7 +89,11 @@ def _marks(bodies: list[np.ndarray], group: np.ndarray) -> list[np.ndarray]:
     return marks
 
 
-WORDS = Symbols(LENGTH, GRAMS, CROWD, _read, _marks)
+def _hashed(symbols: np.ndarray) -> np.ndarray:
+    return symbols  # words are read as hashes
+
+
+WORDS = Symbols(LENGTH, GRAMS, CROWD, np.uint64, _read, _hashed, _marks)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,6 @@ GRAMS = (50, 125, 185, LENGTH)
 CROWD = 16
 TEXTS_AT_ONCE = 4_096
 BYTE_HASH = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-BYTE_ORDER = np.argsort(BYTE_HASH)
 
 
 def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -150,8 +149,7 @@ def _marks(bodies: list[np.ndarray], group: np.ndarray) -> list[np.ndarray]:
         sizes = np.array([len(bodies[r]) for r in rows])
         place = np.cumsum(sizes + 1) - sizes - 1
         text = np.zeros(int(sizes.sum()) + len(sizes), np.int16)  # zero ends each string
-        own = np.searchsorted(BYTE_HASH[BYTE_ORDER], np.concatenate([bodies[r] for r in rows]))
-        text[_ranges(place, sizes)] = BYTE_ORDER[own] + 1
+        text[_ranges(place, sizes)] = np.concatenate([bodies[r] for r in rows]).astype(np.int16) + 1
         per_text = np.array([len(c) for c in chosen])
         size = np.add.reduceat(sizes + 1, np.cumsum(per_text) - per_text)
         order = suffix_arrays(text, np.cumsum(size) - size, size)
@@ -175,10 +173,14 @@ def _marks(bodies: list[np.ndarray], group: np.ndarray) -> list[np.ndarray]:
 
 def _read(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     raw = [(t or "").encode() for t in texts]
-    return BYTE_HASH[np.frombuffer(b"".join(raw), np.uint8)], np.array([len(r) for r in raw], np.int64)
+    return np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw], np.int64)
 
 
-BYTES = Symbols(LENGTH, GRAMS, CROWD, _read, _marks)
+def _hashed(symbols: np.ndarray) -> np.ndarray:
+    return BYTE_HASH[symbols]
+
+
+BYTES = Symbols(LENGTH, GRAMS, CROWD, np.uint8, _read, _hashed, _marks)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
