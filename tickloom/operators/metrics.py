@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.numeric import ratio, root
 from tickloom.operators.positions import sorted_positions, sorted_running_total, tile
 from tickloom.operators.quantiles import grouped_quantiles
-from tickloom.session import cut_lineage
+from tickloom.session import broadcast_if_small, cut_lineage
 
 WIDE_SUMS = 64
 
@@ -158,7 +158,8 @@ TOPS = {"t99": 0.99, "t999": 0.999}
 def calibration_table(df: DataFrame, by: Sequence[str], pred: str, y: str) -> DataFrame:
     """Deciles of the prediction (last one closed) and its top 1 % and 0.1 %."""
     known = df.select(*by, F.col(pred).alias("p"), F.col(y).alias("y")).na.drop(subset=["p", "y"])
-    edges = grouped_quantiles(known, by, "p", {**DECILES, **TOPS})
+    # One row per group: counted, then sent to the facts, which stay where they are.
+    edges = broadcast_if_small(cut_lineage(grouped_quantiles(known, by, "p", {**DECILES, **TOPS})))
     joined = known.join(edges, list(by))
     p = F.col("p")
     decile = reduce(lambda a, b: a + b, [(p >= F.col(f"e{i}")).cast("int") for i in range(1, 10)]) + 1
@@ -193,7 +194,7 @@ def worst_calibration_gap(table: DataFrame, by: Sequence[str], limit: float = 0.
 
 def top_decile_outcome(df: DataFrame, by: Sequence[str], pred: str, outcome: str) -> DataFrame:
     """Mean outcome where the prediction is in its top decile; easy fills should lose."""
-    cuts = grouped_quantiles(df, by, pred, {"_cut": 0.9})
+    cuts = broadcast_if_small(cut_lineage(grouped_quantiles(df, by, pred, {"_cut": 0.9})))
     top = df.join(cuts, list(by)).filter(F.col(pred) >= F.col("_cut"))
     return top.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(outcome).alias("top_decile_mean")

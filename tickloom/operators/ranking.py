@@ -30,6 +30,14 @@ def assert_disjoint(sets: Mapping[str, DataFrame], key: str) -> None:
         raise ValueError(f"sets overlap, e.g. {[r[key] for r in rows]}")
 
 
+def shared_members(sets: Mapping[str, DataFrame], key: str) -> DataFrame:
+    """Per set (``part``) its members, and how many of them are in another set too."""
+    tagged = union_blocks({n: d.select(key).distinct() for n, d in sets.items()}, "part")
+    held = tagged.groupBy(key).agg(F.collect_set("part").alias("_parts"))
+    each = held.select(F.explode("_parts").alias("part"), (F.size("_parts") > 1).alias("_shared"))
+    return each.groupBy("part").agg(F.count(F.lit(1)).alias("members"), F.count_if("_shared").alias("shared"))
+
+
 def missing_pairs(requested: DataFrame, loaded: DataFrame, on: Sequence[str]) -> DataFrame:
     return requested.select(*on).distinct().join(loaded.select(*on), list(on), "left_anti")
 

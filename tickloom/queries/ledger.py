@@ -429,17 +429,18 @@ def _degradation(spark, sf):
 @query(
     "d08_seed_pass",
     f"""{WITH_L}, f AS (SELECT * FROM l WHERE {FRICTION_SQL} = 'H'), {summary_cte('s', 'contract_id', 'f')},
-        n AS (SELECT total_net_bps AS null_net FROM s WHERE contract_id = 'RO')
-        SELECT contract_id, total_net_bps > 0 AND scorable >= 200 AND total_net_bps > null_net AS passed,
-               bool_and(total_net_bps > 0 AND scorable >= 200 AND total_net_bps > null_net) OVER () AS all_passed
-        FROM s, n WHERE contract_id <> 'RO'""",
+        f2 AS (SELECT * FROM l WHERE {FRICTION_SQL} = 'M'), {summary_cte('s2', 'contract_id', 'f2')},
+        n AS (SELECT total_net_bps AS null_net FROM s WHERE contract_id = 'RO'),
+        p AS (SELECT contract_id, s2.total_net_bps > 0 AND s.total_net_bps > 0 AND s.scorable >= 200
+                     AND s.total_net_bps > null_net AS passed FROM s JOIN s2 USING (contract_id), n WHERE contract_id <> 'RO')
+        SELECT contract_id, passed, bool_and(passed) OVER () AS all_passed FROM p""",
 )
 def seed_pass(spark, sf):
-    table = _degradation(spark, sf).select("contract_id", "h_net", "h_scorable")
+    table = _degradation(spark, sf).select("contract_id", "m_net", "h_net", "h_scorable")
     null_net = table.filter(F.col("contract_id") == "RO").select("h_net").scalar()
     judged = table.filter(F.col("contract_id") != "RO").select(
         "contract_id",
-        verdicts.seed_pass(F.lit(True), F.col("h_net"), F.col("h_scorable"), null_net).alias("passed"),
+        verdicts.seed_pass(F.col("m_net") > 0, F.col("h_net"), F.col("h_scorable"), null_net).alias("passed"),
     )
     return judged.withColumn("all_passed", judged.agg(F.bool_and("passed")).scalar())
 

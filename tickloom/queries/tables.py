@@ -266,15 +266,21 @@ def set_intersection(spark, sf):
 
 @query(
     "u03_disjoint_splits",
-    """SELECT c_nationkey % 3 AS part, count(*) AS members, 0::BIGINT AS shared FROM customer GROUP BY 1""",
+    """WITH t AS (SELECT c_custkey AS k, 'a' AS part FROM customer WHERE c_nationkey % 3 = 0
+            UNION ALL SELECT c_custkey, 'b' FROM customer WHERE c_nationkey % 3 = 1 OR c_custkey % 50 = 0
+            UNION ALL SELECT c_custkey, 'c' FROM customer WHERE c_nationkey % 3 = 2),
+        n AS (SELECT k, count(*) AS n FROM t GROUP BY 1)
+        SELECT part, count(*) AS members, count(*) FILTER (n > 1) AS shared FROM t JOIN n USING (k) GROUP BY 1""",
 )
 def disjoint_splits(spark, sf):
-    rows = table(spark, sf, "customer").select("c_custkey", (F.col("c_nationkey") % 3).alias("part"))
-    parts = {str(i): rows.filter(F.col("part") == i) for i in range(3)}
-    ranking.assert_disjoint(parts, "c_custkey")
-    return rows.groupBy("part").agg(
-        F.count(F.lit(1)).alias("members"), F.lit(0).cast("bigint").alias("shared")
-    )
+    rows = table(spark, sf, "customer")
+    third = F.col("c_nationkey") % 3
+    parts = {
+        "a": rows.filter(third == 0),
+        "b": rows.filter((third == 1) | (F.col("c_custkey") % 50 == 0)),
+        "c": rows.filter(third == 2),
+    }
+    return ranking.shared_members(parts, "c_custkey")
 
 
 @query(

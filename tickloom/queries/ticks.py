@@ -279,8 +279,10 @@ def signals(spark, sf):
 
 @query(
     "w10_event_gaps",
-    f"""{WITH_E}, g AS (SELECT symbol, tick_seq, (t_us - lag(t_us) {W_SQL})) / 1e6 AS dt_prev,
-            (lead(t_us) {W_SQL}) - t_us) / 1e6 AS dt_next FROM e WHERE side <> 'view')
+    f"""{WITH_E}, tr AS (SELECT symbol, t_us, row_number() OVER (PARTITION BY symbol ORDER BY t_us, event_id) AS tick_seq
+            FROM e WHERE side <> 'quote'),
+        g AS (SELECT symbol, tick_seq, (t_us - lag(t_us) {W_SQL})) / 1e6 AS dt_prev,
+            (lead(t_us) {W_SQL}) - t_us) / 1e6 AS dt_next FROM tr)
         SELECT symbol, tick_seq, round(dt_prev, 6) AS dt_prev, round(dt_next, 6) AS dt_next FROM g
         WHERE dt_prev > 1e-6 AND dt_next > 1e-6""",
 )
@@ -290,9 +292,9 @@ def event_gaps(spark, sf):
     def build(d, w):
         return neighbour_gaps(d, w, "t_us")
 
-    gaps = over_rows(
-        ticks(spark, sf).select("symbol", "tick_seq", "t_us"), KEYS, "tick_seq", build, before=1, after=1
-    )
+    rows = raw_ticks(spark, sf).filter(F.col("side") != "quote").select("symbol", "event_id", "t_us")
+    trades = source.sequence_ticks(rows, KEYS, "t_us", ["event_id"], DAY_US)
+    gaps = over_rows(trades.select("symbol", "tick_seq", "t_us"), KEYS, "tick_seq", build, before=1, after=1)
     valid = gaps.filter(
         (F.col("dt_prev") > win.MIN_GAP_SECONDS) & (F.col("dt_next") > win.MIN_GAP_SECONDS)
     )
