@@ -45,47 +45,38 @@ def _log_clean(weights: np.ndarray, bias: float, ids, sizes) -> tuple[np.ndarray
     return 1 / (1 + np.exp(-z)), -np.logaddexp(0, z)
 
 
-def telling_words(ids, sizes, counts, y) -> np.ndarray:
+def telling_words(with_word: np.ndarray, with_both: np.ndarray, n: float, n1: float) -> np.ndarray:
     """Buckets whose share of documents differs between the labels: log-likelihood ratio against chance.
 
     The bound grows with the logarithm of the words compared, as a test of so many words has to. Without
     it the many words that occur in one or two documents would explain the labels by heart.
     """
-    doc = np.repeat(np.repeat(np.arange(len(counts)), counts), sizes)
-    pair = np.unique(ids * len(counts) + doc)
-    word, doc = pair // len(counts), pair % len(counts)
-    with_word = np.bincount(word, minlength=WORDS).astype(np.float64)
-    with_both = np.bincount(word, weights=y[doc], minlength=WORDS)
 
     def log_likelihood(hits, of):
         p = np.clip(hits / np.maximum(of, 1), 1e-12, 1 - 1e-12)
         return hits * np.log(p) + (of - hits) * np.log1p(-p)
 
-    n, n1 = len(y), y.sum()
     apart = log_likelihood(with_both, n1) + log_likelihood(with_word - with_both, n - n1)
-    pooled = np.clip(with_word / n, 1e-12, 1 - 1e-12)
+    pooled = np.clip(with_word / max(n, 1), 1e-12, 1 - 1e-12)
     together = with_word * np.log(pooled) + (n - with_word) * np.log1p(-pooled)
     return np.flatnonzero(2 * (apart - together) > 2.2 * np.log(max(2, (with_word > 0).sum())))
 
 
-def fit_sentences(ids, sizes, counts, y, rounds: int = 300, rate: float = 0.1, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights of the telling words and bias, by Adam on the likelihood of the document labels.
+def fit_sentences(kept, cell, sentence, counts, y, rounds: int = 300, rate: float = 0.1, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights of the kept words and bias, by Adam on the likelihood of the document labels.
 
-    A document's probability is the noisy-or of its sentences. Without both classes the weights are zero.
+    ``cell`` and ``sentence`` pair each occurrence of a kept word with its sentence, ``counts`` has the
+    sentences per document. A document's probability is the noisy-or of its sentences. Without both classes
+    the weights are zero.
     """
     weights, bias = np.zeros(WORDS), -7.0
     if not len(y) or y.min() == y.max():
         return weights, bias
-    kept = telling_words(ids, sizes, counts, y)
-    place = np.full(WORDS, -1)
-    place[kept] = np.arange(len(kept))
-    cell, sentence = place[ids], np.repeat(np.arange(len(sizes)), sizes)
-    cell, sentence = cell[cell >= 0], sentence[cell >= 0]
     owner = np.repeat(np.arange(len(counts)), counts)
     theta = np.append(np.zeros(len(kept)), -4.0)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
-        z = np.bincount(sentence, weights=theta[cell], minlength=len(sizes)) + theta[-1]
+        z = np.bincount(sentence, weights=theta[cell], minlength=len(owner)) + theta[-1]
         z = np.clip(z, -LOGIT_BOUND, LOGIT_BOUND)
         clean = np.exp(_sums(-np.logaddexp(0, z), counts))
         pull = np.where(y == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0) / len(y)
@@ -101,23 +92,51 @@ def fit_toxicity(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
     learn=lambda k: crc_fold(k, FOLDS) != HELD_OUT, most: int = LABELLED_ROWS,
 ) -> tuple[np.ndarray, float]:
-    """Sentence model from at most ``most`` labelled documents, cut into word buckets by the executors."""
+    """Sentence model from at most ``most`` labelled documents.
+
+    The executors count words per label and, once the telling words are known, pass on only those with the
+    number of their sentence; no text and no other word reaches the driver.
+    """
+    sample = labelled_sample(docs, labels, label, id_col, text_col, learn, most)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets, total = Buckets(WORDS, False), np.zeros((2, WORDS), np.int64)
+        for batch in batches:
+            for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                total[y, np.unique(buckets.of_texts([text])[0])] += 1
+        used = np.flatnonzero(total.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0, used]), pa.array(total[1, used])], ["word", "n0", "n1"])
+
+    seen = sample.mapInArrow(counts, "word long, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    seen = seen.toArrow()  # at most WORDS rows
+    shares = np.zeros((2, WORDS))
+    word = np.asarray(seen.column("word"), dtype=np.int64)
+    shares[0, word], shares[1, word] = np.asarray(seen.column("n0")), np.asarray(seen.column("n1"))
+    sizes = dict(sample.groupBy("y").count().collect())
+    n0, n1 = float(sizes.get(0, 0)), float(sizes.get(1, 0))
+    kept = telling_words(shares.sum(axis=0), shares[1], n0 + n1, n1)
+    place = np.full(WORDS, -1)
+    place[kept] = np.arange(len(kept))
+    shared = docs.sparkSession.sparkContext.broadcast(place)
 
     def instances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets(WORDS, False)
         for batch in batches:
-            for part in pieces(batch, 1):
-                for k, text, y in zip(*(part.column(i).to_pylist() for i in range(3))):
-                    ids, sizes, _ = _instances([text], buckets)
-                    yield pa.RecordBatch.from_pydict(
-                        {"k": [k], "ids": [ids.astype(np.int32)], "sizes": [sizes.astype(np.int32)], "y": pa.array([y], pa.int32())}
-                    )
-
-    sample = labelled_sample(docs, labels, label, id_col, text_col, learn, most)
-    rows = sample.mapInArrow(instances, "k long, ids array<int>, sizes array<int>, y int").orderBy("k", "y").toArrow().combine_chunks()
-    flat = {n: np.asarray(rows.column(n).combine_chunks().flatten(), dtype=np.int64) for n in ("ids", "sizes")}
-    counts = np.asarray([len(x) for x in rows.column("sizes")], np.int64)
-    return fit_sentences(flat["ids"], flat["sizes"], counts, np.asarray(rows.column("y"), dtype=np.int64))
+            out = []
+            for k, text, y in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                ids, sizes, _ = _instances([text], buckets)
+                cell, sentence = shared.value[ids], np.repeat(np.arange(len(sizes)), sizes)
+                out.append((k, cell[cell >= 0].astype(np.int32), sentence[cell >= 0].astype(np.int32), len(sizes), y))
+            types = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([o[i] for o in out], t) for i, t in enumerate(types)], ["k", "cell", "sentence", "n", "y"]
+            )
+
+    rows = sample.mapInArrow(instances, "k long, cell array<int>, sentence array<int>, n int, y int").orderBy("k", "y", "n").toArrow()
+    n = np.asarray(rows.column("n"), dtype=np.int64)
+    cell, sentence = (np.asarray(rows.column(c).combine_chunks().flatten(), dtype=np.int64) for c in ("cell", "sentence"))
+    words = np.asarray([len(x) for x in rows.column("cell")], np.int64)
+    return fit_sentences(kept, cell, sentence + np.repeat(np.cumsum(n) - n, words), n, np.asarray(rows.column("y"), dtype=np.int64))
 
 
 def score_toxicity(
