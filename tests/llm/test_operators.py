@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
+from tests.llm.conftest import prose
 from tickloom.llm.components import components
 from tickloom.llm.lines import dedup_lines
 from tickloom.llm.rules import POLICIES, RULES, ablations, apply_policy, mask_of, rule_ledger
@@ -48,6 +49,13 @@ def test_one_of_each_keeps_one_row(docs_of, odd_docs):
     assert kept.count(None) == 1
 
 
+def test_one_of_each_keeps_a_row_of_every_group(docs_of):
+    """Different texts without an id, or under one id, are groups of their own."""
+    rows = [(None, prose(1, 60)), (None, prose(2, 60)), (None, prose(2, 60)), (5, prose(3, 60)), (5, prose(4, 60)), (6, prose(4, 60)), (7, prose(1, 60))]
+    kept = sorted(tuple(r) for r in one_of_each(docs_of(rows)).select(F.coalesce("row.doc_id", F.lit(-1)), "row.text").collect())
+    assert kept == sorted([(-1, prose(2, 60)), (5, prose(3, 60)), (5, prose(4, 60)), (7, prose(1, 60))])
+
+
 def test_links_are_exactly_the_close_prints(spark):
     random.seed(4)
     prints = [random.getrandbits(64) for _ in range(30)]

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import NO_ID, cut_lineage, keyed_rows, lower_ascii, spaced, text_of, word_windows
@@ -23,7 +23,7 @@ def _majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for start in range(0, len(whole), DOCS_AT_ONCE):
             batch = whole.slice(start, DOCS_AT_ONCE)
-            lists = batch.column(1)
+            lists = batch.column(batch.num_columns - 1)
             ends = np.asarray(lists.offsets, dtype=np.int64)
             sizes = np.diff(ends)
             parts = np.asarray(lists.values, dtype=np.int64)[ends[0] : ends[-1]].astype(">i8").view(np.uint8).reshape(-1, 8)
@@ -33,7 +33,17 @@ def _majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ]
             over = 2 * np.concatenate(counts, axis=1) > sizes[:, None]
             prints = np.packbits(over, axis=1).view(">i8").ravel().astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints)], [*batch.schema.names[:-1], "fp"])
+
+
+def _shingled(docs: DataFrame, keys: list[Column], text: Column, shingle: int) -> DataFrame:
+    """``keys``, and ``h``: hashes of the shingles of ``text``, repeats included."""
+    split_up = docs.select(*keys, lower_ascii(spaced(text_of(text))).alias("t")).select(
+        "*", word_windows(F.col("t"), shingle).alias("s")
+    )
+    whole = F.when(F.col("t") == "", F.array().cast("array<string>")).otherwise(F.array("t"))
+    shingles = F.when(F.size("s") > 0, F.col("s")).otherwise(whole)
+    return split_up.withColumn("h", F.transform(shingles, lambda x: F.xxhash64(x))).drop("t", "s")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -42,13 +52,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Shingles are ``shingle`` words joined by a space, repeats included; a shorter text is one shingle,
     a text without words (null, empty, blank) has fingerprint zero.
     """
-    split_up = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), lower_ascii(spaced(text_of(F.col(text_col)))).alias("t")
-    ).select("doc_id", "t", word_windows(F.col("t"), shingle).alias("s"))
-    whole = F.when(F.col("t") == "", F.array().cast("array<string>")).otherwise(F.array("t"))
-    shingles = F.when(F.size("s") > 0, F.col("s")).otherwise(whole)
-    hashes = F.transform(shingles, lambda x: F.xxhash64(x))
-    return split_up.select("doc_id", hashes.alias("h")).mapInArrow(_majority, "doc_id long, fp long")
+    hashed = _shingled(docs, [F.col(id_col).cast("long").alias("doc_id")], F.col(text_col), shingle)
+    return hashed.mapInArrow(_majority, "doc_id long, fp long")
 
 
 def linked_prints(prints: DataFrame, max_bits: int = 2) -> DataFrame:
@@ -107,16 +112,24 @@ def near_groups(
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``row`` for the input rows whose id is the smallest of its group; of repeated rows of it one stays.
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2
+) -> DataFrame:
+    """``row`` for one input row of each group: the smallest id, of texts that share it the smallest hash.
 
-    Of a group that has null ids only, one row stays too.
+    Null ids come last, so a group that has null ids only keeps one of its rows too. Groups under one id, or
+    without any, each keep their own row; of repeated rows one stays.
     """
-    groups = near_groups(docs, id_col, text_col, **how)
-    keep = (
-        groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), "fp").groupBy("did").agg(F.min("fp").alias("fp"))
-    )
-    first = Window.partitionBy("did").orderBy("th")
-    kept = keyed_rows(docs, id_col, text_col).join(keep, "did", "left_semi")
-    return kept.withColumn("turn", F.row_number().over(first)).filter("turn = 1").select("row")
+    rows = keyed_rows(docs, id_col, text_col)
+    text = F.col(f"row.`{text_col}`")
+    prints = cut_lineage(_shingled(rows, [F.col("did"), F.col("th")], text, shingle).mapInArrow(_majority, "did long, th long, fp long"))
+    grouped = components(linked_prints(prints, max_bits), "a", "b")
+    named = prints.join(grouped, F.col("fp") == F.col("node"), "left").withColumn("group", F.coalesce("component", "fp"))
+    return _first_rows(rows, named)
+
+
+def _first_rows(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """``row`` of the first key (``did``, ``th``) of each ``group`` of ``named``, null ids last."""
+    first = F.min(F.struct((F.col("did") == NO_ID).alias("none"), "did", "th"))
+    keep = named.groupBy("group").agg(first.alias("key")).select("key.did", "key.th")
+    return rows.join(keep, ["did", "th"], "left_semi").dropDuplicates(["did", "th"]).select("row")
