@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.conftest import prose
 from tests.oracle import compare, connect
-from tickloom.llm.mixing import drawn, mixed
+from tickloom.llm.mixing import drawn, fit_rates, mixed
 from tickloom.llm.pieces import MODEL, Vocabulary, decode, encode
 from tickloom.llm.quality import score_quality
 from tickloom.llm.queries import ORACLES, QUERIES
@@ -74,6 +74,32 @@ def test_mixing_meets_its_targets(labelled):
     assert mixed(docs.filter("doc_id = -1"), table, {"clean": 0.8, "poor": 0.2}).count() == 0
 
 
+def soft_documents(own: float, n: int = 6000):
+    """Tokens and posteriors of documents, about ``own`` of each for its own domain."""
+    rng = np.random.default_rng(8)
+    base = np.full((n, 3), (1 - own) / 2)
+    base[np.arange(n), rng.choice(3, n, p=(0.6, 0.25, 0.15))] = own
+    p = rng.gamma(base * 8)
+    return rng.integers(1, 2000, n), p / p.sum(axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize(("own", "weights"), [(0.7, [0.75, 0.15, 0.10]), (0.5, [0.75, 0.15, 0.10]), (0.7, [0.9, 0.05, 0.05])])
+def test_mixing_meets_each_target_with_soft_posteriors(spark, own, weights):
+    tokens, p = soft_documents(own)
+    scored = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(tokens, p)], "tokens long, p array<double>")
+    rate = np.array([r[0] for r in scored.select(fit_rates(scored, weights, anchor=0)).collect()])
+    now = (tokens * rate) @ p
+    assert (rate >= 0).all() and np.abs(now / now.sum() / weights - 1).max() < 1e-3
+    assert now[0] == pytest.approx((tokens @ p)[0], rel=1e-3)
+
+
+def test_mixing_tells_of_targets_out_of_reach(spark, caplog):
+    tokens, p = soft_documents(0.7)
+    scored = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(tokens, p)], "tokens long, p array<double>")
+    fit_rates(scored, [0.75, 0.15, 0.10], anchor=0, max_rate=1.0, headroom=1.05)
+    assert "no rates meet the targets" in caplog.text
+
+
 @needs_model
 def test_pieces_without_dropout_are_the_models_own(odd_docs):
     import sentencepiece

@@ -1,15 +1,15 @@
 """Mixing sources to target weights with soft domain membership.
 
 A classifier learned from a labelled table gives every document posteriors over domains. Document rates are
-then the nonnegative least-squares fit of expected domain tokens to their targets, by projected gradient:
-one sum over the documents per step, whatever their number.
+then the nonnegative least-squares fit of expected domain tokens to their targets, nearest to keeping documents
+as they are, by Newton steps: k by k sums over the documents per step, whatever their number.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+import logging
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,13 @@ CALIBRATION_ROWS = 5_000
 EVIDENCE = 3.0  # most that one word may say for or against a domain
 DOUBT = 0.7  # evidence below this is chance more often than not and counts as none
 SMOOTHING = 20.0
-STEPS = 20
-CLOSE = 5e-4  # gap of a domain, as a share of all tokens, that needs no further step
+CLOSE = 1e-4  # gap of a domain, as a share of its own target, that counts as met
+STRENGTHS = [10.0**e for e in range(2, 13)]  # weights of the gaps against moving rates, tried in turn
+FIT_STRENGTH = 1e4  # least weight at which targets that no rates meet are left at their best fit
+STEPS = 60  # most Newton steps per weight
+SHORTER = 0.5 ** np.arange(0, 12, 2)  # step lengths tried together
+
+log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -135,52 +140,127 @@ def posteriors(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text
     return base.mapInArrow(score, "did long, th long, tokens long, p array<double>")
 
 
-def _rate(steps: list[np.ndarray], max_rate: float | None) -> Column:
-    """A document's rate after the given steps: all it needs are its posteriors."""
+def _rate(prices: np.ndarray, max_rate: float | None) -> Column:
+    """A document's rate under a price per domain: all it needs are its posteriors."""
+    moved = F.lit(1.0) - sum(F.get("p", F.lit(k)) * F.lit(float(m)) for k, m in enumerate(prices))
+    low = F.greatest(moved, F.lit(0.0))
+    return low if max_rate is None else F.least(low, F.lit(float(max_rate)))
+
 
-    def onward(rate: Column, step: np.ndarray) -> Column:
-        moved = rate - sum(F.get("p", F.lit(k)) * F.lit(float(m)) for k, m in enumerate(step))
-        low = F.greatest(moved, F.lit(0.0))
-        return low if max_rate is None else F.least(low, F.lit(float(max_rate)))
+def price_sums(t: np.ndarray, p: np.ndarray, prices: np.ndarray, max_rate: float | None) -> np.ndarray:
+    """A row per row of ``prices``: tokens per domain, the cost, the curvature, what documents pay at most, and the most of one token.
 
-    return reduce(onward, steps, F.lit(1.0))
+    These add up over parts of the documents, and the last one's maximum counts.
+    """
+    out = []
+    top = np.inf if max_rate is None else max_rate
+    for m in prices:
+        cost = p @ m
+        rate = np.clip(1 - cost, 0, top)
+        free = (t * ((rate > 0) & (rate < top)))[:, None] * p
+        gain = np.maximum(-cost, 0)
+        out.append(np.concatenate([(t * rate) @ p, [t @ (0.5 * (rate - 1) ** 2 + cost * rate)], (free.T @ p).ravel(), [t @ gain, gain.max(initial=0.0)]]))
+    return np.array(out)
+
+
+def fit_prices(
+    sums: Callable[[np.ndarray], np.ndarray], have: np.ndarray, target: np.ndarray, max_rate: float | None = None
+) -> tuple[np.ndarray, np.ndarray, bool, bool]:
+    """Prices, tokens per domain under them, whether the targets are met, and if not, whether no rates can meet them.
+
+    ``sums`` is ``price_sums`` over all documents. At a given strength the prices minimise a convex function,
+    the dual of moving rates little and leaving small gaps; what it leaves shrinks as the strength grows. That
+    no rates meet the targets is proven when the prices would pay more for the targets than any rates can earn.
+    """
+    k = len(have)
+    real = (have > 0) & (target > 0)
+    goal = np.where(have > 0, target, 0.0)
+
+    def split(row: np.ndarray, m: np.ndarray, soft: np.ndarray):
+        now, cost, curve = row[:k], row[k], row[k + 1 : -2].reshape(k, k)
+        value = m @ goal - cost + 0.5 * (soft * m) @ m
+        return now, value, goal - now + soft * m, curve + np.diag(np.where(have > 0, soft, 1.0))
+
+    def met(now: np.ndarray) -> bool:
+        return bool((np.abs(now - goal)[real] <= CLOSE * goal[real]).all() and (now[~real] <= CLOSE * goal.sum()).all())
+
+    def beyond(row: np.ndarray, m: np.ndarray) -> bool:
+        earned = row[-1] * goal.sum()
+        return (earned if max_rate is None else min(earned, max_rate * row[-2])) < -(m @ goal) * (1 - 1e-9)
+
+    m = np.zeros(k)
+    row, impossible = sums(m[None, :])[0], False
+    for strength in STRENGTHS:
+        soft = have / strength
+        for _ in range(STEPS):
+            now, value, slope, curve = split(row, m, soft)
+            if met(now):
+                return m, now, True, False
+            impossible = impossible or beyond(row, m)
+            if (np.abs(slope) <= 0.1 * CLOSE * np.maximum(np.minimum(goal, have), 1e-9 * have.sum())).all():
+                break
+            step = -np.linalg.solve(curve, slope)
+            tried = m + SHORTER[:, None] * step
+            rows = sums(tried)
+            values = np.array([split(r, x, soft)[1] for r, x in zip(rows, tried)])
+            best = int(values.argmin())
+            if values[best] >= value:
+                break
+            m, row = tried[best], rows[best]
+        now = row[:k]
+        if impossible and strength >= FIT_STRENGTH:
+            break
+    return m, now, met(now), impossible
 
 
 def fit_rates(
     scored: DataFrame, weights: list[float], anchor: int | None = None, total_tokens: float | None = None,
-    max_rate: float | None = None, headroom: float = 1.0, steps: int = STEPS,
+    max_rate: float | None = None, headroom: float = 1.0,
 ) -> Column:
-    """Rate of each row of ``scored``, such that expected tokens per domain come near ``weights`` of the total.
-
-    Minimises the sum of squared gaps over the domains, each divided by the tokens it has, over rates of zero
-    or more (and at most ``max_rate``). Documents weigh by their tokens; as posteriors sum to one, the
-    curvature is then at most one and a step of one is safe. The
-    gradient of a document depends on its posteriors only, so a rate is replayed from the few numbers of
-    each step and nothing is stored per document. The total is ``total_tokens``, or what keeps the tokens of
-    the domain number ``anchor`` as they are, or else the largest that repeats no domain; ``headroom``
-    multiplies the latter two. With ``max_rate`` 1 and some headroom, documents of the anchor stay whole.
-    Domains without tokens get no gradient; without any tokens every rate is 1.
+    """Rate of each row of ``scored``, such that expected tokens per domain are ``weights`` of the total.
+
+    Among rates of zero or more (and at most ``max_rate``) that meet every target, those nearest to 1 are
+    taken, documents weighing by their tokens. Where no rates meet them all, the sum of squared gaps, each
+    divided by the tokens its domain has, is smallest, and a warning names what the domains get. A rate is one less
+    the posteriors times a price per domain, within the bounds, so nothing is stored per document. The total is
+    ``total_tokens``, or what keeps the tokens of the domain number ``anchor`` as they are, or else the
+    largest that repeats no domain; ``headroom`` multiplies the latter two. With ``max_rate`` 1 and some
+    headroom, documents of the anchor stay whole. Domains without tokens have no target; without any tokens
+    every rate is 1.
     """
     k = len(weights)
     share = np.asarray(weights, float) / sum(weights)
-    t, p = F.col("tokens").cast("double"), [F.get("p", F.lit(i)) for i in range(k)]
-    have = np.array(scored.agg(*[F.coalesce(F.sum(t * p[i]), F.lit(0.0)) for i in range(k)]).first())
+    narrow = scored.select("tokens", "p")
+
+    def sums(prices: np.ndarray) -> np.ndarray:
+        def partly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(prices), k + k * k + 3))
+            for batch in batches:
+                p = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(-1, k)
+                part = price_sums(np.asarray(batch.column(0), dtype=np.float64), p, prices, max_rate)
+                most = np.maximum(total[:, -1], part[:, -1])
+                total += part
+                total[:, -1] = most
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["cell", "x"])
+
+        cells = narrow.mapInArrow(partly, "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x"), F.max("x").alias("most")).toArrow()
+        out = np.zeros((2, len(prices) * (k + k * k + 3)))
+        out[:, np.asarray(cells.column("cell"))] = np.asarray(cells.column("x")), np.asarray(cells.column("most"))
+        out = out.reshape(2, len(prices), -1)
+        out[0, :, -1] = out[1, :, -1]
+        return out[0]
+
+    have = sums(np.zeros((1, k)))[0, :k]
     if have.sum() <= 0:
         return F.lit(1.0)
     present = have > 0
     whole = have / np.maximum(share, 1e-12)
     total = total_tokens or headroom * float(whole[anchor] if anchor is not None and present[anchor] else whole[present].min())
-    target = share * total
-    taken: list[np.ndarray] = []
-    last = np.full(k, np.inf)
-    for _ in range(steps):
-        rate = _rate(taken, max_rate)
-        now = np.array(scored.agg(*[F.sum(t * p[i] * rate) for i in range(k)]).first())
-        if np.abs(now - target).max() <= CLOSE * total or np.abs(now - last).max() <= 0.2 * CLOSE * total:
-            break
-        last = now
-        taken.append(np.where(present, (now - target) / np.maximum(have, 1e-12), 0.0))
-    return _rate(taken, max_rate)
+    prices, now, reached, impossible = fit_prices(sums, have, share * total, max_rate)
+    if not reached:
+        why = "no rates meet the targets" if impossible else "targets missed"
+        log.warning("mixing: %s; tokens %s, targets %s", why, now.round(1).tolist(), (share * total).round(1).tolist())
+    return _rate(prices, max_rate)
 
 
 def mixed(
