@@ -11,7 +11,7 @@ import corpus_pipeline
 from tests.llm.conftest import prose
 from tests.oracle import compare, connect
 from tickloom.llm.mixing import drawn, fit_rates, mixed
-from tickloom.llm.pieces import MODEL, Vocabulary, decode, encode
+from tickloom.llm.pieces import MODEL, Vocabulary, _mixed, _skipped, decode, encode
 from tickloom.llm.quality import score_quality
 from tickloom.llm.queries import ORACLES, QUERIES
 from tickloom.llm.toxicity import fit_toxicity, score_toxicity, sentence_spans
@@ -125,6 +125,32 @@ def test_pieces_decode_to_the_text(docs_of, odd_docs):
     assert first == again != other
 
 
+@needs_model
+def test_every_occurrence_draws_by_its_own_key():
+    v = Vocabulary.load(MODEL)
+    n, word = 4000, " unbelievable internationalization"
+    ids, counts = v.encode_texts([word.strip()] * n, np.arange(n), 0.3, 1)
+    ends = np.cumsum(counts)
+    assert len({tuple(ids[e - c : e].tolist()) for e, c in zip(ends, counts)}) > 400
+    merge = np.ones(1, np.int64)
+    assert abs(np.mean([_skipped(np.array([k]), merge, merge, 0.1)[0] for k in _mixed(np.arange(n).astype(np.uint64))]) - 0.1) < 0.02
+
+
+@needs_model
+def test_cached_cuts_equal_cuts_encoded_one_by_one():
+    v = Vocabulary.load(MODEL)
+    rng = np.random.default_rng(6)
+    names = list({" " + "".join(rng.choice(list("abcdehnostrié"), rng.integers(1, 90))) for _ in range(60)}) + [" the", " and", " there"]
+    codes = rng.integers(0, len(names), 1500)
+    own = rng.integers(0, 2**63, len(codes)).astype(np.uint64)
+    ids, counts, which = v._dropped(names, codes, own, 0.1)
+    begin = np.cumsum(counts) - counts
+    plain, sizes = v.with_bytes(*v.encode_cuts([names[c] for c in codes], own, 0.1))
+    first = np.cumsum(sizes) - sizes
+    assert all(ids[begin[w] : begin[w] + counts[w]].tolist() == plain[f : f + n].tolist() for w, f, n in zip(which, first, sizes))
+    assert which.max() + 1 < len(codes)
+
+
 @needs_model
 def test_long_cuts_take_the_same_merges():
     v = Vocabulary.load(MODEL)

@@ -23,7 +23,6 @@ MARK = "▁"  # how the model file writes a space
 CUT = re.compile(r" *[^ ]+| +")
 MATRIX_CHARS = 64  # longer cuts go through the agenda one by one
 NO_MERGE = np.int32(2**31 - 1)
-VARIANTS = 16  # keys per occurrence; equal cuts with equal keys are encoded once per piece of a batch
 TABLE_BITS = 20
 
 
@@ -33,6 +32,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _skipped(key: np.ndarray, at: np.ndarray, piece: np.ndarray, dropout: float) -> np.ndarray:
+    """Whether a merge into ``piece`` is skipped: by a hash of the occurrence's key, the place of the left part and the piece."""
+    mix = _mixed(key.astype(np.uint64) + at.astype(np.uint64) * np.uint64(0x9E3779B1) + (piece + 1).astype(np.uint64) * np.uint64(0x85EBCA77C2B2AE63))
+    return mix < np.uint64(min(dropout, 1.0) * (2**64 - 2049))
+
+
 @dataclass
 class Vocabulary:
     """Pieces of a model: characters, merges by (left, right), their order, and bytes of each id."""
@@ -113,15 +118,13 @@ class Vocabulary:
             open_ = open_[~hit & (have != -1)]
             slot.ravel()[open_] = (slot.ravel()[open_] + 1) % len(self.slots)
         ranks = np.where(found >= 0, self.order[found], NO_MERGE)
-        if dropout > 0:
-            mix = _mixed(key.astype(np.uint64) + at.astype(np.uint64) * np.uint64(0x9E3779B1) + (found + 1).astype(np.uint64) * np.uint64(0x85EBCA77C2B2AE63))
-            ranks = np.where(mix < np.uint64(min(dropout, 1.0) * (2**64 - 2049)), NO_MERGE, ranks)
-        return ranks
+        return np.where(_skipped(key, at, found, dropout), NO_MERGE, ranks) if dropout > 0 else ranks
 
-    def encode_equal(self, symbols: np.ndarray, keys: np.ndarray, dropout: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    def encode_equal(self, symbols: np.ndarray, keys: np.ndarray, dropout: float, taken: list | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """(rows, ids) for cuts of one length, given as a matrix of symbols.
 
         All cuts take their next merge from the agenda together: the best candidate, the leftmost of equals.
+        ``taken`` gets rows, places and pieces of the merges.
         """
         done, rows = [], np.arange(len(symbols))
         at = np.broadcast_to(np.arange(symbols.shape[1], dtype=np.int64), symbols.shape).copy()
@@ -136,6 +139,8 @@ class Vocabulary:
                 if not len(rows):
                     return done
             line = np.arange(len(rows))
+            if taken is not None:
+                taken.append((rows, at[line, best], self.by_rank[rank]))
             before = np.arange(symbols.shape[1] - 1) <= best[:, None]
             symbols = np.where(before, symbols[:, :-1], symbols[:, 1:])
             at = np.where(before, at[:, :-1], at[:, 1:])
@@ -172,8 +177,8 @@ class Vocabulary:
                         heapq.heappush(heap, (r, a, sym[a], sym[b]))
         return np.array([s for s, ok in zip(sym, alive) if ok], np.int64)
 
-    def encode_cuts(self, cuts: list[str], keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of all cuts one after the other, and how many each has."""
+    def encode_cuts(self, cuts: list[str], keys: np.ndarray, dropout: float, taken: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all cuts one after the other, and how many each has. ``taken`` gets the merges of cuts up to MATRIX_CHARS."""
         sizes = np.array([len(c) for c in cuts], np.int64)
         symbols = self.of_char[np.frombuffer("".join(cuts).encode("utf-32-le", "surrogatepass"), np.uint32)]
         begin = np.cumsum(sizes) - sizes
@@ -184,7 +189,10 @@ class Vocabulary:
                 parts.append((rows, symbols[begin[rows]][:, None]))
             elif size <= MATRIX_CHARS:
                 block = symbols[begin[rows][:, None] + np.arange(size)]
-                parts += [(rows[r], ids) for r, ids in self.encode_equal(block, keys[rows], dropout)]
+                own: list | None = None if taken is None else []
+                parts += [(rows[r], ids) for r, ids in self.encode_equal(block, keys[rows], dropout, own)]
+                if own:
+                    taken += [(rows[r], at, piece) for r, at, piece in own]
             else:
                 for r in rows:
                     ids = self.encode_long(symbols[begin[r] : begin[r] + size], keys[r : r + 1], dropout)
@@ -231,16 +239,51 @@ class Vocabulary:
         if not codes:
             return np.zeros(0, np.int64), per_text
         place = np.arange(len(codes)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-        variants = VARIANTS if dropout > 0 else 1
-        pick = _mixed(np.repeat(keys.astype(np.uint64), per_text) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(variants)
-        entry, which = np.unique(np.array(codes, np.int64) * variants + pick.astype(np.int64), return_inverse=True)
-        names = list(known)
-        entry_keys = _mixed((entry % variants + np.int64(seed) * 1_000_003).astype(np.uint64))
-        ids, counts = self.with_bytes(*self.encode_cuts([names[c] for c in entry // variants], entry_keys, dropout))
+        names, which = list(known), np.array(codes, np.int64)
+        if dropout > 0:
+            own = _mixed(np.repeat(keys.astype(np.uint64), per_text) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            own = _mixed(own + np.uint64(seed * 1_000_003 % 2**64))
+            ids, counts, which = self._dropped(names, which, own, dropout)
+        else:
+            ids, counts = self.with_bytes(*self.encode_cuts(names, np.zeros(len(names), np.uint64), 0.0))
         out = _gather(ids, np.cumsum(counts) - counts, counts, which)
         owner = np.repeat(np.arange(len(texts)), per_text)
         return out, np.bincount(owner, weights=counts[which], minlength=len(texts)).astype(np.int64)
 
+    def _dropped(self, names: list[str], codes: np.ndarray, own: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of entries one after the other, how many each has, and the entry of each occurrence of ``names[code]``.
+
+        Every occurrence draws by its own key. One that skips none of the merges its cut takes without
+        dropout ends like that one, which is encoded once; skipped others were never taken. The rest, and
+        cuts of more than MATRIX_CHARS, are encoded one by one.
+        """
+        long = np.array([len(c) > MATRIX_CHARS for c in names])
+        short = np.flatnonzero(~long)
+        taken: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        ids, counts = self.encode_cuts([names[c] for c in short], np.zeros(len(short), np.uint64), 0.0, taken)
+        entry = np.full(len(names), -1, np.int64)
+        entry[short] = np.arange(len(short))
+        changed = long[codes]
+        if taken:
+            cut, at, piece = (np.concatenate(x) for x in zip(*taken))
+            order = np.argsort(cut, kind="stable")
+            at, piece = at[order], piece[order]
+            merges = np.zeros(len(names), np.int64)
+            merges[short] = np.bincount(cut, minlength=len(short))
+            first = np.zeros(len(names), np.int64)
+            first[short] = np.cumsum(merges[short]) - merges[short]
+            n = merges[codes]
+            spot = np.repeat(first[codes] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            skip = _skipped(np.repeat(own, n), at[spot], piece[spot].astype(np.int64), dropout)
+            changed |= np.bincount(np.repeat(np.arange(len(codes)), n)[skip], minlength=len(codes)) > 0
+        rest = np.flatnonzero(changed)
+        which = entry[codes]
+        which[rest] = len(short) + np.arange(len(rest))
+        if len(rest):
+            more, sizes = self.encode_cuts([names[c] for c in codes[rest]], own[rest], dropout)
+            ids, counts = np.concatenate([ids, more]), np.concatenate([counts, sizes])
+        return *self.with_bytes(ids, counts), which
+
     def decode_ids(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes of all texts, without the space put before each, and how many bytes each has."""
         sizes = np.diff(self.starts)
