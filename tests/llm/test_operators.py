@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tests.llm.conftest import prose
+from tickloom.llm.common import NO_ID, keyed_rows
 from tickloom.llm.components import components
 from tickloom.llm.lines import dedup_lines
 from tickloom.llm.rules import POLICIES, RULES, ablations, apply_policy, mask_of, rule_ledger
-from tickloom.llm.simhash import linked_prints, near_groups, one_of_each
+from tickloom.llm.simhash import linked_prints, near_groups, one_of_each, similar_groups
 from tickloom.llm.subtrees import dedup_words
 from tickloom.llm.suffixes import dedup_bytes, suffix_arrays
 from tickloom.llm.topk import cover_tree, integer_vectors, top_k
@@ -56,6 +57,37 @@ def test_one_of_each_keeps_a_row_of_every_group(docs_of):
     assert kept == sorted([(-1, prose(2, 60)), (5, prose(3, 60)), (5, prose(4, 60)), (7, prose(1, 60))])
 
 
+def test_near_copies_by_shared_shingles(docs_of):
+    """Groups of the stage against all pairs: changed words that leave from 0.6 to 0.95 of the shingles."""
+    random.seed(9)
+    rows, i = [], 0
+    for base in range(60):
+        words = prose(900 + base, 150).split()
+        rows.append((i, " ".join(words)))
+        for changes in (0, 1, 2, 4, 8):
+            copy = list(words)
+            for spot in random.sample(range(150), changes):
+                copy[spot] = f"other{i}x{spot}"
+            i += 1
+            rows.append((i, " ".join(copy)))
+        i += 1
+    rows += [(5000, ""), (5001, None), (5002, "one two"), (5003, "one two"), (None, "quite alone here with five words")]
+    sets = [{" ".join(w[j : j + 5]) for j in range(len(w) - 4)} or ({" ".join(w)} if w else {""}) for w in ((t or "").split() for _, t in rows)]
+    pairs = [(x, y) for x in range(len(rows)) for y in range(x) if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])]
+    docs = docs_of(rows)
+    found = {(r.did, r.group) for r in similar_groups(keyed_rows(docs, "doc_id", "text"), F.col("row.text"), 5, 3, 0.8).collect()}
+    group = dict(found)
+    ids = [NO_ID if d is None else d for d, _ in rows]
+    assert sum(group[ids[x]] == group[ids[y]] for x, y in pairs) >= 0.99 * len(pairs)
+    part = list(range(len(rows)))
+    for x, y in sorted(pairs, key=lambda p: (p[1], p[0])) * 3:
+        part[x] = part[y] = min(part[x], part[y])
+    apart = [(x, y) for x in range(len(rows)) for y in range(x) if part[x] != part[y]]
+    assert not any(group[ids[x]] == group[ids[y]] for x, y in apart)
+    kept = one_of_each(docs, shingle=5, max_bits=3, similarity=0.8)
+    assert kept.count() == len(set(group.values()))
+
+
 def test_links_are_exactly_the_close_prints(spark):
     random.seed(4)
     prints = [random.getrandbits(64) for _ in range(30)]

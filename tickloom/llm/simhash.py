@@ -16,6 +16,8 @@ BITS = 64
 # Bit b of byte value v, as counted below.
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 DOCS_AT_ONCE = 2_000
+# Further candidates of a similarity: texts of which BAND_ROWS smallest keyed hashes agree in one of BANDS bands.
+BANDS, BAND_ROWS = 24, 6
 
 
 def _majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,16 +114,103 @@ def near_groups(
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(32))
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """After ``did`` and ``th``: the fingerprint, a hash of the set of shingles, its size, and its bands."""
+    slopes = _mixed(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+    for whole in batches:
+        for start in range(0, len(whole), DOCS_AT_ONCE):
+            batch = whole.slice(start, DOCS_AT_ONCE)
+            prints = next(_majority(iter([batch]))).column(2)
+            ends = np.asarray(batch.column(2).offsets, dtype=np.int64)
+            hashes = np.asarray(batch.column(2).values, dtype=np.int64).view(np.uint64)
+            sets, sizes, bands = [], [], []
+            for lo, hi in zip(ends[:-1], ends[1:]):
+                own = _mixed(np.unique(hashes[lo:hi]))
+                sets.append(_mixed(own.sum(dtype=np.uint64) + np.uint64(len(own))))
+                sizes.append(len(own))
+                lowest = np.array([(own * m).min() for m in slopes]) if len(own) else np.zeros(len(slopes), np.uint64)
+                spread = _mixed(lowest + slopes).reshape(BANDS, BAND_ROWS).sum(axis=1, dtype=np.uint64)
+                bands.append(_mixed(spread + np.arange(BANDS, dtype=np.uint64)))
+            offsets = pa.array(np.arange(0, BANDS * len(batch) + 1, BANDS), pa.int32())
+            flat = pa.array(np.concatenate(bands).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], prints, pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
+                ["did", "th", "fp", "node", "size", "bands"],
+            )
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (``a``, ``b``) whose sets of shingles have at least this Jaccard similarity."""
+    left = sets.select(F.col("node").alias("a"), F.col("h").alias("ha"))
+    right = sets.select(F.col("node").alias("b"), F.col("h").alias("hb"))
+    shared = F.size(F.array_intersect("ha", "hb"))
+    # Rounded so that 4 of 5 shingles are 0.8.
+    share = F.round(shared / (F.size("ha") + F.size("hb") - shared), 12)
+    return pairs.join(left, "a").join(right, "b").filter(share >= similarity).select("a", "b")
+
+
+def similar_groups(rows: DataFrame, text: Column, shingle: int, max_bits: int, similarity: float) -> DataFrame:
+    """``did``, ``th`` and ``group`` of each of the ``keyed_rows``; texts without words are one group.
+
+    Candidates are fingerprints at ``max_bits`` or fewer bits and texts that share a band; each link is verified
+    on the whole sets of shingles. In a crowd of one band all are first compared with its lowest; only crowds
+    that are then of several groups are compared in pairs, and only between groups. Groups are those of all pairs.
+    """
+    hashed = _shingled(rows, [F.col("did"), F.col("th")], text, shingle)
+    found = cut_lineage(
+        hashed.mapInArrow(_banded, "did long, th long, fp long, node long, size long, bands array<long>")
+    )
+    nodes = cut_lineage(found.filter("size > 0").groupBy("node").agg(
+        F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.min(F.struct("did", "th")).alias("key")
+    ))
+    near = linked_prints(nodes, max_bits)
+    # Keys that nodes share: bands, and the lower print of two that are linked.
+    band = nodes.select("node", "size", F.explode("bands").alias("at"))
+    prints = near.select(F.col("a").alias("fp"), F.col("a").alias("at")).union(near.select(F.col("b"), F.col("a")))
+    prints = prints.union(nodes.select("fp", F.col("fp").alias("at"))).distinct()
+    at = band.union(nodes.join(prints, "fp").select("node", "size", F.xxhash64(F.lit("print"), "at")))
+    crowds = at.groupBy("at").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("low")).filter("n > 1")
+    shared = cut_lineage(at.join(crowds.select("at", "low"), "at"))
+    fits = F.least("size", F.col("other")) >= F.greatest("size", F.col("other")) * (similarity - 1e-9)
+
+    used = shared.select("node").distinct()
+    keys = nodes.join(used, "node", "left_semi").select("node", "key.did", "key.th")
+    texts = rows.join(keys, ["did", "th"]).dropDuplicates(["node"])
+    sets = cut_lineage(_shingled(texts, [F.col("node")], text, shingle).select("node", F.array_distinct("h").alias("h")))
+
+    first = shared.select(F.col("low.node").alias("a"), F.col("node").alias("b"), "size", F.col("low.size").alias("other"))
+    links = cut_lineage(_similar(first.filter("a <> b").filter(fits).select("a", "b").distinct(), sets, similarity))
+    named = components(links, "a", "b")
+    placed = shared.join(named, "node", "left").select("at", "node", "size", F.coalesce("component", "node").alias("part"))
+    mixed = placed.groupBy("at").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("at")
+    open_ = cut_lineage(placed.join(mixed, "at", "left_semi"))
+    other = open_.select("at", F.col("node").alias("b"), F.col("size").alias("other"), F.col("part").alias("part_b"))
+    rest = open_.join(other, "at").filter((F.col("node") < F.col("b")) & (F.col("part") != F.col("part_b")) & fits)
+    more = _similar(rest.select(F.col("node").alias("a"), "b").distinct(), sets, similarity)
+    grouped = components(links.union(more), "a", "b")
+    return found.join(grouped, "node", "left").select("did", "th", F.coalesce("component", "node").alias("group"))
+
+
 def one_of_each(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2,
+    similarity: float | None = None,
+) -> DataFrame:
     """``row`` for one input row of each group: the smallest id, of texts that share it the smallest hash.
 
     Null ids come last, so a group that has null ids only keeps one of its rows too. Groups under one id, or
-    without any, each keep their own row; of repeated rows one stays.
+    without any, each keep their own row; of repeated rows one stays. With a ``similarity`` the groups are
+    those of ``similar_groups``.
     """
     rows = keyed_rows(docs, id_col, text_col)
     text = F.col(f"row.`{text_col}`")
+    if similarity is not None:
+        return _first_rows(rows, similar_groups(rows, text, shingle, max_bits, similarity))
     prints = cut_lineage(_shingled(rows, [F.col("did"), F.col("th")], text, shingle).mapInArrow(_majority, "did long, th long, fp long"))
     grouped = components(linked_prints(prints, max_bits), "a", "b")
     named = prints.join(grouped, F.col("fp") == F.col("node"), "left").withColumn("group", F.coalesce("component", "fp"))
