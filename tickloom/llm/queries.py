@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.llm.clusters import cluster, cluster_report, kept_vectors
 from tickloom.llm.common import NO_ID, crc_fold
 from tickloom.llm.lines import dedup_lines
 from tickloom.llm.mixing import mixed
+from tickloom.llm.negatives import hard_negatives, mining_rows
 from tickloom.llm.pieces import encode
 from tickloom.llm.quality import score_quality
 from tickloom.llm.rules import apply_policy, rule_ledger
@@ -18,6 +20,7 @@ from tickloom.llm.subtrees import dedup_words
 from tickloom.llm.suffixes import dedup_bytes
 from tickloom.llm.topk import integer_vectors, top_k
 from tickloom.llm.toxicity import fit_toxicity, score_toxicity
+from tickloom.llm.warc import read_records, write_warc
 from tickloom.llm import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +120,20 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_words(_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"
+    return hard_negatives(mining_rows(_table(spark, sf_dir, "embeddings"), label=moved))
+
+
+@query
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_records(write_warc(_table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_report(cluster(kept_vectors(_table(spark, sf_dir, "embeddings")))).withColumnRenamed("id", "vec_id")

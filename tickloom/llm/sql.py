@@ -52,6 +52,31 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score D
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+OP11_HARD_NEGATIVES = r"""
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, embedding, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+v AS MATERIALIZED (SELECT r, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM e),
+u AS MATERIALIZED (SELECT r, i, floor(256 * e::DOUBLE)::BIGINT AS x FROM v),
+a AS MATERIALIZED (SELECT r AS ar, i, x AS ax FROM u WHERE r IN (SELECT r FROM e WHERE vec_id % 50 = 0)),
+s AS MATERIALIZED (SELECT ar, u.r, sum(ax * x)::BIGINT AS score FROM a JOIN u USING (i) WHERE ar <> u.r GROUP BY ar, u.r),
+t AS MATERIALIZED (SELECT s.ar, q.vec_id AS anchor_id, s.r, c.vec_id, score, q.label = c.label AS same
+    FROM s JOIN e q ON q.r = s.ar JOIN e c ON c.r = s.r),
+p AS (SELECT *, row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id) AS n FROM t WHERE same),
+m AS (SELECT p.ar, p.anchor_id, p.r AS pr, p.vec_id AS positive_id, p.score AS positive_score, t.vec_id AS negative_id, t.score AS negative_score
+    FROM p JOIN t ON p.ar = t.ar AND NOT t.same AND 50 * p.score <= 100 * t.score AND 100 * t.score <= 95 * p.score WHERE p.n <= 5),
+k AS (SELECT *, row_number() OVER (PARTITION BY ar, pr ORDER BY negative_score DESC, negative_id)::INTEGER AS rank FROM m)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM k WHERE rank <= 3
+"""
+
+OP12_WARC = r"""
+WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, '')))::BIGINT AS n FROM pages),
+r AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY page_id NULLS LAST) > 1 AND n >= 100 AS again,
+    min(page_id) OVER (PARTITION BY digest) AS first_id FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN again THEN first_id END AS refers_to FROM r
+"""
+
 OP10_SUBSTRING_DEDUP = (
     r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, """
@@ -68,3 +93,41 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, s
 FROM d LEFT JOIN k USING (r)
 """
 )
+
+
+def _clustering(k: int = 40, rounds: int = 5) -> str:
+    steps = [
+        r"""
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+v AS (SELECT r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v,
+    sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS h FROM e),
+l AS MATERIALIZED (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v),
+f AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM v),
+c0 AS MATERIALIZED (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM f WHERE c < %d)"""
+        % k
+    ]
+    for n in range(rounds + 1):
+        steps.append(
+            f"""
+d{n} AS (SELECT l.r, c, sum((l.x - c{n}.x) * (l.x - c{n}.x))::BIGINT AS d FROM l JOIN c{n} USING (i) GROUP BY l.r, c),
+a{n} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM d{n} GROUP BY r)"""
+        )
+        if n < rounds:
+            steps.append(
+                f"""
+m{n} AS (SELECT c, i, sum(l.x)::BIGINT AS s, count(*) AS n FROM l JOIN a{n} USING (r) GROUP BY c, i),
+c{n + 1} AS MATERIALIZED (SELECT c, i, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x FROM c{n} LEFT JOIN m{n} USING (c, i))"""
+            )
+    return (
+        ",".join(steps)
+        + f""",
+t AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, a.c::INTEGER AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+    (sum(a.d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} a JOIN t USING (c) JOIN v USING (r)
+"""
+    )
+
+
+OP13_CENTROID_CLUSTERING = _clustering()
