@@ -25,6 +25,16 @@ def _chunk(seq: Column, chunk_rows: int) -> Column:
     return F.floor((seq - 1) / F.lit(chunk_rows)).cast("bigint")
 
 
+def spread_over_chunks(
+    df: DataFrame, keys: Sequence[str], seq: str, *, before: int = 0, after: int = 0, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """Rows with ``_home``, their own chunk, and ``_chunk``, once for each chunk that has to see them."""
+    position = F.col(seq)
+    first = _chunk(F.greatest(position - after, F.lit(1)), chunk_rows)
+    last = _chunk(position + before, chunk_rows)
+    return df.withColumn("_home", _chunk(position, chunk_rows)).withColumn("_chunk", F.explode(F.sequence(first, last)))
+
+
 def over_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -40,12 +50,7 @@ def over_rows(
     ``seq`` is the dense 1-based position in ``keys``. For nested frames ``before`` and
     ``after`` are the sums along the nesting.
     """
-    position = F.col(seq)
-    first = _chunk(F.greatest(position - after, F.lit(1)), chunk_rows)
-    last = _chunk(position + before, chunk_rows)
-    spread = df.withColumn("_home", _chunk(position, chunk_rows)).withColumn(
-        "_chunk", F.explode(F.sequence(first, last))
-    )
+    spread = spread_over_chunks(df, keys, seq, before=before, after=after, chunk_rows=chunk_rows)
     window = Window.partitionBy(*keys, "_chunk").orderBy(seq)
     return build(spread, window).filter(F.col("_home") == F.col("_chunk")).drop("_home", "_chunk")
 

@@ -8,15 +8,17 @@ earlier pieces plus its place in its own piece.
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.draws import draw, draw_bucket
-from tickloom.session import cut_lineage
 
-HASH_PIECES = 4096
+HASH_PIECES = 4_096  # at least; more where the job is set to more partitions
+SAMPLES_PER_PIECE = 32
 
 
 def _piece_offsets(df: DataFrame, keys: Sequence[str], piece: str) -> DataFrame:
@@ -60,12 +62,14 @@ def shuffled_positions(
     seed: int | str,
     out: str,
     at_most: int | None = None,
-    pieces: int = HASH_PIECES,
+    pieces: int | None = None,
 ) -> DataFrame:
     """1-based position of each row in a seeded random order within ``keys``.
 
     The order is by draw, then by ``ident``; equal slices of the draw range are the pieces.
     """
+    if pieces is None:
+        pieces = max(HASH_PIECES, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     drawn = df.withColumn("_draw", draw(seed, *[F.col(c) for c in ident]))
     placed = positions_by_piece(
         drawn, keys, draw_bucket(F.col("_draw"), pieces), ["_draw", *ident], out, at_most
@@ -73,6 +77,40 @@ def shuffled_positions(
     return placed.drop("_draw")
 
 
+def range_piece(df: DataFrame, order: Sequence[Column], pieces: int) -> Column:
+    """Number of the range that a row of ``df`` falls into along ``order`` (ascending, NULL first).
+
+    The cuts come from a bounded sample chosen by the hash of the order columns, which is all that one small job
+    reads; they are constants of the plan, so every evaluation uses the same ones. A row compares itself
+    with about ``2 * sqrt(pieces)`` of them. Rows that tie on all of ``order`` share a range.
+    """
+    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    sample = df.select(place.alias("t")).orderBy(F.xxhash64("t"), "t").limit(SAMPLES_PER_PIECE * pieces)
+    ordered = sample.agg(F.sort_array(F.collect_list("t")).alias("s")).filter(F.size("s") > 0)
+    spots = F.transform(
+        F.sequence(F.lit(1), F.lit(max(pieces - 1, 1))), lambda i: F.get("s", F.floor(i * F.size("s") / pieces).cast("int"))
+    )
+    cuts = ordered.select(spots.alias("cuts"))
+    found = cuts.select(F.to_json("cuts")).first()
+    if found is None:
+        return F.lit(0)
+    kind = cuts.schema["cuts"].dataType
+    step = math.isqrt(pieces) + 1
+
+    def constant(chosen: list) -> Column:
+        return F.from_json(F.lit(json.dumps(chosen)), kind)
+
+    # What the text rounds is the same for all rows, and the cuts stay in order.
+    all_cuts = json.loads(found[0])
+    passed = F.size(F.filter(constant(all_cuts[step - 1 :: step]), lambda c: c <= place)) * step
+    return (passed + F.size(F.filter(F.slice(constant(all_cuts), passed + 1, step), lambda c: c <= place))).cast("int")
+
+
+def _even_pieces(df: DataFrame) -> int:
+    """More pieces than partitions, so that hashing deals them out evenly."""
+    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def sorted_positions(
     df: DataFrame,
     keys: Sequence[str],
@@ -82,24 +120,20 @@ def sorted_positions(
 ) -> DataFrame:
     """1-based position by arbitrary values, for orders with no known distribution.
 
-    Spark's range partitioner samples the sort key and finds balanced cuts. The range id is
-    read from the partition number, so the result is checkpointed before it is used twice:
-    a second evaluation could sample other cuts.
+    ``order`` is ascending; negate a number to have it fall. The rows are shuffled once, by range; the cuts and
+    the counts per range read only the keys and order columns, so an input that is costly to compute
+    is better staged before.
     """
-    count = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(count, *[F.col(k) for k in keys], *order)
-    ranged = cut_lineage(ranged.withColumn("_range", F.spark_partition_id()))
-    return positions_by_piece(ranged, keys, F.col("_range"), order, out).drop("_range")
+    count = pieces or _even_pieces(df)
+    return positions_by_piece(df, keys, range_piece(df, [*[F.col(k) for k in keys], *order], count), order, out)
 
 
 def sorted_running_total(
     df: DataFrame, order: Sequence[Column], weight: str, out: str, pieces: int | None = None
 ) -> DataFrame:
     """Running sum of ``weight`` along a global order, current row included."""
-    count = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut_lineage(
-        df.repartitionByRange(count, *order).withColumn("_range", F.spark_partition_id())
-    )
+    count = pieces or _even_pieces(df)
+    ranged = df.withColumn("_range", range_piece(df, order, count))
     sums = ranged.groupBy("_range").agg(F.sum(weight).alias("_sum"))
     # One row per range: as many as the job has partitions.
     earlier = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -3,29 +3,42 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.operators.frames import CHUNK_ROWS, forward_fill, over_rows, running_total
+from tickloom.operators.kernels import Stretch, over_chunks, prior_order_statistics
 
 MIN_GAP_SECONDS = 1e-6
 
 
-def prior_quantiles(
-    value: str, window: WindowSpec, probs: dict[str, float], size: int = 100
-) -> dict[str, Column]:
-    """Quantiles of the ``size`` rows before this one, upper neighbour, from one sorted array.
+def with_rolling_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    seq: str,
+    cuts: Mapping[str, Mapping[str, float]],
+    size: int = 100,
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """Quantiles of the ``size`` rows before each row, upper neighbour, for several columns in one pass.
 
-    NULL until ``size`` rows precede and while any of them is missing.
+    ``cuts`` maps a column to new names and their probabilities. NULL until ``size`` rows precede and
+    while any of them is missing. Each column keeps one sorted window per chunk, however many
+    quantiles are read from it.
     """
-    prior = F.array_sort(F.collect_list(value).over(window.rowsBetween(-size, -1)))
-    out = {}
-    for name, p in probs.items():
-        place = math.ceil(p * (size - 1)) + 1
-        out[name] = F.when(F.size(prior) == size, F.element_at(prior, place))
-    return out
+    places = {value: {name: math.ceil(p * (size - 1)) for name, p in probs.items()} for value, probs in cuts.items()}
+
+    def kernel(rows: Stretch) -> dict:
+        out = {}
+        for value, wanted in places.items():
+            out |= prior_order_statistics(rows.floats(value), rows.starts, size, wanted)
+        return out
+
+    outputs = {name: T.DoubleType() for probs in cuts.values() for name in probs}
+    return over_chunks(df, keys, seq, kernel, outputs, before=size, chunk_rows=chunk_rows)
 
 
 def with_prior_quantiles(
@@ -33,14 +46,12 @@ def with_prior_quantiles(
     keys: Sequence[str],
     seq: str,
     value: str,
-    probs: dict[str, float],
+    probs: Mapping[str, float],
     size: int = 100,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    def build(d: DataFrame, w: WindowSpec) -> DataFrame:
-        return d.withColumns(prior_quantiles(value, w, probs, size))
-
-    return over_rows(df, keys, seq, build, before=size, chunk_rows=chunk_rows)
+    """:func:`with_rolling_quantiles` of one column."""
+    return with_rolling_quantiles(df, keys, seq, {value: probs}, size, chunk_rows)
 
 
 def signal_rules(score: str, cuts: Sequence[str], outcome: Column | None = None) -> dict[str, Column]:

@@ -26,6 +26,7 @@ def path_label(
     bucket_us: int | None = None,
     fee_bps: float = FEE_BPS,
     keep: Sequence[str] = (),
+    previous: str | None = None,
 ) -> DataFrame:
     """``raw_net_bps``, ``y_path`` and ``mask`` from the first tick at or after the horizon.
 
@@ -33,15 +34,16 @@ def path_label(
     row key, the two prices, ``keep`` and the labels; wide book columns would travel through the
     shuffle for nothing.
     """
-    lean = ticks.select(*keys, seq, time, "bid1", "ask1", *keep)
     exits = forward_asof(
-        lean,
+        ticks,
         keys,
         time,
         seq,
         horizon_us=horizon_us,
         take={"_exit_seq": seq, "_exit_bid": "bid1"},
         bucket_us=bucket_us or 2 * horizon_us,
+        keep=[seq, time, "bid1", "ask1", *keep],
+        previous=previous,
     )
     bid, ask = F.col("bid1"), F.col("ask1")
     sold, bought = positive(F.col("_exit_bid")), positive(ask)
@@ -66,11 +68,12 @@ def with_labels(
     order_ticks: int = ORDER_TICKS,
     order_us: int = ORDER_US,
 ) -> DataFrame:
-    """Both labels."""
-    paths = path_label(
-        ticks, keys, time, seq, horizon_us=horizon_us, keep=["sell_min_price"]
+    """Both labels. One pass over chunks flags the fills and notes each tick's predecessor, which the as-of pass uses."""
+    lean = ticks.select(*keys, seq, time, "bid1", "ask1", "sell_min_price")
+    filled = fill_flag(
+        lean, keys, time, seq, sell_min="sell_min_price", limit_price="bid1",
+        max_rows=order_ticks, max_us=order_us, previous="_previous",
     )
-    return fill_flag(
-        paths, keys, time, seq, sell_min="sell_min_price", limit_price="bid1",
-        max_rows=order_ticks, max_us=order_us,
+    return path_label(
+        filled, keys, time, seq, horizon_us=horizon_us, keep=["sell_min_price", "y_fill"], previous="_previous"
     )

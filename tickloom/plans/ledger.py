@@ -15,6 +15,7 @@ from tickloom.functions.book import FEE_BPS
 from tickloom.functions.numeric import ratio
 from tickloom.operators.positions import sorted_positions
 from tickloom.operators.quantiles import grouped_medians, grouped_quantiles
+from tickloom.session import cut_lineage
 
 MIN_SCORABLE = 200
 
@@ -68,7 +69,8 @@ def ranking_order() -> list[Column]:
 def rank_contracts(summary: DataFrame, min_scorable: int = MIN_SCORABLE) -> DataFrame:
     """Eligible contracts with their place by total net; the rate only breaks ties."""
     eligible = summary.filter(F.col("scorable") >= min_scorable)
-    return sorted_positions(eligible, [], ranking_order(), "place")
+    falling = [-F.col("total_net_bps"), -F.col("bps_per_decision"), F.col("contract_id")]
+    return sorted_positions(cut_lineage(eligible), [], falling, "place")
 
 
 def best_per_kind(

@@ -161,7 +161,7 @@ def tertile_groups(covariates: DataFrame, key: str) -> DataFrame:
     by_tick = sorted_positions(
         covariates.select(key, "mean_spread_ticks", "frac_one_tick", "traded_value"),
         [],
-        [F.col("mean_spread_ticks"), F.col("frac_one_tick").desc(), F.col(key)],
+        [F.col("mean_spread_ticks"), -F.col("frac_one_tick"), F.col(key)],
         "_tick_place",
     )
     by_both = sorted_positions(by_tick, [], [F.col("traded_value"), F.col(key)], "_liq_place")

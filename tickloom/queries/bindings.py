@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.clock import bucket_of, epoch_micros
-from tickloom.operators.positions import positions_by_piece, sorted_positions
+from tickloom.operators.positions import positions_by_piece
 
 DAY_US = 86_400_000_000
 KEYS = ["symbol"]
@@ -187,12 +187,16 @@ P_ORDER = (
 ).split()
 
 
+ORDERS_PER_PIECE_BITS = 20
+
+
 def predictions(spark: SparkSession, sf_dir: str, sequenced: bool = False) -> DataFrame:
     """Two prediction columns per row; with ``sequenced`` also the row's place in its symbol."""
     base = table(spark, sf_dir, "lineitem")
     keep = ["tick_seq"] if sequenced else []
     if sequenced:
-        base = sorted_positions(base, ["l_suppkey"], [F.col(c) for c in P_ORDER], "tick_seq")
+        piece = F.shiftright("l_orderkey", ORDERS_PER_PIECE_BITS)
+        base = positions_by_piece(base, ["l_suppkey"], piece, P_ORDER, "tick_seq")
     return base.select(
         *keep,
         F.col("l_suppkey").alias("symbol"),

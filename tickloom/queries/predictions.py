@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.numeric import ratio
 from tickloom.operators import bootstrap as boot
 from tickloom.operators import filters, joins, metrics, sampling, signals
-from tickloom.operators.windows import signal_rules, with_prior_quantiles
+from tickloom.operators.windows import signal_rules, with_rolling_quantiles
 from tickloom.plans import laws, references, verdicts
 from tickloom.queries.bindings import P_SQL, predictions, table
 from tickloom.queries.registry import draw_sql, query, r6, rounded
@@ -271,8 +271,8 @@ ss AS (SELECT model, rule, eval_set, symbol, count(*) AS n, sum(y) AS sy, count(
 
 def signal_stats(spark, sf):
     rows = predictions(spark, sf, sequenced=True)
-    cut = with_prior_quantiles(rows, ["symbol"], "tick_seq", "pred_a", {"qa": 0.7}, size=20)
-    cut = with_prior_quantiles(cut, ["symbol"], "tick_seq", "pred_b", {"qb": 0.7}, size=20)
+    cuts = {"pred_a": {"qa": 0.7}, "pred_b": {"qb": 0.7}}
+    cut = with_rolling_quantiles(rows.select("symbol", "tick_seq", "eval_set", "y", "pred_a", "pred_b"), ["symbol"], "tick_seq", cuts, size=20)
     cut = cut.withColumn("y", F.col("y") - 30)
     fired = {}
     for model in "ab":

@@ -14,6 +14,7 @@ from tickloom.operators.quantiles import grouped_quantiles
 from tickloom.plans import labels as label_plan
 from tickloom.queries.bindings import B_SQL, DAY_US, E_SQL, KEYS, book, raw_ticks, ticks
 from tickloom.queries.registry import draw_sql, query, r6, rounded
+from tickloom.sources import tables as store
 from tickloom.sources import ticks as source
 
 WITH_E = f"WITH {E_SQL}"
@@ -99,6 +100,69 @@ def quote_grid_prev(spark, sf):
     return _grid(spark, sf, "prev")
 
 
+def _raw_days(spark, sf):
+    """All events as raw rows of two trading days, by the parity of their own day."""
+    frame = book(spark, sf)
+    quote = F.col("side") == "quote"
+    levels = {
+        f"{side}{i}_{kind}": F.when(quote, F.element_at(f"{side}_{short}", i))
+        for side in ("ask", "bid") for kind, short in (("price", "px"), ("quantity", "qty")) for i in range(1, 11)
+    }
+    return packed(frame).select(
+        F.concat(F.lit("2024010"), (1 + F.floor(F.col("t_us") / DAY_US) % 2).cast("string")).alias("date"),
+        F.lpad(F.col("symbol").cast("string"), 6, "0").alias("code"),
+        F.concat(F.lit("issue"), "symbol").alias("name"),
+        "event_id",
+        F.when(quote, source.QUOTE_ROW).otherwise(source.TRADE_ROW).alias("data_type"),
+        "local_time",
+        F.when(F.col("side") == "buy", source.BUY_LED).when(F.col("side") == "sell", source.SELL_LED).alias("askbid_type"),
+        F.when(F.col("side") == "buy", F.col("ask1")).when(F.col("side") == "sell", F.col("bid1")).alias("trade_price"),
+        F.when(~quote, F.col("vol")).alias("trade_quantity"),
+        F.lit(None).cast("double").alias("cumulative_trading_amount"),
+        *[c.alias(n) for n, c in levels.items()],
+    )
+
+
+@query(
+    "s06_raw_files_to_grid",
+    f"""{WITH_B}, d AS (SELECT *, '2024010' || CAST(1 + (t_us // 86400000000) % 2 AS VARCHAR) AS date FROM b),
+        o AS (SELECT * REPLACE (row_number() OVER (PARTITION BY symbol, date ORDER BY t_us % 86400000000, event_id) AS tick_seq) FROM d),
+        c AS (SELECT *, count(*) FILTER (side = 'quote') OVER (PARTITION BY symbol, date
+            ORDER BY tick_seq ROWS UNBOUNDED PRECEDING) AS nq FROM o),
+        g AS (SELECT *, CASE WHEN side = 'quote' THEN nq ELSE nq + 1 END AS cell FROM c)
+        SELECT date, lpad(CAST(symbol AS VARCHAR), 6, '0') AS symbol, max(tick_seq) FILTER (side = 'quote') AS tick_seq,
+               max(bid1) FILTER (side = 'quote') AS bid1, max(ask_qty[10]) FILTER (side = 'quote') AS ask_qty10,
+               sum(buy_volume) AS buy_volume, sum(sell_volume) AS sell_volume,
+               max(ask1) FILTER (side = 'buy') AS buy_max_price, min(bid1) FILTER (side = 'sell') AS sell_min_price
+        FROM g GROUP BY date, symbol, cell HAVING count(*) FILTER (side = 'quote') = 1""",
+)
+def raw_files_to_grid(spark, sf):
+    """Writes one raw file per symbol-day, then loads each day through its own part of the listed manifest."""
+    root = store.scratch_path(spark, "raw")
+    source.write_tick_files(_raw_days(spark, sf), root, order=("local_time", "event_id"))
+    grids = []
+    for date in ("20240101", "20240102"):
+        files = source.sole_files(source.file_manifest(spark, root, [date]))
+        rows = source.level_arrays(source.load_ticks(spark, files))
+        keys = ["date", "symbol"]
+        ordered = source.sequence_ticks(rows, keys, "t_us", ["file_row"], DAY_US)
+        trade = F.col("data_type") == source.TRADE_ROW
+        grids.append(
+            source.quote_grid(
+                ordered.withColumns({"bid1": F.get("bid_px", F.lit(0)), "ask_qty10": F.get("ask_qty", F.lit(9))}),
+                keys,
+                "tick_seq",
+                is_quote=F.col("data_type") == source.QUOTE_ROW,
+                is_buy=trade & (F.col("askbid_type") == source.BUY_LED),
+                is_sell=trade & (F.col("askbid_type") == source.SELL_LED),
+                price=F.col("trade_price"),
+                volume=F.col("trade_quantity"),
+                carry=["bid1", "ask_qty10"],
+            )
+        )
+    return grids[0].unionByName(grids[1])
+
+
 # --- filters -----------------------------------------------------------------
 
 

@@ -6,8 +6,12 @@ with an explicit schema; projection and the row-type and session filters reach t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,23 +42,53 @@ def raw_schema(levels: int = LEVELS) -> T.StructType:
     return T.StructType(fields)
 
 
-def list_files(spark: SparkSession, root: str, pattern: str = FILE_PATTERN) -> DataFrame:
-    """One row per code that has exactly one file; a single listing, no file is opened."""
-    listing = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select("path", F.regexp_extract("path", pattern, 1).alias("code"))
-        .filter(F.col("code") != "")
+def file_manifest(
+    spark: SparkSession, root: str, dates: Sequence[str] | None = None, pattern: str = FILE_PATTERN, glob: str = "*.parquet"
+) -> DataFrame:
+    """``path, code, date, bytes`` of the tick files in the date folders of ``root``; no file is opened.
+
+    ``dates`` names the folders to list; without it every folder directly below ``root`` is. Folders are
+    listed by Spark, as a job of their own where there are many. Files whose name does not fit
+    ``pattern`` (code, then date) are left out. A manifest can be stored and read instead of listing again.
+    """
+    folders = [f"{root.rstrip('/')}/{d}" for d in dates] if dates is not None else [f"{root.rstrip('/')}/*"]
+    path = F.col("path")
+    if not folders:
+        return spark.createDataFrame([], "path string, code string, date string, bytes long")
+    return _listing(spark, folders, glob).select(
+        "path",
+        F.regexp_extract(path, pattern, 1).alias("code"),
+        F.regexp_extract(path, pattern, 2).alias("date"),
+        F.col("length").alias("bytes"),
+    ).filter(F.col("code") != "")
+
+
+def sole_files(manifest: DataFrame) -> DataFrame:
+    """Files of codes that have exactly one on their date; codes with several are not to be chosen from."""
+    return (
+        manifest.groupBy("date", "code")
+        .agg(F.count(F.lit(1)).alias("_files"), F.min("path").alias("path"), F.sum("bytes").alias("bytes"))
+        .filter(F.col("_files") == 1)
+        .select("path", "code", "date", "bytes")
     )
+
+
+def list_files(spark: SparkSession, root: str, pattern: str = FILE_PATTERN) -> DataFrame:
+    """One row per code that has exactly one file anywhere below ``root``; a single listing, no file is opened."""
+    named = _listing(spark, [root], "*").select("path", F.regexp_extract("path", pattern, 1).alias("code"))
     return (
-        listing.groupBy("code")
+        named.filter(F.col("code") != "").groupBy("code")
         .agg(F.count(F.lit(1)).alias("_files"), F.min("path").alias("path"))
         .filter(F.col("_files") == 1)
         .drop("_files")
     )
 
 
+def _listing(spark: SparkSession, folders: list[str], glob: str) -> DataFrame:
+    """Paths and sizes; the content column is pruned, so the files stay closed."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folders)
+
+
 def eligible_symbols(
     master: DataFrame, files: DataFrame, code: str = "issue_code", kind: str = "asset_type", wanted: str = "ST"
 ) -> DataFrame:
@@ -94,9 +128,24 @@ def sequence_ticks(
     )
 
 
-def load_ticks(spark: SparkSession, root: str, pattern: str = FILE_PATTERN) -> DataFrame:
-    """All tick files below ``root`` with code, date and clock in microseconds."""
-    raw = spark.read.schema(raw_schema()).option("recursiveFileLookup", "true").parquet(root)
+def load_ticks(
+    spark: SparkSession, files: str | DataFrame, pattern: str = FILE_PATTERN, levels: int = LEVELS
+) -> DataFrame:
+    """Rows of tick files with code, date and clock in microseconds, and ``file_row``, the place in the file.
+
+    ``files`` is a manifest (rows of :func:`file_manifest`, filtered as wanted) or a root folder, of which every
+    file below is read. Of a manifest only the paths reach the driver, where Spark's own file index keeps
+    them too; files that were filtered out are neither listed nor opened. An empty manifest gives no rows.
+    """
+    reader = spark.read.schema(raw_schema(levels))
+    if isinstance(files, str):
+        raw = reader.option("recursiveFileLookup", "true").parquet(files)
+    else:
+        paths = [_escaped(r.path) for r in files.select("path").toLocalIterator()]
+        raw = reader.parquet(*paths) if paths else None
+    if raw is None:
+        nothing = spark.createDataFrame([], raw_schema(levels))
+        return nothing.select("*", *[F.lit(None).cast(t).alias(n) for n, t in _ADDED.items()])
     path = F.col("_metadata.file_path")
     return raw.select(
         "*",
@@ -107,6 +156,65 @@ def load_ticks(spark: SparkSession, root: str, pattern: str = FILE_PATTERN) -> D
     )
 
 
+_ADDED = {"symbol": "string", "date": "string", "t_us": "bigint", "file_row": "bigint"}
+
+
+def _escaped(path: str) -> str:
+    """A listed path as a reader takes it: characters of glob patterns stand for themselves."""
+    return "".join(f"\\{c}" if c in "{}[]*?\\" else c for c in path)
+
+
+def write_tick_files(ticks: DataFrame, root: str, levels: int = LEVELS, order: Sequence[str] = ("local_time",)) -> DataFrame:
+    """Write the raw layout, ``root/date/code_name_date.parquet``, and give its manifest.
+
+    ``ticks`` has the raw columns, ``date``, ``code``, ``name`` and what ``order`` names; a file holds one symbol-day in that
+    order. Symbol-days are dealt over tasks and streamed, so a task holds one batch at a time. A file
+    is written under a name of its own and moved at the end: a task that runs again replaces it by the same.
+    """
+    wanted = [f.name for f in raw_schema(levels)]
+    lean = ticks.select("date", "code", "name", *dict.fromkeys([*wanted, *order]))
+    dealt = lean.repartition("date", "code").sortWithinPartitions("date", "code", *order)
+    target = root if "://" in root or root.startswith("file:") else f"file://{root}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(target)
+        now, writer, part = None, None, ""
+
+        def finish() -> pa.RecordBatch:
+            writer.close()
+            date, code, name = now
+            final = f"{base}/{date}/{code}_{name}_{date}.parquet"
+            store.move(part, final)
+            found = store.get_file_info(final)
+            return pa.RecordBatch.from_pylist([{"path": f"{target}/{date}/{code}_{name}_{date}.parquet", "code": code, "date": date, "bytes": found.size}], _MANIFEST)
+
+        for batch in batches:
+            keys = list(zip(*[batch.column(c).to_pylist() for c in ("date", "code", "name")]))
+            begin = 0
+            while begin < len(keys):
+                end = begin
+                while end < len(keys) and keys[end] == keys[begin]:
+                    end += 1
+                if keys[begin] != now:
+                    if writer is not None:
+                        yield finish()
+                    now, part = keys[begin], f"{base}/{keys[begin][0]}/_{uuid.uuid4().hex}.tmp"
+                    store.create_dir(f"{base}/{now[0]}", recursive=True)
+                    writer = pq.ParquetWriter(part, batch.select(wanted).schema, filesystem=store)
+                writer.write_batch(batch.slice(begin, end - begin).select(wanted))
+                begin = end
+        if writer is not None:
+            yield finish()
+
+    # The write is what runs the tasks; the manifest lies beside the date folders, where no listing of them looks.
+    written = f"{target}/_manifest-{uuid.uuid4().hex}"
+    dealt.mapInArrow(write, "path string, code string, date string, bytes long").write.parquet(written)
+    return ticks.sparkSession.read.parquet(written)
+
+
+_MANIFEST = pa.schema([("path", pa.string()), ("code", pa.string()), ("date", pa.string()), ("bytes", pa.int64())])
+
+
 def quote_grid(
     ticks: DataFrame,
     keys: Sequence[str],
