@@ -336,29 +336,38 @@ def decay_grid(low: float = 0.01, high: float = 10.0, steps: int = 60) -> list[f
     return [low * (high / low) ** (i / (steps - 1)) for i in range(steps)]
 
 
-def measure_decay(bins: DataFrame, grid: Sequence[float], n_bins: int = 50, eps: float = 1e-6) -> DataFrame:
-    """Does an exponential or a power decay explain the bin means better than a line?
+def decay_shape(form: str, t: Column, rate: float, eps: float = 1e-6) -> Column:
+    """The curve of a form and rate, before its two constants."""
+    return F.exp(t * F.lit(-float(rate))) if form == "exponential" else F.pow(t + eps, F.lit(-float(rate)))
 
-    For a fixed rate the curve is linear in its two other constants, so every candidate is one
-    regression; the best rate of each form is kept.
-    """
-    bins = cut_lineage(bins)
-    t = F.col("mean_x")
+
+def decay_fits(bins: DataFrame, grid: Sequence[float], eps: float = 1e-6) -> DataFrame:
+    """``form, rate, r2, slope, intercept``: the regression of the bin means on each form at each rate."""
     shapes = F.array(
         *[
-            F.struct(F.lit(form).alias("form"), F.lit(float(r)).alias("rate"), curve(r).alias("c"))
+            F.struct(F.lit(form).alias("form"), F.lit(float(r)).alias("rate"), decay_shape(form, F.col("mean_x"), r, eps).alias("c"))
             for r in grid
-            for form, curve in (
-                ("exponential", lambda r: F.exp(t * F.lit(-float(r)))),
-                ("power", lambda r: F.pow(t + eps, F.lit(-float(r)))),
-            )
+            for form in ("exponential", "power")
         ]
     )
-    fits = (
+    return (
         bins.select("mean_x", "mean_y", F.explode(shapes).alias("s"))
         .groupBy("s.form", "s.rate")
-        .agg(F.regr_r2("mean_y", "s.c").alias("r2"), F.regr_slope("mean_y", "s.c").alias("slope"))
+        .agg(
+            F.regr_r2("mean_y", "s.c").alias("r2"), F.regr_slope("mean_y", "s.c").alias("slope"),
+            F.regr_intercept("mean_y", "s.c").alias("intercept"),
+        )
     )
+
+
+def measure_decay(bins: DataFrame, grid: Sequence[float], n_bins: int = 50, eps: float = 1e-6) -> DataFrame:
+    """Does an exponential or a power decay explain the bin means better than a line?
+
+    For a fixed rate the curve is linear in its two other constants, so every candidate is one
+    regression; the best rate of each form is kept.
+    """
+    bins = cut_lineage(bins)
+    fits = decay_fits(bins, grid, eps)
     best = fits.groupBy("form").agg(F.max(F.struct("r2", "rate")).alias("b"))
     wide = best.agg(
         F.max(F.when(F.col("form") == "exponential", F.col("b"))).alias("e"),

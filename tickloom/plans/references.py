@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from tickloom.functions.numeric import clip, ratio
 from tickloom.operators import metrics
 from tickloom.operators.filters import domain_of
-from tickloom.operators.positions import sorted_positions, tile
+from tickloom.operators.quantiles import grouped_quantiles
 from tickloom.operators.sampling import fold_assignments
+from tickloom.plans.laws import MIN_ROWS, decay_fits, decay_shape, log_bins
+from tickloom.session import cut_lineage
 
 
 def linear(fit: DataFrame, score: DataFrame, x: str, y: str, out: str = "pred") -> DataFrame:
@@ -119,34 +121,6 @@ def repeated_kfold(
     )
 
 
-def bootstrap_binned_r2(
-    rows: DataFrame, counts: DataFrame, symbol: str, pred: str, y: str, w: str, tie: Sequence[str], bins: int = 20
-) -> DataFrame:
-    """Binned R squared per replicate. Bins move with the draw, so rows are repeated as often as
-    their symbol was drawn and binned again; the row count grows with the replicates."""
-    drawn = rows.join(counts, symbol).withColumn(
-        "copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))
-    )
-    order = [F.col(pred), *[F.col(t) for t in tie], F.col("copy")]
-    placed = sorted_positions(
-        drawn.select("rep", pred, y, w, *tie, "copy"), ["rep"], order, "_place"
-    )
-    sizes = placed.groupBy("rep").agg(F.count(F.lit(1)).alias("_n"))
-    weight = F.col(w)
-    means = (
-        placed.join(sizes, "rep")
-        .groupBy("rep", tile(F.col("_place"), F.col("_n"), bins).alias("bin"))
-        .agg(
-            ratio(F.sum(weight * F.col(y)), F.sum(weight)).alias("mean_y"),
-            ratio(F.sum(weight * F.col(pred)), F.sum(weight)).alias("mean_pred"),
-            F.sum(weight).alias("weight"),
-        )
-    )
-    return means.groupBy("rep").agg(
-        metrics.weighted_r2(F.col("mean_y"), F.col("mean_pred"), F.col("weight")).alias("binned_r2")
-    )
-
-
 def ridge_path(
     fit: DataFrame,
     select: DataFrame,
@@ -176,3 +150,74 @@ def prediction(model: dict, xs: Sequence[str]):
     for b, x in zip(model["coef"], xs):
         total = total + float(b) * F.col(x)
     return total
+
+
+def _isotonic(values: list[float], weights: list[float]) -> list[float]:
+    """Nearest non-decreasing values: neighbours that fall are pooled until none do."""
+    pools: list[list[float]] = []  # weighted sum, weight, members
+    for value, weight in zip(values, weights):
+        pools.append([value * weight, weight, 1])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] > pools[-1][0] * pools[-2][1]:
+            total, heavy, many = pools.pop()
+            pools[-1] = [pools[-1][0] + total, pools[-1][1] + heavy, pools[-1][2] + many]
+    return [total / weight for total, weight, many in pools for _ in range(int(many))]
+
+
+def odd_and_monotone(counts: dict[int, float], means: dict[int, float], bins: int) -> dict[int, float]:
+    """Bin means made odd, by pooling each bin with minus its mirror, and then monotone, in the direction they have."""
+    weight = {b: counts.get(b, 0) + counts.get(bins - 1 - b, 0) for b in range(bins)}
+    held = {b: counts.get(b, 0) * means.get(b, 0.0) - counts.get(bins - 1 - b, 0) * means.get(bins - 1 - b, 0.0) for b in range(bins)}
+    places = [b for b in range(bins) if weight[b]]
+    values = [held[b] / weight[b] for b in places]
+    rises = sum(v * (b - (bins - 1) / 2) for b, v in zip(places, values)) >= 0
+    sign = 1.0 if rises else -1.0
+    pooled = _isotonic([sign * v for v in values], [weight[b] for b in places])
+    return {b: sign * v for b, v in zip(places, pooled)}
+
+
+def step_curve(
+    fit: DataFrame, score: DataFrame, x: str, y: str, out: str = "pred", *, bins: int = 40, min_count: int = 5, odd: bool = False
+) -> DataFrame:
+    """Mean outcome of the bin of ``x``: equal bins between plus and minus the 95th percentile of ``|x|`` in ``fit``.
+
+    Values outside fall into the edge bins. With ``odd`` the means are first made odd and monotone. NULL where ``x`` is
+    missing or its bin had fewer than ``min_count`` rows; all NULL where ``fit`` has too few rows or only zeros.
+    """
+    known = cut_lineage(fit.na.drop(subset=[x, y]).select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")))
+    reach = grouped_quantiles(known.select(F.abs("_x").alias("_a")), [], "_a", {"reach": 0.95}).first()
+    if reach is None or not reach["reach"] or known.count() < MIN_ROWS:
+        return score.withColumn(out, F.lit(None).cast("double"))
+    width = float(reach["reach"])
+    # At most ``bins`` rows.
+    means = metrics.conditional_means(known, "_x", "_y", F.lit(-width), F.lit(width), bins, min_count).collect()
+    curve = {r["bin"]: r["mean_y"] for r in means}
+    if odd:
+        curve = odd_and_monotone({r["bin"]: r["n"] for r in means}, curve, bins)
+    at = F.floor((F.col(x) + width) / (2 * width) * bins)
+    place = F.greatest(F.least(at, F.lit(bins - 1)), F.lit(0)).cast("int")
+    steps = F.array(*[F.lit(curve.get(b)).cast("double") for b in range(bins)])
+    return score.withColumn(out, F.when(F.col(x).isNotNull(), F.get(steps, place)))
+
+
+def decay(
+    fit: DataFrame, score: DataFrame, x: str, y: str, grid: Sequence[float], out: str = "pred", *, bins: int = 50, min_count: int = 5
+) -> DataFrame:
+    """``c0 + c1 * exp(-r x)`` or ``c0 + c1 * (x + 1e-6)^-r``, whichever explains the log-spaced bin means of ``fit`` better.
+
+    The rate is the best of ``grid``; the two constants are its regression. Inputs are clamped to the 2nd to 98th
+    percentile of ``fit``, so that a power never runs away near zero. NULL for ``x`` that is missing or not above
+    zero; all NULL where too few bins are filled.
+    """
+    dataset = cut_lineage(fit.na.drop(subset=[x, y]).filter(F.col(x) > 0).select(x, y, F.lit(True).alias("mask")))
+    domain = grouped_quantiles(dataset, [], x, {"lo": 0.02, "hi": 0.98}).first()
+    nothing = score.withColumn(out, F.lit(None).cast("double"))
+    if domain is None or not domain["hi"] > domain["lo"] or dataset.count() < MIN_ROWS:
+        return nothing
+    points = log_bins(dataset, x, y, bins, min_count).select("mean_x", "mean_y").collect()  # at most ``bins`` rows
+    if len(points) < 0.6 * bins:
+        return nothing
+    table = fit.sparkSession.createDataFrame(points)
+    best = decay_fits(table, grid).orderBy(F.desc("r2"), F.asc("form"), F.desc("rate")).first()
+    at = clip(F.col(x), F.lit(domain["lo"]), F.lit(domain["hi"]))
+    shape = decay_shape(best["form"], at, best["rate"])
+    return score.withColumn(out, F.when(F.col(x) > 0, best["intercept"] + best["slope"] * shape))

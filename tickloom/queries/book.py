@@ -10,7 +10,7 @@ from tickloom.operators import filters, metrics
 from tickloom.operators.frames import over_rows
 from tickloom.operators.positions import sorted_positions
 from tickloom.operators.windows import causal_windows
-from tickloom.plans import formulas, laws, strata
+from tickloom.plans import formulas, laws, references, strata
 from tickloom.plans.features import Windows, feature_matrix, level_features
 from tickloom.queries.bindings import B_SQL, DAY_US, KEYS, book, raw_ticks
 from tickloom.queries.registry import query, r6, rounded
@@ -590,6 +590,33 @@ def decay_law(spark, sf):
     return rounded(laws.measure_decay(laws.log_bins(intensity(spark, sf), "x1", "y"), GRID))
 
 
+HALF_LOG_BINS = LOG_BINS_CTE.replace("WHERE valid AND", "WHERE symbol % 2 = 0 AND valid AND")
+
+
+@query(
+    "m17_decay_reference",
+    f"""{WITH_B}, {INTENSITY_CTE}, {HALF_LOG_BINS}, gr AS (SELECT * FROM (VALUES {GRID_SQL}) t(rate)),
+        sh AS (SELECT 'exponential' AS form, rate, mean_y, exp(mean_x * -rate) AS c FROM lm, gr
+          UNION ALL SELECT 'power', rate, mean_y, pow(mean_x + 1e-6, -rate) FROM lm, gr),
+        ft AS (SELECT form, rate, regr_r2(mean_y, c) AS r2, regr_slope(mean_y, c) AS b, regr_intercept(mean_y, c) AS a FROM sh GROUP BY 1, 2),
+        bs AS (SELECT * FROM ft ORDER BY r2 DESC, form, rate DESC LIMIT 1),
+        z AS (SELECT y, a + b * CASE WHEN form = 'exponential' THEN exp(least(greatest(x1, lo), hi) * -rate)
+                ELSE pow(least(greatest(x1, lo), hi) + 1e-6, -rate) END AS pred
+              FROM law5m, en, bs WHERE symbol % 2 = 1 AND valid AND y IS NOT NULL AND x1 > 0)
+        SELECT count(*) AS n, round(avg(pred), 6) AS mean_pred,
+          round(1 - sum((y - pred) * (y - pred)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 6) AS r2 FROM z""",
+)
+def decay_reference(spark, sf):
+    """Fitted on even symbols, scored on odd ones."""
+    made = intensity(spark, sf).filter("mask")
+    fit, score = (made.filter(F.col("symbol") % 2 == half) for half in (0, 1))
+    scored = references.decay(fit, score, "x1", "y", GRID).na.drop(subset=["y", "pred"])
+    return scored.agg(
+        F.count("pred").alias("n"), r6(F.avg("pred"), "mean_pred"),
+        r6(metrics.weighted_r2(F.col("y"), F.col("pred"), F.lit(1.0)), "r2"),
+    )
+
+
 # --- formulas ----------------------------------------------------------------
 
 FORMULAS = {

@@ -8,7 +8,7 @@ from tickloom.functions.numeric import ratio
 from tickloom.operators import bootstrap as boot
 from tickloom.operators import filters, joins, metrics, sampling, signals
 from tickloom.operators.windows import signal_rules, with_rolling_quantiles
-from tickloom.plans import laws, references, verdicts
+from tickloom.plans import binned, laws, references, verdicts
 from tickloom.queries.bindings import P_SQL, predictions, table
 from tickloom.queries.registry import draw_sql, query, r6, rounded
 from tickloom.session import cut_lineage
@@ -294,7 +294,7 @@ def signal_economics(spark, sf):
     return rounded(signals.signal_economics(signal_stats(spark, sf), ["eval_set"]))
 
 
-def members_sql(source: str = "p", group: str = "") -> str:
+def members_sql(source: str = "p", group: str = "", reps: int = REPS) -> str:
     """Draw-count CTEs ``cnt`` for the symbols of ``source``, per ``group`` if given."""
     g = f"{group}, " if group else ""
     part = f"PARTITION BY {group}" if group else ""
@@ -304,7 +304,7 @@ sym AS (SELECT DISTINCT {g}symbol FROM {source}),
 place AS (SELECT {g}symbol, row_number() OVER ({part} ORDER BY {draw_sql(SEED, 'symbol')}, symbol) AS place,
                  count(*) OVER ({part}) AS k FROM sym),
 hits AS (SELECT {g}rep, {draw_sql(SEED, *([group] if group else []), 'rep', 'place')} % k + 1 AS place
-         FROM place, range({REPS}) r(rep)),
+         FROM place, range({reps}) r(rep)),
 cnt AS (SELECT {g}rep, symbol, count(*) AS times FROM hits JOIN place USING ({g}place) GROUP BY ALL)"""
 
 
@@ -563,6 +563,49 @@ def power_reference(spark, sf):
     )
 
 
+STEP_CTE = """
+q AS (SELECT symbol, pred_a - 25 AS x, y - 30 AS y FROM p), d AS (SELECT x, y FROM q WHERE symbol % 2 = 0),
+re AS (SELECT quantile_cont(abs(x), 0.95) AS reach FROM d),
+bm AS (SELECT CAST(greatest(least(floor((x + reach) / (2 * reach) * 40), 39), 0) AS BIGINT) AS bin, count(*) AS n, avg(y) AS m
+       FROM d, re GROUP BY 1 HAVING count(*) >= 5)"""
+STEP_SCORE = """z AS (SELECT y, v AS pred FROM (SELECT y, CAST(greatest(least(floor((x + reach) / (2 * reach) * 40), 39), 0) AS BIGINT) AS bin
+            FROM q, re WHERE symbol % 2 = 1) JOIN cv USING (bin))
+        SELECT count(*) AS n, round(avg(pred), 6) AS mean_pred,
+          round(1 - sum((y - pred) * (y - pred)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 6) AS r2 FROM z"""
+
+
+def _step(spark, sf, odd):
+    fit, score = (
+        h.select("symbol", (F.col("pred_a") - 25).alias("x"), (F.col("y") - 30).alias("y")) for h in halves(spark, sf)
+    )
+    scored = references.step_curve(fit, score, "x", "y", odd=odd).filter(F.col("pred").isNotNull())
+    return scored.agg(
+        F.count("pred").alias("n"), r6(F.avg("pred"), "mean_pred"),
+        r6(metrics.weighted_r2(F.col("y"), F.col("pred"), F.lit(1.0)), "r2"),
+    )
+
+
+@query("m17_step_reference", f"{WITH_P}, {STEP_CTE}, cv AS (SELECT bin, m AS v FROM bm), {STEP_SCORE}")
+def step_reference(spark, sf):
+    return _step(spark, sf, False)
+
+
+@query(
+    "m17_odd_monotone_reference",
+    f"""{WITH_P}, {STEP_CTE},
+        od AS (SELECT r.bin, coalesce(b.n, 0) + coalesce(m.n, 0) AS n,
+                 (coalesce(b.n * b.m, 0) - coalesce(m.n * m.m, 0)) / (coalesce(b.n, 0) + coalesce(m.n, 0)) AS v
+               FROM range(40) r(bin) LEFT JOIN bm b ON b.bin = r.bin LEFT JOIN bm m ON m.bin = 39 - r.bin WHERE b.n > 0 OR m.n > 0),
+        dr AS (SELECT CASE WHEN sum(v * (bin - 19.5)) >= 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s FROM od),
+        sg AS (SELECT a.bin AS a, b.bin AS b, sum(k.n * k.v * s) / sum(k.n) AS m FROM dr, od a JOIN od b ON a.bin <= b.bin
+               JOIN od k ON k.bin BETWEEN a.bin AND b.bin GROUP BY 1, 2),
+        mn AS (SELECT od.bin, a, min(m) AS m FROM od JOIN sg ON od.bin BETWEEN a AND b GROUP BY 1, 2),
+        cv AS (SELECT bin, s * max(m) AS v FROM mn, dr GROUP BY bin, s), {STEP_SCORE}""",
+)
+def odd_monotone_reference(spark, sf):
+    return _step(spark, sf, True)
+
+
 @query(
     "f10_clip_to_fitted_domain",
     f"""{WITH_P}, m AS (SELECT min(y) AS lo, max(y) AS hi FROM p WHERE tick_group = 0 AND y < 60)
@@ -580,6 +623,7 @@ BINNED_CTE = """
 bn AS (SELECT *, ntile(20) OVER (ORDER BY pred_a, symbol, tick_seq) - 1 AS bin FROM p),
 bm AS (SELECT bin, sum(w * y) / sum(w) AS mean_y, sum(w * pred_a) / sum(w) AS mean_pred, sum(w) AS weight,
          count(*) AS n FROM bn GROUP BY 1)"""
+TILE_OF = "CASE WHEN {x} < r * (q + 1) THEN {x} // (q + 1) ELSE r + ({x} - r * (q + 1)) // q END"
 BINNED_R2 = """1 - sum(weight * (mean_y - mean_pred) * (mean_y - mean_pred)) /
     (sum(weight * mean_y * mean_y) - sum(weight * mean_y) * sum(weight * mean_y) / sum(weight))"""
 
@@ -826,7 +870,7 @@ def permute_globally(spark, sf):
 
 FOLDS_CTE = f"""
 dl AS (SELECT rep, symbol, (row_number() OVER (PARTITION BY rep ORDER BY {draw_sql(SEED, 'rep', 'symbol')}, rep, symbol) - 1) % 5
-         AS fold FROM (SELECT DISTINCT symbol FROM p), range(4) r(rep)),
+         AS fold FROM (SELECT DISTINCT symbol FROM p), range(20) r(rep)),
 sm AS (SELECT symbol, count(*)::DOUBLE AS n, sum(pred_a) AS sx, sum(y) AS sy, sum(pred_a * pred_a) AS sxx,
          sum(pred_a * y) AS sxy FROM p GROUP BY 1),
 hf AS (SELECT rep, fold, sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy
@@ -845,11 +889,36 @@ er AS (SELECT rep, y, a + b * pred_a AS pred FROM p JOIN dl USING (symbol) JOIN
 )
 def repeated_kfold(spark, sf):
     made = references.repeated_kfold(
-        predictions(spark, sf), "symbol", "pred_a", "y", folds=5, repeats=4, seed=SEED
+        predictions(spark, sf), "symbol", "pred_a", "y", folds=5, repeats=20, seed=SEED
     )
     return rounded(made.withColumn("rep", F.col("rep").cast("bigint")))
 
 
+@query(
+    "r08_clamped_weighted_kfold",
+    f"""{WITH_P}, {FOLDS_CTE.replace('er AS (', 'unclamped AS (')}, mm AS (SELECT symbol, min(pred_a) AS lo, max(pred_a) AS hi FROM p GROUP BY 1),
+        hm AS (SELECT rep, fold, min(lo) AS lo, max(hi) AS hi FROM dl JOIN mm USING (symbol) GROUP BY 1, 2),
+        rg AS (SELECT h.rep, h.fold, min(o.lo) AS lo, max(o.hi) AS hi FROM hm h JOIN hm o ON h.rep = o.rep AND h.fold <> o.fold GROUP BY 1, 2),
+        pr AS (SELECT rep, y, w, a + b * least(greatest(pred_a, lo), hi) AS p FROM p JOIN dl USING (symbol)
+               JOIN ab USING (rep, fold) JOIN rg USING (rep, fold)),
+        rr AS (SELECT rep, count(*) AS n, 1 - sum(w * (y - p) * (y - p)) / (sum(w * y * y) - sum(w * y) * sum(w * y) / sum(w)) AS row_r2
+               FROM pr GROUP BY 1),
+        gp AS (SELECT rep, p, count(*) AS times, sum(w * y) AS wy, sum(w * p) AS wp, sum(w) AS w FROM pr GROUP BY 1, 2),
+        rw AS (SELECT *, (sum(times) OVER z - times)::BIGINT AS before, (sum(times) OVER (PARTITION BY rep))::BIGINT AS total
+               FROM gp WINDOW z AS (PARTITION BY rep ORDER BY p ROWS UNBOUNDED PRECEDING)),
+        qr AS (SELECT *, total // 20 AS q, total % 20 AS r FROM rw),
+        ov AS (SELECT *, unnest(range({TILE_OF.format(x='before')}, {TILE_OF.format(x='(before + times - 1)')} + 1)) AS bin FROM qr),
+        cv AS (SELECT *, (least(before + times, (bin + 1) * q + least(bin + 1, r)) - greatest(before, bin * q + least(bin, r))) / times AS c FROM ov),
+        bm AS (SELECT rep, bin, sum(c * wy) / sum(c * w) AS mean_y, sum(c * wp) / sum(c * w) AS mean_pred, sum(c * w) AS weight
+               FROM cv GROUP BY 1, 2),
+        br AS (SELECT rep, {BINNED_R2} AS binned_r2 FROM bm GROUP BY 1)
+        SELECT rep::INTEGER AS rep, n, round(row_r2, 6) AS row_r2, round(binned_r2, 5) AS binned_r2 FROM rr JOIN br USING (rep)""",
+)
+def clamped_weighted_kfold(spark, sf):
+    scores = binned.kfold_scores(predictions(spark, sf), "symbol", "pred_a", "y", "w", folds=5, repeats=20, seed=SEED)
+    return scores.select("rep", "n", r6("row_r2"), r6("binned_r2", digits=5))
+
+
 R2_REP = "1 - sum(times * {e}) / nullif(sum(times * syy) - sum(times * sy) * sum(times * sy) / sum(times * n), 0)"
 CI_OUT = "round(quantile_cont(r, 0.025), 6) AS lo, round(quantile_cont(r, 0.975), 6) AS hi"
 SUMS = ["n", "sy", "syy", "sse_a", "sse_b"]
@@ -930,23 +999,27 @@ def paired_bootstrap_without_top(spark, sf):
     return _paired(cut_lineage(share.join(top, "symbol", "left_anti").select("symbol", *SUMS)))
 
 
-BOOT_BINS = 12
+BOOT_BINS = 1_000
 
 
 @query(
     "r15_bootstrap_of_binned_r2",
-    f"""{WITH_P}, {members_sql('p')}, rw AS (SELECT rep, pred_a, y, w, symbol, tick_seq, unnest(range(times)) AS copy
-            FROM p JOIN cnt USING (symbol) WHERE rep < {BOOT_BINS}),
-        bn AS (SELECT *, ntile(20) OVER (PARTITION BY rep ORDER BY pred_a, symbol, tick_seq, copy) AS bin FROM rw),
-        bm AS (SELECT rep, bin, sum(w * y) / sum(w) AS mean_y, sum(w * pred_a) / sum(w) AS mean_pred, sum(w) AS weight
-               FROM bn GROUP BY 1, 2)
-        SELECT rep, round({BINNED_R2}, 6) AS binned_r2 FROM bm GROUP BY 1""",
+    f"""{WITH_P}, {members_sql('p', reps=BOOT_BINS)}, od AS (SELECT row_number() OVER (ORDER BY pred_a, symbol, tick_seq) AS place, symbol,
+            w * y AS wy, w * pred_a AS wp, w FROM p),
+        rw AS (SELECT rep, times, wy, wp, w, (sum(times) OVER z - times)::BIGINT AS before, (sum(times) OVER (PARTITION BY rep))::BIGINT AS total
+            FROM od JOIN cnt USING (symbol) WINDOW z AS (PARTITION BY rep ORDER BY place ROWS UNBOUNDED PRECEDING)),
+        qr AS (SELECT *, total // 20 AS q, total % 20 AS r FROM rw),
+        ov AS (SELECT *, unnest(range({TILE_OF.format(x='before')}, {TILE_OF.format(x='(before + times - 1)')} + 1)) AS bin FROM qr),
+        cv AS (SELECT *, least(before + times, (bin + 1) * q + least(bin + 1, r)) - greatest(before, bin * q + least(bin, r)) AS c FROM ov),
+        bm AS (SELECT rep, bin, sum(c * wy) / sum(c * w) AS mean_y, sum(c * wp) / sum(c * w) AS mean_pred, sum(c * w) AS weight
+               FROM cv GROUP BY 1, 2)
+        SELECT rep, round({BINNED_R2}, 3) AS binned_r2 FROM bm GROUP BY 1""",
 )
 def bootstrap_of_binned_r2(spark, sf):
     rows = predictions(spark, sf, sequenced=True)
     counts = boot.draw_counts(rows.select("symbol").distinct(), [], "symbol", reps=BOOT_BINS, seed=SEED)
-    made = references.bootstrap_binned_r2(rows, counts, "symbol", "pred_a", "y", "w", ["symbol", "tick_seq"])
-    return rounded(made.withColumn("rep", F.col("rep").cast("bigint")))
+    made = binned.bootstrap_binned_r2(rows, counts, "symbol", "pred_a", "y", "w", ["symbol", "tick_seq"])
+    return rounded(made.withColumn("rep", F.col("rep").cast("bigint")), 3)
 
 
 HET_CTE = f"""
