@@ -10,6 +10,7 @@ from tickloom.functions import book
 from tickloom.functions.clock import packed_to_micros
 from tickloom.operators import bootstrap, frames, joins, metrics, ranking, sampling
 from tickloom.operators.asof import fill_flag, forward_asof, lookback_count
+from tickloom.operators.moments import co_moments, weighted_correlations
 from tickloom.operators.positions import (
     positions_by_piece,
     shuffled_positions,
@@ -266,15 +267,35 @@ def test_spearman_shares_tied_ranks(spark):
     assert np.isclose(metrics.spearman(spark.createDataFrame(data), "x", "y").first()[0], want)
 
 
-def test_gram_paths_agree_and_match_least_squares(spark, monkeypatch):
+def test_co_moments_match_numpy_and_least_squares(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 3))
     y = x @ [2.0, 3.0, 1.5] + 0.7 + 0.1 * rng.normal(size=500)
-    data = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y, "w": rng.random(500) + 0.5}))
-    narrow = metrics.gram_sums(data, ["a", "b", "c"], "y", "w")
-    monkeypatch.setattr(metrics, "WIDE_SUMS", 1)
-    wide = metrics.gram_sums(data, ["a", "b", "c"], "y", "w")
-    assert np.allclose(narrow["moments"], wide["moments"]) and narrow["n"] == wide["n"] == 500
-    fit = metrics.linear_fit(metrics.gram_sums(data, ["a", "b", "c"], "y"))
-    want = np.linalg.lstsq(np.column_stack([x, np.ones(500)]), y, rcond=None)[0]
-    assert np.allclose([*fit["coef"], fit["intercept"]], want)
+    w = rng.random(500) + 0.5
+    rows = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y, "w": w})).repartition(7)
+    holes = rows.union(spark.createDataFrame([(None, 1.0, 1.0, 1.0, 1.0), (1.0, float("nan"), 1.0, 1.0, 1.0)], rows.schema))
+    got = co_moments(holes, ["a", "b", "c", "y"], "w")
+    block = np.column_stack([x, y])
+    assert got.n == 500 and np.isclose(got.weight, w.sum()) and np.allclose(got.mean, np.average(block, axis=0, weights=w))
+    assert np.allclose(got.cov, np.cov(block.T, aweights=w, ddof=0))
+    plain = co_moments(holes, ["a", "b", "c", "y"])
+    assert np.allclose(plain.sample_cov, np.cov(block.T))
+    fit = metrics.linear_fit(plain)
+    assert np.allclose([*fit["coef"], fit["intercept"]], np.linalg.lstsq(np.column_stack([x, np.ones(500)]), y, rcond=None)[0])
+    assert co_moments(holes.filter("a > 99"), ["a", "b"]).n == 0
+
+
+def test_a_column_far_from_zero_keeps_its_correlation(spark):
+    rng = np.random.default_rng(2)
+    x, w = rng.normal(size=4000), rng.random(4000) + 0.1
+    y = 0.6 * x + 0.8 * rng.normal(size=4000)
+    data = {"near": x, "far": x + 1e9, "y": y + 1e9, "w": w, "constant": np.full(4000, 1e9), "few": np.where(np.arange(4000) < 9, x, np.nan)}
+    rows = spark.createDataFrame(pd.DataFrame(data)).repartition(9)
+    got = {r["input"]: r for r in weighted_correlations(rows, ["near", "far", "constant", "few"], "y", "w").collect()}
+    cov = np.cov(np.vstack([x, y]), aweights=w)
+    want = cov[0, 1] / np.sqrt(cov[0, 0] * cov[1, 1])
+    assert np.isclose(got["near"].r, want, atol=1e-6) and np.isclose(got["far"].r, want, atol=1e-6)
+    assert got["constant"].r is None and got["few"].r is None and got["few"].n == 9
+    wide = co_moments(rows, ["far", "y"])
+    assert np.isclose(wide.cov[0, 1], np.cov(x, y, ddof=0)[0, 1], rtol=1e-6)
+    assert {r["input"] for r in weighted_correlations(rows.filter("w > 9"), ["near", "far"], "y", "w").collect()} == {"near", "far"}

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import reduce
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.functions.numeric import ratio, root
+from tickloom.operators.moments import Moments, co_moments
 from tickloom.operators.positions import sorted_positions, sorted_running_total, tile
 from tickloom.operators.quantiles import grouped_quantiles
 from tickloom.session import broadcast_if_small, cut_lineage
 
-WIDE_SUMS = 64
-
 
 # --- R squared ---------------------------------------------------------------
 
@@ -303,63 +303,22 @@ def log_log_fit(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-def gram_sums(df: DataFrame, features: Sequence[str], y: str, w: str | None = None) -> dict:
-    """Weighted sums of all products of ``[1, features, y]``, the sufficient statistics of a
-    linear fit. Only ``(k+2)**2`` numbers reach the driver, whatever the number of rows.
-    """
-    names = [*features, y]
-    weight = F.col(w) if w else F.lit(1.0)
-    known = df.na.drop(subset=[*names, *([w] if w else [])])
-    size = len(names) + 1
-    moments = np.zeros((size, size))
-    if len(names) <= WIDE_SUMS:
-        terms = [F.lit(1.0), *[F.col(n).cast("double") for n in names]]
-        pairs = [(i, j) for i in range(size) for j in range(i, size)]
-        sums = known.agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.sum(weight * terms[i] * terms[j]).alias(f"s_{i}_{j}") for i, j in pairs],
-        ).first()
-        n = sums["n"]
-        for i, j in pairs:
-            moments[i, j] = moments[j, i] = sums[f"s_{i}_{j}"] or 0.0
-        return {"n": n, "moments": moments}
-
-    def partial(batches):
-        acc = np.zeros((size, size))
-        for batch in batches:
-            block = np.column_stack([np.ones(len(batch)), batch[names].to_numpy(float)])
-            acc += (block * batch["_w"].to_numpy(float)[:, None]).T @ block
-        i, j = np.triu_indices(size)
-        import pandas as pd
-
-        yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "s": acc[i, j]})
-
-    blocks = known.select(*[F.col(n).cast("double").alias(n) for n in names], weight.cast("double").alias("_w"))
-    summed = blocks.mapInPandas(partial, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
-    for row in summed.collect():  # (k+2)(k+3)/2 numbers
-        moments[row["i"], row["j"]] = moments[row["j"], row["i"]] = row["s"]
-    return {"n": known.count(), "moments": moments}
-
-
-def linear_fit(sums: dict, ridge: float = 0.0, standardise: bool = False) -> dict:
-    """Solve the k by k system of :func:`gram_sums` on the driver."""
-    m = sums["moments"]
-    sw = m[0, 0]
-    mean = m[0] / sw
-    cov = m / sw - np.outer(mean, mean)
-    k = len(mean) - 2
-    cxx, cxy = cov[1 : k + 1, 1 : k + 1], cov[1 : k + 1, k + 1]
+def linear_fit(moments: Moments, ridge: float = 0.0, standardise: bool = False) -> dict:
+    """Solve the k by k system of ``co_moments`` over ``[features, outcome]`` on the driver."""
+    mean, cov = moments.mean, moments.cov
+    k = len(mean) - 1
+    cxx, cxy = cov[:k, :k], cov[:k, k]
     scale = np.sqrt(np.diag(cxx)) if standardise else np.ones(k)
     scale = np.where(scale > 0, scale, 1.0)
     a = cxx / np.outer(scale, scale) + ridge * np.eye(k)
     b = cxy / scale
     beta = np.linalg.solve(a, b) if ridge else np.linalg.lstsq(a, b, rcond=None)[0]
     coef = beta / scale
-    intercept = mean[k + 1] - coef @ mean[1 : k + 1]
-    syy = cov[k + 1, k + 1]
+    intercept = mean[k] - coef @ mean[:k]
+    syy = cov[k, k]
     resid = syy - 2 * coef @ cxy + coef @ cxx @ coef
     return {
-        "n": sums["n"],
+        "n": moments.n,
         "coef": coef,
         "intercept": float(intercept),
         "r2": float(1 - resid / syy) if syy > 0 else None,
@@ -377,49 +336,32 @@ def demeaned(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFr
     )
 
 
-def covariance(df: DataFrame, columns: Sequence[str]) -> dict:
-    """Mean vector and sample covariance of the columns (k and k*k numbers)."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(columns)],
-        *[F.covar_samp(columns[i], columns[j]).alias(f"c_{i}_{j}") for i, j in pairs],
-    ).first()
-    k = len(columns)
-    cov = np.zeros((k, k))
-    for i, j in pairs:
-        cov[i, j] = cov[j, i] = row[f"c_{i}_{j}"]
-    return {"n": row["n"], "mean": np.array([row[f"m_{i}"] for i in range(k)]), "cov": cov}
+def covariance_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Sample covariances as a table ``a, b, cov, mean_a`` of ``k (k + 1) / 2`` rows."""
+    moments = co_moments(df, columns)
+    cov = moments.sample_cov
+    rows = [
+        (columns[i], columns[j], float(cov[i, j]), float(moments.mean[i])) for i in range(len(columns)) for j in range(i, len(columns))
+    ]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, cov double, mean_a double")
 
 
-def covariance_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The same as a table ``a, b, cov, mean_a``, one aggregate for all pairs."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    wide = df.agg(
-        *[F.avg(c).alias(f"m_{c}") for c in columns],
-        *[F.covar_samp(a, b).alias(f"c_{a}_{b}") for a, b in pairs],
-    )
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("a"), F.lit(b).alias("b"),
-                F.col(f"c_{a}_{b}").alias("cov"), F.col(f"m_{a}").alias("mean_a"),
-            )
-            for a, b in pairs
-        ]
-    )
-    return wide.select(F.inline(entries))
+def with_mahalanobis(df: DataFrame, columns: Sequence[str], mean: np.ndarray, cov: np.ndarray, out: str = "distance") -> DataFrame:
+    """Distance of each row from ``mean``; NULL where a column is. The pseudo-inverse copes with columns that copy each other.
 
+    The matrix is ``k`` by ``k`` and goes to the tasks as it is; only ``columns`` are turned into numbers there.
+    """
+    inverse = np.linalg.pinv(np.atleast_2d(cov), hermitian=True)
+    places = [df.columns.index(c) for c in columns]
 
-def mahalanobis(columns: Sequence[str], mean: np.ndarray, cov: np.ndarray) -> Column:
-    """Distance as a Column. The pseudo-inverse copes with features that copy each other."""
-    inverse = np.linalg.pinv(np.atleast_2d(cov))
-    centred = [F.col(c) - float(mean[i]) for i, c in enumerate(columns)]
-    rows = [
-        centred[i] * reduce(lambda a, b: a + b, [float(inverse[i, j]) * centred[j] for j in range(len(columns))])
-        for i in range(len(columns))
-    ]
-    return F.sqrt(F.greatest(reduce(lambda a, b: a + b, rows), F.lit(0.0)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            centred = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in places]) - mean
+            square = np.einsum("ij,jk,ik->i", centred, inverse, centred, optimize=True)
+            distance = pa.array(np.sqrt(np.maximum(square, 0.0)), from_pandas=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns, distance], [*batch.schema.names, out])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def column_moments(df: DataFrame, array: str, width: int, tolerance: float = 1e-9) -> DataFrame:

@@ -103,21 +103,18 @@ def fold_assignments(
 def uniform_box(
     df: DataFrame, columns: Sequence[str], n: int, seed: int | str, tail: float = 0.01
 ) -> DataFrame:
-    """``n`` rows of independent uniform draws between the tail quantiles of each column."""
-    box = {}
-    for c in columns:
-        cut = grouped_quantiles(df, [], c, {"lo": tail, "hi": 1.0 - tail})
-        box[c] = cut.select(F.struct("lo", "hi")).scalar()
-    rows = df.sparkSession.range(n).select(
-        F.col("id").alias("draw_id"), *[b.alias(f"_b_{c}") for c, b in box.items()]
-    )
-    return rows.select(
-        "draw_id",
+    """``n`` rows of independent uniform draws between the tail quantiles of each column.
+
+    The bounds of all columns are one grouped job; two numbers per column reach the driver.
+    """
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "_column", "_value")
+    cuts = grouped_quantiles(long, ["_column"], "_value", {"lo": tail, "hi": 1.0 - tail}).collect()
+    box = {r["_column"]: (r["lo"], r["hi"]) for r in cuts}
+    return df.sparkSession.range(n).select(
+        F.col("id").alias("draw_id"),
         *[
-            (
-                F.col(f"_b_{c}.lo")
-                + (F.col(f"_b_{c}.hi") - F.col(f"_b_{c}.lo")) * uniform(seed, F.lit(c), F.col("draw_id"))
-            ).alias(c)
+            (F.lit(lo) + (F.lit(hi) - F.lit(lo)) * uniform(seed, F.lit(c), F.col("id"))).alias(c)
             for c in columns
+            for lo, hi in [box.get(c, (None, None))]
         ],
     )

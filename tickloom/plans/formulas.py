@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import finite
 from tickloom.operators import metrics
+from tickloom.operators.moments import weighted_correlations
 from tickloom.operators.quantiles import grouped_quantiles
 from tickloom.session import cut_lineage
 
@@ -144,11 +145,8 @@ TEMPLATES = (
 
 def rank_inputs(df: DataFrame, inputs: list[str], y: str, w: str, top: int | None = None) -> DataFrame:
     """Inputs by absolute weighted correlation with the outcome, names breaking ties."""
-    long = df.select(y, w, *[F.col(c).cast("double").alias(c) for c in inputs]).unpivot(
-        [y, w], inputs, "input", "x"
-    )
-    corr = metrics.weighted_corr(F.col("x"), F.col(y), F.col(w))
-    ranked = long.groupBy("input").agg(F.coalesce(F.abs(corr), F.lit(0.0)).alias("strength"))
+    found = weighted_correlations(df, inputs, y, w)
+    ranked = found.select("input", F.coalesce(F.abs("r"), F.lit(0.0)).alias("strength"))
     ordered = ranked.orderBy(F.col("strength").desc(), F.col("input").asc())
     return ordered.limit(top) if top else ordered
 
@@ -171,9 +169,8 @@ def template_search(
             sizes[text] = (name, size)
     numbered = {f"c{i}": t for i, t in enumerate(texts)}
     valued, _ = evaluate(df, numbered, [y, w])
-    long = valued.unpivot([y, w], list(numbered), "candidate", "x")
-    corr = metrics.weighted_corr(F.col("x"), F.col(y), F.col(w))
-    scored = long.groupBy("candidate").agg((corr * corr).alias("score"))
+    found = weighted_correlations(valued, list(numbered), y, w)
+    scored = found.select(F.col("input").alias("candidate"), (F.col("r") * F.col("r")).alias("score"))
     labels = df.sparkSession.createDataFrame(
         [(c, t, sizes[t][0], sizes[t][1]) for c, t in numbered.items()],
         "candidate string, formula string, template string, complexity int",

@@ -18,6 +18,7 @@ from tickloom.functions.numeric import ratio, ratio_if_positive
 from tickloom.operators import metrics
 from tickloom.operators.asof import lookback_count, neighbour_gaps
 from tickloom.operators.frames import CHUNK_ROWS, over_rows
+from tickloom.operators.moments import co_moments
 from tickloom.operators.quantiles import grouped_quantiles
 from tickloom.plans.features import level_features
 from tickloom.session import cut_lineage
@@ -309,7 +310,7 @@ def measure_exponent(dataset: DataFrame, x: str, y: str) -> DataFrame:
 def measure_multiscale(dataset: DataFrame, xs: Sequence[str], y: str) -> DataFrame:
     """Multiple regression; the solve is k by k on the driver, the sums are one aggregate."""
     spark = dataset.sparkSession
-    fit = metrics.linear_fit(metrics.gram_sums(dataset, xs, y))
+    fit = metrics.linear_fit(co_moments(dataset, [*xs, y]))
     coef = [float(c) for c in fit["coef"]]
     used = all(abs(c) > MULTI_SLOPE_MIN for c in coef)
     positive = all(c > 0 for c in coef)

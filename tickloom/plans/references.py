@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.numeric import clip, ratio
 from tickloom.operators import metrics
 from tickloom.operators.filters import domain_of
+from tickloom.operators.moments import co_moments
 from tickloom.operators.quantiles import grouped_quantiles
 from tickloom.operators.sampling import fold_assignments
 from tickloom.plans.laws import MIN_ROWS, decay_fits, decay_shape, log_bins
@@ -63,7 +64,7 @@ def fixed_effects(
     """Slopes from deviations within symbols; a new symbol is centred on its own input means."""
     known = fit.na.drop(subset=[*xs, y])
     within = metrics.demeaned(known.select(symbol, *xs, y), [symbol], [*xs, y])
-    coef = metrics.linear_fit(metrics.gram_sums(within, list(xs), y))["coef"]
+    coef = metrics.linear_fit(co_moments(within, [*xs, y]))["coef"]
     bounds = domain_of(within, xs).select(F.struct("*")).scalar()
     mean_y = known.agg(F.avg(y).alias("m")).scalar()
     means = score.groupBy(symbol).agg(*[F.avg(x).alias(f"_m_{x}") for x in xs])
@@ -129,11 +130,11 @@ def ridge_path(
     w: str,
     alphas: Sequence[float] = (1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0, 1000.0),
 ) -> tuple[DataFrame, dict[float, dict]]:
-    """Weighted ridge fits of one Gram aggregate, all scored on ``select`` in one pass.
+    """Weighted ridge fits of one set of co-moments, all scored on ``select`` in one pass.
 
     Returns ``alpha, r2`` rows and the fitted models by alpha.
     """
-    sums = metrics.gram_sums(fit, xs, y, w)
+    sums = co_moments(fit, [*xs, y], w)
     models = {a: metrics.linear_fit(sums, ridge=a, standardise=True) for a in alphas}
     scores = select.na.drop(subset=[*xs, y, w]).agg(
         *[

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import drop_incomplete
-from tickloom.operators.metrics import covariance, mahalanobis
+from tickloom.operators.metrics import with_mahalanobis
+from tickloom.operators.moments import co_moments
 from tickloom.operators.positions import sorted_positions
 from tickloom.operators.quantiles import grouped_quantiles
 from tickloom.operators.sampling import sample_rows
@@ -24,8 +25,9 @@ def trust_region(df: DataFrame, columns: Sequence[str], quantile: float = TRUST_
     """
     # The features are read for the covariance, for the radius and for the result.
     known = cut_lineage(drop_incomplete(df, list(columns)))
-    moments = covariance(known, columns)
-    measured = known.withColumn("distance", mahalanobis(columns, moments["mean"], moments["cov"]))
+    moments = co_moments(known, columns)
+    # Staged: the distances are read for the radius and for the result.
+    measured = cut_lineage(with_mahalanobis(known, columns, moments.mean, moments.sample_cov))
     radius = grouped_quantiles(measured, [], "distance", {"radius": quantile}).select("radius").scalar()
     return measured.withColumn("on_manifold", F.col("distance") <= radius)
 

@@ -222,15 +222,17 @@ p AS (
 # --- vectors -----------------------------------------------------------------
 
 
-def vectors(spark: SparkSession, sf_dir: str, width: int = 4) -> DataFrame:
+WIDTH = 64
+VECTOR_COLUMNS = [f"x{i}" for i in range(WIDTH)]
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         "vec_id",
-        *[F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(width)],
+        *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(VECTOR_COLUMNS)],
     )
 
 
-V_SQL = """
-v AS (
-  SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x0, CAST(embedding[2] AS DOUBLE) AS x1,
-         CAST(embedding[3] AS DOUBLE) AS x2, CAST(embedding[4] AS DOUBLE) AS x3
-  FROM embeddings)"""
+V_SQL = f"""
+v AS (SELECT vec_id, {', '.join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {c}" for i, c in enumerate(VECTOR_COLUMNS))} FROM embeddings),
+vl AS MATERIALIZED (SELECT vec_id, unnest(range({WIDTH})) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)"""

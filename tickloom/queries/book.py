@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from tickloom.functions import book as feature
@@ -694,7 +696,29 @@ def formula_slope_constancy(spark, sf):
 SEARCH_INPUTS = ["x1", "x2", "x3"]
 
 
-@query("m16_template_formula_search")
+def _candidates_sql() -> str:
+    """One row per template and combination of the ranked inputs, with the squared correlation of its values."""
+    rows = []
+    for name, arity, form, size in formulas.TEMPLATES:
+        for combo in combinations((1, 2, 3), arity):
+            text = "'" + form.format(*[f"' || n{i} || '" for i in combo]) + "'"
+            value = form.format(*[f"s{i}" for i in combo])
+            rows.append(f"SELECT {text} AS formula, '{name}' AS template, {size} AS complexity, corr({value}, y) AS r FROM vals, nm GROUP BY n1, n2, n3")
+    return " UNION ALL ".join(rows)
+
+
+@query(
+    "m16_template_formula_search",
+    f"""{WITH_B}, {LAW_CTE}, ok AS (SELECT x1, x2, x3, y FROM law4 WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL AND y IS NOT NULL),
+        st AS (SELECT 'x1' AS input, abs(corr(x1, y)) AS r FROM ok UNION ALL SELECT 'x2', abs(corr(x2, y)) FROM ok
+               UNION ALL SELECT 'x3', abs(corr(x3, y)) FROM ok),
+        rk AS (SELECT input, row_number() OVER (ORDER BY r DESC, input) AS k FROM st),
+        nm AS (SELECT max(input) FILTER (k = 1) AS n1, max(input) FILTER (k = 2) AS n2, max(input) FILTER (k = 3) AS n3 FROM rk),
+        vals AS (SELECT y, {', '.join(f"CASE n{i} WHEN 'x1' THEN x1 WHEN 'x2' THEN x2 ELSE x3 END AS s{i}" for i in (1, 2, 3))} FROM ok, nm),
+        cd AS ({_candidates_sql()})
+        SELECT formula, template, complexity::INTEGER AS complexity, round(r * r, 6) AS score FROM cd WHERE r IS NOT NULL
+        ORDER BY r * r DESC, cd.complexity, formula LIMIT 12""",
+)
 def template_formula_search(spark, sf):
     made = laws.volatility_law(book(spark, sf), KEYS, "tick_seq", LAW_SIZES).withColumn("w", F.lit(1.0))
     return rounded(formulas.template_search(made.filter("mask"), SEARCH_INPUTS, "y", "w"))

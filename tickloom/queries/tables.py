@@ -15,6 +15,8 @@ from tickloom.queries.bindings import (
     E_SQL,
     L_SQL,
     V_SQL,
+    VECTOR_COLUMNS,
+    WIDTH,
     book,
     ledger,
     raw_ticks,
@@ -382,41 +384,48 @@ def sets_by_role_and_date(spark, sf):
 
 @query(
     "a32_mean_and_covariance",
-    f"""WITH {V_SQL} {' UNION ALL '.join(
-        f"SELECT 'x{i}' AS a, 'x{j}' AS b, round(covar_samp(x{i}, x{j}), 6) AS cov, round(avg(x{i}), 6) AS mean_a FROM v"
-        for i in range(4) for j in range(i, 4))}""",
+    f"""WITH {V_SQL} SELECT 'x' || a.i AS a, 'x' || b.i AS b, round(covar_samp(a.x, b.x), 6) AS cov, round(avg(a.x), 6) AS mean_a
+        FROM vl a JOIN vl b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.i, b.i""",
 )
 def mean_and_covariance(spark, sf):
-    return rounded(metrics.covariance_rows(vectors(spark, sf), ["x0", "x1", "x2", "x3"]))
+    return rounded(metrics.covariance_rows(vectors(spark, sf), VECTOR_COLUMNS))
 
 
+# The covariance is inverted by sweeping its columns one after the other; the swept matrix is minus the inverse.
 REGION_CTE = f"""{V_SQL},
-m AS (SELECT avg(x0) AS m0, avg(x1) AS m1, var_samp(x0) AS a, covar_samp(x0, x1) AS b, var_samp(x1) AS c FROM v),
-ds AS (SELECT vec_id, sqrt(greatest((c * (x0 - m0) * (x0 - m0) - 2 * b * (x0 - m0) * (x1 - m1)
-         + a * (x1 - m1) * (x1 - m1)) / (a * c - b * b), 0)) AS distance FROM v, m),
+mv AS (SELECT i, avg(x) AS m FROM vl GROUP BY 1), dv AS MATERIALIZED (SELECT vec_id, vl.i, x - m AS x FROM vl JOIN mv USING (i)),
+s0 AS MATERIALIZED (SELECT a.i AS i, b.i AS j, covar_samp(a.x, b.x) AS s FROM dv a JOIN dv b ON a.vec_id = b.vec_id GROUP BY 1, 2),
+sw AS (SELECT 0 AS k, list(s ORDER BY i, j) AS s FROM s0 UNION ALL
+  SELECT k + 1, list_transform(range({WIDTH * WIDTH}), lambda t: CASE WHEN t = k * {WIDTH + 1} THEN -1 / s[k * {WIDTH + 1} + 1]
+    WHEN t // {WIDTH} = k OR t % {WIDTH} = k THEN s[t + 1] / s[k * {WIDTH + 1} + 1]
+    ELSE s[t + 1] - s[t // {WIDTH} * {WIDTH} + k + 1] * s[k * {WIDTH} + t % {WIDTH} + 1] / s[k * {WIDTH + 1} + 1] END) FROM sw WHERE k < {WIDTH}),
+iv AS MATERIALIZED (SELECT unnest(range({WIDTH * WIDTH})) // {WIDTH} AS i, unnest(range({WIDTH * WIDTH})) % {WIDTH} AS j, unnest(s) AS s
+  FROM sw WHERE k = {WIDTH}),
+ds AS MATERIALIZED (SELECT a.vec_id, sqrt(greatest(-sum(a.x * s * b.x), 0)) AS distance FROM dv a JOIN iv USING (i) JOIN dv b
+         ON a.vec_id = b.vec_id AND b.i = j GROUP BY 1),
 rk AS (SELECT *, row_number() OVER (ORDER BY distance, vec_id) - 1 AS rn, count(*) OVER () AS n FROM ds),
 ra AS (SELECT quantile_cont(distance, 0.99) AS radius FROM ds)"""
 
 
 @query(
     "r02_trust_region",
-    f"""WITH {REGION_CTE} SELECT vec_id, round(distance, 6) AS distance, distance <= radius AS on_manifold FROM ds, ra""",
+    f"""WITH RECURSIVE {REGION_CTE} SELECT vec_id, round(distance, 6) AS distance, distance <= radius AS on_manifold FROM ds, ra""",
 )
 def trust_region(spark, sf):
-    region = selection.trust_region(vectors(spark, sf), ["x0", "x1"])
+    region = selection.trust_region(vectors(spark, sf), VECTOR_COLUMNS)
     return region.select("vec_id", r6("distance"), "on_manifold")
 
 
 @query(
     "w15_tail_weights",
-    f"""WITH {REGION_CTE}, wt AS (SELECT vec_id, 1 + 4 * rn / (n - 1) AS w FROM rk WHERE {draw_sql(2, 'vec_id')} < 2147483648)
+    f"""WITH RECURSIVE {REGION_CTE}, wt AS (SELECT vec_id, 1 + 4 * rn / (n - 1) AS w FROM rk WHERE {draw_sql(2, 'vec_id')} < 2147483648)
         SELECT vec_id, round(w / sum(w) OVER () * count(*) OVER (), 6) AS weight FROM wt""",
 )
 def tail_weights(spark, sf):
     from tickloom.functions.draws import draw
 
     weighted = selection.tail_weights(
-        selection.trust_region(vectors(spark, sf), ["x0", "x1"]), "distance", ["vec_id"]
+        selection.trust_region(vectors(spark, sf), VECTOR_COLUMNS), "distance", ["vec_id"]
     )
     chosen = weighted.filter(draw(2, F.col("vec_id")) < 2_147_483_648)
     return selection.renormalise(chosen, "weight").select("vec_id", r6("weight"))
@@ -424,25 +433,25 @@ def tail_weights(spark, sf):
 
 @query(
     "r02_select_rows",
-    f"""WITH {REGION_CTE}, o AS (SELECT *, row_number() OVER (ORDER BY {draw_sql(SEED, 'vec_id')}, vec_id) AS place FROM rk),
+    f"""WITH RECURSIVE {REGION_CTE}, o AS (SELECT *, row_number() OVER (ORDER BY {draw_sql(SEED, 'vec_id')}, vec_id) AS place FROM rk),
         ch AS (SELECT vec_id, distance <= radius AS on_manifold, 1 + 4 * rn / (n - 1) AS w FROM o, ra WHERE place <= 200)
         SELECT vec_id, on_manifold, round(w / sum(w) OVER () * count(*) OVER (), 6) AS weight FROM ch""",
 )
 def select_rows(spark, sf):
-    chosen = selection.select_rows(vectors(spark, sf), ["x0", "x1"], ["vec_id"], 200, seed=SEED)
+    chosen = selection.select_rows(vectors(spark, sf), VECTOR_COLUMNS, ["vec_id"], 200, seed=SEED)
     return chosen.select("vec_id", "on_manifold", r6("weight"))
 
 
 @query(
     "r09_uniform_box_sample",
     f"""WITH {V_SQL}, q AS (SELECT {', '.join(
-        f"quantile_cont({c}, 0.01) AS lo_{c}, quantile_cont({c}, 0.99) AS hi_{c}" for c in ('x0', 'x1'))} FROM v)
+        f"quantile_cont({c}, 0.01) AS lo_{c}, quantile_cont({c}, 0.99) AS hi_{c}" for c in VECTOR_COLUMNS)} FROM v)
         SELECT draw_id, {', '.join(
         f"round(lo_{c} + (hi_{c} - lo_{c}) * {draw_sql(SEED, chr(39) + c + chr(39), 'draw_id')} / 4294967296.0::DOUBLE, 6) AS {c}"
-        for c in ('x0', 'x1'))} FROM range(500) r(draw_id), q""",
+        for c in VECTOR_COLUMNS)} FROM range(500) r(draw_id), q""",
 )
 def uniform_box_sample(spark, sf):
-    return rounded(sampling.uniform_box(vectors(spark, sf), ["x0", "x1"], 500, SEED))
+    return rounded(sampling.uniform_box(vectors(spark, sf), VECTOR_COLUMNS, 500, SEED))
 
 
 # --- verdict tables ----------------------------------------------------------
