@@ -7,14 +7,18 @@ reproducible whatever the partitioning.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.draws import draw
 from tickloom.functions.numeric import ratio, ratio_if_positive
 from tickloom.operators.positions import shuffled_positions
+from tickloom.session import cut_lineage
 
 CI95 = (0.025, 0.975)
 
@@ -106,22 +110,93 @@ def ratio_interval(
     return interval(reps, by, ratio_if_positive(F.col(num), F.col(den)), bounds)
 
 
-def ratio_difference_interval(
-    counts: DataFrame,
-    stats: DataFrame,
-    ident: str,
-    arm: str,
-    by: Sequence[str],
-    left: str,
-    num: str,
-    den: str,
-    bounds: dict[str, float],
+# --- many replicates over few members ------------------------------------------
+
+MATRIX_CELLS = 4_000_000  # sums that a task holds at a time; more arms go in further rounds
+
+
+def drawn_sums(
+    members: DataFrame, stats: DataFrame, ident: str, by: Sequence[str], sums: Sequence[str], *, reps: int, seed: int | str
 ) -> DataFrame:
-    """Interval of ``ratio(left arm) - ratio(other arm)`` on the same draws, per other arm."""
-    reps = replicate_sums(counts, stats, [ident], [*by, arm], [num, den]).withColumn(
-        "_r", ratio_if_positive(F.col(num), F.col(den))
+    """``by, rep`` and the weighted ``sums`` of each replicate: those of ``draw_counts`` and ``replicate_sums``, without their rows.
+
+    The sums of all arms are one matrix over the members, as many numbers as ``stats`` has rows. A task draws its
+    replicates itself, counts them and multiplies, so no (replicate, member) pair is ever a row, and the arms of a
+    replicate share its draws. Members without statistics add nothing.
+    """
+    spark = stats.sparkSession
+    shape = ", ".join([*[f"{c} {stats.schema[c].dataType.simpleString()}" for c in by], "rep long", *[f"{s} double" for s in sums]])
+    placed = shuffled_positions(members.select(ident).distinct(), [], [ident], seed, "_place")
+    placed = cut_lineage(placed)
+    k = placed.count()
+    rows = stats.join(placed, ident).select(*by, "_place", *[F.col(s).cast("double").alias(s) for s in sums]).toPandas()
+    arms = list(dict.fromkeys(rows[list(by)].itertuples(index=False, name=None))) if by else [()]
+    if not k or rows.empty:
+        return spark.createDataFrame([], shape)
+    number = {arm: i for i, arm in enumerate(arms)}
+    which = np.array([number[arm] for arm in rows[list(by)].itertuples(index=False, name=None)]) if by else np.zeros(len(rows), int)
+    place = rows["_place"].to_numpy() - 1
+    at_once = max(1, MATRIX_CELLS // (k * len(sums)))
+    made = None
+    for lo in range(0, len(arms), at_once):
+        some = arms[lo : lo + at_once]
+        matrix = np.zeros((k, len(some), len(sums)))
+        own = (which >= lo) & (which < lo + at_once)
+        for j, s in enumerate(sums):
+            np.add.at(matrix, (place[own], which[own] - lo, j), rows[s].to_numpy()[own])
+        part = _drawn_round(spark, matrix, some, by, sums, reps, seed, shape)
+        made = part if made is None else made.unionByName(part)
+    return made
+
+
+def _drawn_round(spark, matrix: np.ndarray, arms: list[tuple], by, sums, reps: int, seed, shape: str) -> DataFrame:
+    shared = spark.sparkContext.broadcast(matrix)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = shared.value
+        k = len(held)
+        flat = held.reshape(k, -1)
+        for batch in batches:
+            for rep in batch["rep"].tolist():
+                # As functions.draws.draw, so that both ways of drawing agree.
+                drawn = np.fromiter(
+                    (int(hashlib.md5(b"%s:%d:%d" % (str(seed).encode(), rep, p)).hexdigest()[:8], 16) % k for p in range(1, k + 1)), np.int64, k
+                )
+                total = (np.bincount(drawn, minlength=k) @ flat).reshape(len(arms), len(sums))
+                out = pd.DataFrame(arms, columns=list(by)) if by else pd.DataFrame(index=range(1))
+                out["rep"] = rep
+                for j, s in enumerate(sums):
+                    out[s] = total[:, j]
+                yield out
+
+    slots = spark.range(0, reps, 1, max(1, min(reps, 4 * spark.sparkContext.defaultParallelism))).withColumnRenamed("id", "rep")
+    return slots.mapInPandas(run, shape)
+
+
+def array_percentile(ordered: Column, p: float) -> Column:
+    """Interpolated percentile of a sorted array; NULL if it is empty."""
+    at = (F.size(ordered) - 1) * F.lit(float(p))
+    low, high = F.get(ordered, F.floor(at).cast("int")), F.get(ordered, F.ceil(at).cast("int"))
+    return F.when(F.size(ordered) > 0, low + (high - low) * (at - F.floor(at)))
+
+
+def all_differences(reps: DataFrame, arm: str, by: Sequence[str], value: Column, bounds: dict[str, float]) -> DataFrame:
+    """``by, arm, other`` and an interval of ``value(arm) - value(other)`` for every ordered pair of arms on shared draws.
+
+    Each arm's replicates are one array in replicate order, so a pair of arms is one row and not one per
+    replicate. A replicate in which either side is missing counts in ``null_reps``.
+    """
+    by = list(by)
+    if not by:  # one group of all
+        return all_differences(reps.withColumn("_all", F.lit(0)), arm, ["_all"], value, bounds).drop("_all")
+    arrays = reps.groupBy(*by, arm).agg(F.sort_array(F.collect_list(F.struct("rep", value.alias("v")))).alias("_r")).select(
+        *by, arm, F.transform("_r", lambda r: r["v"]).alias("_v")
+    )
+    left, right = arrays, arrays.select(*by, F.col(arm).alias("other"), F.col("_v").alias("_o"))
+    gaps = left.join(right, by).filter(F.col(arm) != F.col("other")).select(*by, arm, "other", F.zip_with("_v", "_o", lambda a, b: a - b).alias("_d"))
+    known = F.array_sort(F.filter("_d", lambda d: d.isNotNull()))
+    kept = gaps.select(*by, arm, "other", F.size("_d").alias("_n"), known.alias("_k"))
+    return kept.select(
+        *by, arm, "other", *[array_percentile(F.col("_k"), p).alias(n) for n, p in bounds.items()],
+        (F.col("_n") - F.size("_k")).cast("long").alias("null_reps"),
     )
-    base = reps.filter(F.col(arm) == left).select(*by, "rep", F.col("_r").alias("_base"))
-    other = reps.filter(F.col(arm) != left)
-    joined = other.join(base, [*by, "rep"])
-    return interval(joined, [*by, arm], F.col("_base") - F.col("_r"), bounds)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_LITERAL_ROWS = 10_000
+ROWS_PER_BLOCK = 1_000
 
 
 def semi_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -62,24 +62,30 @@ def pair_predictions(
     return a.join(b, list(on))
 
 
+def parameter_rows(contracts: DataFrame, grid: Sequence[float], theta: str = "theta") -> DataFrame:
+    """``contract_id, graded_id, theta, q``: each contract at each grid quantile, to be looked up by contract."""
+    quantiles = F.explode(F.array(*[F.lit(float(q)) for q in grid]))
+    return contracts.select("contract_id").distinct().select("contract_id", quantiles.alias("q")).select(
+        "contract_id", F.format_string("%s:q%.2f", F.col("contract_id"), F.col("q")).alias("graded_id"), F.lit(theta).alias("theta"), "q"
+    )
+
+
 def parameter_table(
-    symbols: DataFrame, symbol: str, contracts: Sequence[str], grid: Sequence[float], theta: str = "theta"
+    symbols: DataFrame, symbol: str, contracts: DataFrame, grid: Sequence[float], theta: str = "theta"
 ) -> DataFrame:
-    """Every contract at every grid quantile for every symbol, as rows.
+    """:func:`parameter_rows` for every symbol, as rows.
 
-    Contracts and grid are short lists, checked for length, and travel as a literal; only the
-    symbols are data, so the table is an ``explode`` of the symbol rows.
+    The result is all of contracts, quantiles and symbols. Contracts are data of any number: they are packed into blocks,
+    each symbol is dealt to every block by an equality join, and a block is unpacked beside it. Where the rows
+    only have to be found for given decisions, join ``parameter_rows`` by contract instead.
     """
-    if len(contracts) * len(grid) > MAX_LITERAL_ROWS:
-        raise ValueError("pass large contract lists as data, not as a literal")
-    entries = F.array(*[F.struct(F.lit(c).alias("contract_id"), F.lit(float(q)).alias("q")) for c in contracts for q in grid])
-    return symbols.select(symbol, F.explode(entries).alias("_e")).select(
-        F.col("_e.contract_id").alias("contract_id"),
-        F.format_string("%s:q%.2f", F.col("_e.contract_id"), F.col("_e.q")).alias("graded_id"),
-        symbol,
-        F.lit(theta).alias("theta"),
-        F.col("_e.q").alias("q"),
+    rows = parameter_rows(contracts, grid, theta)
+    blocks = max(1, -(-rows.count() // ROWS_PER_BLOCK))
+    packed = rows.groupBy(F.pmod(F.xxhash64("contract_id"), F.lit(blocks)).cast("int").alias("_block")).agg(
+        F.collect_list(F.struct("contract_id", "graded_id", "theta", "q")).alias("_entries")
     )
+    dealt = symbols.select(symbol, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    return dealt.join(packed, "_block").select(symbol, F.inline("_entries")).select("contract_id", "graded_id", symbol, "theta", "q")
 
 
 def colliding_ids(contracts: DataFrame, base: Column, q: Column) -> DataFrame:

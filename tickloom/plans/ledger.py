@@ -128,6 +128,46 @@ def symbol_vectors(ledger: DataFrame) -> DataFrame:
     )
 
 
+PLACES_PER_BLOCK = 4_096
+
+
+def full_symbol_vectors(ledger: DataFrame, contracts: DataFrame, symbols: DataFrame) -> DataFrame:
+    """:func:`symbol_vectors` over every contract of ``contracts`` and every symbol of ``symbols``, zero where there is no decision.
+
+    Contracts without any row have their zeros too; decisions of symbols or contracts outside the lists are left
+    out. Each contract notes, block by block of the numbered symbols, which it has seen; the unseen
+    numbers of a block are spelled out and looked up, so only the rows of the result are made.
+    """
+    numbered = cut_lineage(sorted_positions(symbols.select("symbol").distinct(), [], [F.col("symbol")], "_place"))
+    count = numbered.count()
+    listed = contracts.select("contract_id").distinct()
+    known = cut_lineage(
+        symbol_vectors(ledger).join(listed, "contract_id", "left_semi").join(numbered, "symbol").withColumn("_place", F.col("_place") - 1)
+    )
+    if not count:
+        return known.drop("_place")
+    block = F.floor(F.col("_place") / PLACES_PER_BLOCK).cast("int")
+    seen = known.groupBy("contract_id", block.alias("_block")).agg(F.collect_set((F.col("_place") % PLACES_PER_BLOCK).cast("int")).alias("_seen"))
+    blocks = F.sequence(F.lit(0), F.lit((count - 1) // PLACES_PER_BLOCK))
+    every = listed.select("contract_id", F.explode(blocks).alias("_block")).join(seen, ["contract_id", "_block"], "left")
+    size = F.least(F.lit(PLACES_PER_BLOCK), F.lit(count) - F.col("_block") * PLACES_PER_BLOCK)
+    unseen = F.array_except(F.sequence(F.lit(0), (size - 1).cast("int")), F.coalesce("_seen", F.array().cast("array<int>")))
+    absent = every.select("contract_id", "_block", F.explode(unseen).alias("_at")).select(
+        "contract_id", (F.col("_block") * F.lit(PLACES_PER_BLOCK) + F.col("_at") + 1).cast("long").alias("_place")
+    )
+    zeros = {c: F.lit(0).cast(known.schema[c].dataType) for c in ("net", "gross", "fills", "scorable", "decisions")}
+    added = absent.join(numbered, "_place").select("contract_id", "symbol", *[v.alias(n) for n, v in zeros.items()])
+    return known.drop("_place").unionByName(added)
+
+
+def full_contract_summary(ledger: DataFrame, contracts: DataFrame) -> DataFrame:
+    """:func:`contract_summary` for every contract of ``contracts``; counts and totals are zero where it has no row."""
+    made = contract_summary(ledger)
+    counted = [c for c in made.columns if c not in ("contract_id", "bps_per_decision", "positive")]
+    joined = contracts.select("contract_id").distinct().join(made, "contract_id", "left")
+    return joined.na.fill(0, counted).na.fill(False, ["positive"]).select(*made.columns)
+
+
 def fill_economics(ledger: DataFrame) -> DataFrame:
     """Per contract: means per fill, fill rate, median holding, cohort shares, active symbols."""
     summary = contract_summary(ledger)

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickloom.functions.numeric import ratio_if_positive
 from tickloom.operators import bootstrap as boot
 from tickloom.plans import ledger as plan
 from tickloom.plans import verdicts
-from tickloom.queries.bindings import L_SQL, ledger
+from tickloom.queries.bindings import L_SQL, ledger, table
 from tickloom.queries.registry import draw_sql, query, r6, rounded
 
 WITH_L = f"WITH {L_SQL}"
-REPS = 200
+REPS = 10_000
 SEED = 7
 BONF = 0.05 / 12
 BOUNDS = {"lo95": 0.025, "hi95": 0.975, "lo_bonf": BONF / 2, "hi_bonf": 1 - BONF / 2}
@@ -166,6 +167,37 @@ def contract_symbol_vectors(spark, sf):
     return rounded(plan.symbol_vectors(ledger(spark, sf)))
 
 
+EVERY_SQL = "cs AS (SELECT DISTINCT contract_id FROM l UNION ALL SELECT 'ZZ')"
+
+
+def every_contract(spark, sf):
+    """The contracts of the ledger and one that never decided."""
+    return ledger(spark, sf).select("contract_id").distinct().unionByName(spark.createDataFrame([("ZZ",)], "contract_id string"))
+
+
+@query(
+    "a09_full_symbol_vectors",
+    f"""{WITH_L}, {VECTORS_CTE}, {EVERY_SQL}, sy AS (SELECT s_suppkey AS symbol FROM supplier UNION SELECT c_custkey FROM customer)
+        SELECT contract_id, symbol, round(coalesce(net, 0), 6) AS net, round(coalesce(gross, 0), 6) AS gross, coalesce(fills, 0) AS fills,
+               coalesce(scorable, 0) AS scorable, coalesce(decisions, 0) AS decisions
+        FROM cs CROSS JOIN sy LEFT JOIN vec USING (contract_id, symbol)""",
+)
+def full_symbol_vectors(spark, sf):
+    symbols = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("symbol")).union(table(spark, sf, "customer").select("c_custkey"))
+    return rounded(plan.full_symbol_vectors(ledger(spark, sf), every_contract(spark, sf), symbols))
+
+
+@query(
+    "a05_summary_of_all_contracts",
+    f"""{S_SQL}, {EVERY_SQL}, f AS (SELECT contract_id, {', '.join(f'coalesce("{c}", 0) AS "{c}"' for c in (
+        'decisions', 'scorable', 'fills', 'unfilled', 'censored', 'total_net_bps', *[f'cohort_{c}' for c in plan.COHORTS]))},
+        bps_per_decision, coalesce(positive, false) AS positive FROM cs LEFT JOIN s USING (contract_id))
+        SELECT {SUMMARY_OUT} FROM f""",
+)
+def summary_of_all_contracts(spark, sf):
+    return rounded(plan.full_contract_summary(ledger(spark, sf), every_contract(spark, sf)))
+
+
 SHARE_COLS = ", ".join(f'round("cohort_{c}" / nullif(fills, 0), 6) AS "share_{c}"' for c in plan.COHORTS)
 
 
@@ -304,8 +336,12 @@ cnt AS (SELECT rep, symbol, count(*) AS times FROM hits JOIN place USING (place)
 INTERVAL_OUT = ", ".join(f"round(quantile_cont(r, {p!r}), 6) AS {n}" for n, p in BOUNDS.items())
 
 
-def _counts(frame):
-    return boot.draw_counts(frame.select("symbol").distinct(), [], "symbol", reps=REPS, seed=SEED)
+def _reps(frame, num, den, by=("contract_id",), vectors=None):
+    """Replicate sums over the symbols of ``frame``, with the ratio of two of them."""
+    made = boot.drawn_sums(
+        frame.select("symbol"), plan.symbol_vectors(frame) if vectors is None else vectors, "symbol", list(by), [num, den], reps=REPS, seed=SEED
+    )
+    return made.withColumn("r", ratio_if_positive(F.col(num), F.col(den)))
 
 
 @query(
@@ -316,11 +352,7 @@ def _counts(frame):
         SELECT contract_id, {INTERVAL_OUT}, count(*) FILTER (r IS NULL) AS null_reps FROM reps GROUP BY 1""",
 )
 def ratio_bootstrap(spark, sf):
-    frame = ledger(spark, sf)
-    vectors = plan.symbol_vectors(frame)
-    return rounded(
-        boot.ratio_interval(_counts(frame), vectors, "symbol", ["contract_id"], "net", "scorable", BOUNDS)
-    )
+    return rounded(boot.interval(_reps(ledger(spark, sf), "net", "scorable"), ["contract_id"], F.col("r"), BOUNDS))
 
 
 @query(
@@ -333,22 +365,29 @@ def ratio_bootstrap(spark, sf):
         SELECT contract_id, {INTERVAL_OUT}, count(*) FILTER (r IS NULL) AS null_reps FROM d GROUP BY 1""",
 )
 def ratio_difference_bootstrap(spark, sf):
-    frame = ledger(spark, sf)
+    gaps = boot.all_differences(_reps(ledger(spark, sf), "net", "scorable"), "contract_id", [], F.col("r"), BOUNDS)
     return rounded(
-        boot.ratio_difference_interval(
-            _counts(frame),
-            plan.symbol_vectors(frame),
-            "symbol",
-            "contract_id",
-            [],
-            "AF",
-            "net",
-            "scorable",
-            BOUNDS,
-        )
+        gaps.filter("contract_id = 'AF'").select(F.col("other").alias("contract_id"), *BOUNDS, "null_reps")
     )
 
 
+@query(
+    "r13_all_arm_differences",
+    f"""{WITH_L}, vec AS (SELECT split_part(graded_id, ':', 1) AS arm, split_part(graded_id, ':', 2) AS q, symbol,
+            coalesce(sum(net_bps), 0.0::DOUBLE) AS net, count(*) FILTER (status IN ('FILLED','UNFILLED')) AS scorable FROM l GROUP BY 1, 2, 3),
+        {COUNTS_CTE},
+        reps AS (SELECT arm, q, rep, sum(times * net) / nullif(sum(times * scorable), 0) AS v FROM cnt JOIN vec USING (symbol) GROUP BY 1, 2, 3),
+        d AS (SELECT a.q, a.arm, b.arm AS other, a.v - b.v AS r FROM reps a JOIN reps b ON a.q = b.q AND a.rep = b.rep AND a.arm <> b.arm)
+        SELECT q, arm, other, {INTERVAL_OUT}, count(*) FILTER (r IS NULL) AS null_reps FROM d GROUP BY 1, 2, 3""",
+)
+def all_arm_differences(spark, sf):
+    frame = ledger(spark, sf, graded=True)
+    parts = F.split("contract_id", ":")
+    vectors = plan.symbol_vectors(frame).select(F.get(parts, F.lit(0)).alias("arm"), F.get(parts, F.lit(1)).alias("q"), "symbol", "net", "scorable")
+    reps = _reps(frame, "net", "scorable", ("arm", "q"), vectors)
+    return rounded(boot.all_differences(reps, "arm", ["q"], F.col("r"), BOUNDS))
+
+
 @query(
     "r14_mean_per_fill_bootstrap",
     f"""{WITH_L}, {VECTORS_CTE}, {COUNTS_CTE},
@@ -357,12 +396,7 @@ def ratio_difference_bootstrap(spark, sf):
         SELECT contract_id, {INTERVAL_OUT}, count(*) FILTER (r IS NULL) AS null_reps FROM reps GROUP BY 1""",
 )
 def mean_per_fill_bootstrap(spark, sf):
-    frame = ledger(spark, sf)
-    return rounded(
-        boot.ratio_interval(
-            _counts(frame), plan.symbol_vectors(frame), "symbol", ["contract_id"], "gross", "fills", BOUNDS
-        )
-    )
+    return rounded(boot.interval(_reps(ledger(spark, sf), "gross", "fills"), ["contract_id"], F.col("r"), BOUNDS))
 
 
 # --- verdicts ----------------------------------------------------------------
@@ -375,20 +409,20 @@ def mean_per_fill_bootstrap(spark, sf):
                  FROM cnt JOIN vec USING (symbol) GROUP BY 1, 2),
         ci AS (SELECT contract_id, quantile_cont(r, {BOUNDS['lo_bonf']!r}) AS lo,
                       quantile_cont(r, {BOUNDS['hi_bonf']!r}) AS hi FROM reps GROUP BY 1)
-        SELECT contract_id, scorable, CASE WHEN scorable < 200 THEN 'too few'
+        SELECT contract_id, scorable, round(lo, 6) AS lo_bonf, round(hi, 6) AS hi_bonf, CASE WHEN scorable < 200 THEN 'too few'
                WHEN total_net_bps > 0 AND lo > 0 THEN 'profit' WHEN hi < 0 THEN 'loss' ELSE 'undecided' END AS verdict
         FROM s JOIN ci USING (contract_id)""",
 )
 def contract_verdict(spark, sf):
     frame = ledger(spark, sf)
     summary = plan.contract_summary(frame)
-    ci = boot.ratio_interval(
-        _counts(frame), plan.symbol_vectors(frame), "symbol", ["contract_id"], "net", "scorable", BOUNDS
-    )
+    ci = boot.interval(_reps(frame, "net", "scorable"), ["contract_id"], F.col("r"), BOUNDS)
     verdict = verdicts.contract_economics(
         F.col("scorable"), F.col("total_net_bps"), F.col("lo_bonf"), F.col("hi_bonf")
     )
-    return summary.join(ci, "contract_id").select("contract_id", "scorable", verdict.alias("verdict"))
+    return summary.join(ci, "contract_id").select(
+        "contract_id", "scorable", r6("lo_bonf"), r6("hi_bonf"), verdict.alias("verdict")
+    )
 
 
 def _friction(symbol):
@@ -452,13 +486,17 @@ def seed_pass(spark, sf):
         dom AS (SELECT contract_id, late, arg_max(cohort, (n, cohort)) AS dominant,
                        sum(n) FILTER (cohort = 'COST_INSUFFICIENT') / sum(n) AS cost FROM per GROUP BY 1, 2),
         sc AS (SELECT graded_id AS contract_id, count(*) FILTER (status <> 'CENSORED') AS scorable FROM l
-               WHERE minute_of_session >= 195 GROUP BY 1)
+               WHERE minute_of_session >= 195 GROUP BY 1),
+        bq AS (SELECT split_part(contract_id, ':', 1) AS base, late, arg_max(contract_id, (net, contract_id)) AS best FROM (
+                 SELECT graded_id AS contract_id, minute_of_session >= 195 AS late, coalesce(sum(net_bps), 0) AS net FROM l GROUP BY 1, 2) GROUP BY 1, 2),
+        mv AS (SELECT e.base, e.best <> n.best AS moved FROM bq e JOIN bq n USING (base) WHERE NOT e.late AND n.late)
         SELECT contract_id, CASE
           WHEN b.dominant = 'NET_RECOVERY' AND a.dominant = 'PERSISTENT_ADVERSE' THEN 'cohort reversal'
           WHEN contract_id LIKE '%:q0.95' AND scorable <= 200 THEN 'threshold at extreme'
-          WHEN a.cost - b.cost > 0.1 THEN 'cohort shift' ELSE 'none' END AS signal,
+          WHEN a.cost - b.cost > 0.1 THEN 'cohort shift' WHEN moved THEN 'threshold drift' ELSE 'none' END AS signal,
           b.dominant AS dominant_before, a.dominant AS dominant_now
-        FROM dom a JOIN dom b USING (contract_id) JOIN sc USING (contract_id) WHERE a.late AND NOT b.late""",
+        FROM dom a JOIN dom b USING (contract_id) JOIN sc USING (contract_id) JOIN mv ON split_part(contract_id, ':', 1) = mv.base
+        WHERE a.late AND NOT b.late""",
 )
 def drift_signals(spark, sf):
     frame = ledger(spark, sf, graded=True).withColumn("late", F.col("minute_of_session") >= 195)
@@ -483,11 +521,17 @@ def drift_signals(spark, sf):
     scorable = frame.filter("late").groupBy("contract_id").agg(
         F.count_if(plan.is_scorable()).alias("scorable")
     )
-    joined = before.join(now, "contract_id").join(scorable, "contract_id")
+    base = F.split_part("contract_id", F.lit(":"), F.lit(1))
+    nets = frame.groupBy("contract_id", "late").agg(F.coalesce(F.sum("net_bps"), F.lit(0.0)).alias("net"))
+    best = nets.groupBy(base.alias("base")).agg(
+        *[F.max(F.when(F.col("late") == late, F.struct("net", "contract_id")))["contract_id"].alias(n) for n, late in (("was", False), ("is", True))]
+    )
+    moved = best.filter(F.col("was").isNotNull() & F.col("is").isNotNull()).select("base", (F.col("was") != F.col("is")).alias("moved"))
+    joined = before.join(now, "contract_id").join(scorable, "contract_id").withColumn("base", base).join(moved, "base")
     return joined.select(
         "contract_id",
         verdicts.drift_signal(
-            F.lit(False),
+            F.col("moved"),
             F.col("contract_id").endswith(":q0.95"),
             F.col("scorable"),
             F.col("cost_before"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.functions.numeric import ratio
+from tickloom.functions.numeric import ratio, ratio_if_positive
 from tickloom.operators import bootstrap as boot
 from tickloom.operators import filters, joins, metrics, sampling, signals
 from tickloom.operators.windows import signal_rules, with_rolling_quantiles
@@ -15,7 +15,7 @@ from tickloom.session import cut_lineage
 from tickloom.sources import tables as store
 
 WITH_P = f"WITH {P_SQL}"
-REPS = 200
+REPS = 1_000
 SEED = 5
 PREDS = {"sse_a": "pred_a", "sse_b": "pred_b"}
 BONF = 0.05 / 12
@@ -310,26 +310,25 @@ cnt AS (SELECT {g}rep, symbol, count(*) AS times FROM hits JOIN place USING ({g}
 
 @query(
     "d01_label_economics_verdict",
-    f"""{WITH_P}, {SIG_CTE}, e1 AS (SELECT * FROM ss WHERE eval_set = 'eval1'), {members_sql('e1')},
-        rp AS (SELECT model, rule, rep, sum(times * sy) / nullif(sum(times * n), 0) AS r FROM cnt JOIN e1 USING (symbol)
-               GROUP BY 1, 2, 3),
-        ci AS (SELECT model, rule, quantile_cont(r, {BONF / 2!r}) AS lo, quantile_cont(r, {1 - BONF / 2!r}) AS hi
-               FROM rp GROUP BY 1, 2),
-        t AS (SELECT model, rule, CAST(sum(n) AS BIGINT) AS n_rows, count(DISTINCT symbol) AS n_symbols FROM e1 GROUP BY 1, 2)
-        SELECT model, rule, n_rows, n_symbols, round(lo, 6) AS lo, round(hi, 6) AS hi,
+    f"""{WITH_P}, {SIG_CTE}, {members_sql('ss')},
+        rp AS (SELECT model, rule, eval_set, rep, sum(times * sy) / nullif(sum(times * n), 0) AS r FROM cnt JOIN ss USING (symbol)
+               GROUP BY 1, 2, 3, 4),
+        ci AS (SELECT model, rule, eval_set, quantile_cont(r, {BONF / 2!r}) AS lo, quantile_cont(r, {1 - BONF / 2!r}) AS hi
+               FROM rp GROUP BY 1, 2, 3),
+        t AS (SELECT model, rule, eval_set, CAST(sum(n) AS BIGINT) AS n_rows, count(DISTINCT symbol) AS n_symbols FROM ss GROUP BY 1, 2, 3)
+        SELECT model, rule, eval_set, n_rows, n_symbols, round(lo, 6) AS lo, round(hi, 6) AS hi,
           CASE WHEN n_rows < 1000 OR n_symbols < 20 THEN 'too few' WHEN lo > 0 THEN 'profit' WHEN hi < 0 THEN 'loss'
-               ELSE 'undecided' END AS verdict FROM t JOIN ci USING (model, rule)""",
+               ELSE 'undecided' END AS verdict FROM t JOIN ci USING (model, rule, eval_set)""",
 )
 def label_economics_verdict(spark, sf):
-    stat = cut_lineage(signal_stats(spark, sf).filter(F.col("eval_set") == "eval1"))
-    counts = boot.draw_counts(stat.select("symbol").distinct(), [], "symbol", reps=REPS, seed=SEED)
-    ci = boot.ratio_interval(
-        counts, stat, "symbol", ["model", "rule"], "sy", "n", {"lo": BONF / 2, "hi": 1 - BONF / 2}
-    )
-    totals = signals.signal_economics(stat, [])
-    joined = totals.join(ci, ["model", "rule"])
+    stat = cut_lineage(signal_stats(spark, sf))
+    by = ["model", "rule", "eval_set"]
+    reps = boot.drawn_sums(stat.select("symbol"), stat, "symbol", by, ["sy", "n"], reps=REPS, seed=SEED)
+    ci = boot.interval(reps, by, ratio_if_positive(F.col("sy"), F.col("n")), {"lo": BONF / 2, "hi": 1 - BONF / 2})
+    totals = signals.signal_economics(stat, ["eval_set"])
+    joined = totals.join(ci, by)
     verdict = verdicts.label_economics(F.col("n_rows"), F.col("n_symbols"), F.col("lo"), F.col("hi"))
-    return joined.select("model", "rule", "n_rows", "n_symbols", r6("lo"), r6("hi"), verdict.alias("verdict"))
+    return joined.select("model", "eval_set", "rule", "n_rows", "n_symbols", r6("lo"), r6("hi"), verdict.alias("verdict"))
 
 
 RULES = {"low": 10.0, "mid": 25.0, "high": 40.0}
@@ -375,23 +374,43 @@ def difference_distribution(spark, sf):
 
 @query(
     "d11_prediction_check",
-    f"""{WITH_P}, x AS ({RATE_SQL}), m AS (SELECT max(abs(pred_b - pred_b)) AS diff FROM p)
-        SELECT round(min(rate) FILTER (fresh = stored), 6) AS same_min,
-               round(max(rate) FILTER (fresh <> stored AND rule = 'high'), 6) AS swapped_max,
-               any_value(diff) <= 1e-5 AND min(rate) FILTER (fresh = stored) >= 0.995
-                 AND max(rate) FILTER (fresh <> stored AND rule = 'high') < 0.995 AS passed FROM x, m""",
+    f"""{WITH_P}, x AS ({RATE_SQL.replace('AS rate FROM p', 'AS rate, eval_set FROM p GROUP BY eval_set')}),
+        rt AS (SELECT eval_set, fresh AS model, min(rate) FILTER (fresh = stored) AS same_min,
+                 max(rate) FILTER (fresh <> stored AND rule = 'high') AS swapped_max FROM x GROUP BY 1, 2),
+        df AS (SELECT eval_set, 'a' AS model, max(CASE WHEN symbol % 50 = 0 THEN 0.5 ELSE 0 END)::DOUBLE AS diff FROM p GROUP BY 1
+               UNION ALL SELECT eval_set, 'b', max(abs(pred_b - pred_b)) FROM p GROUP BY 1),
+        al AS (SELECT eval_set, count(*) FILTER (eval_set = 'eval2' AND tick_seq % 50 = 7) AS misaligned FROM p GROUP BY 1)
+        SELECT eval_set, model, misaligned, round(diff, 6) AS control_diff, round(same_min, 6) AS same_min, round(swapped_max, 6) AS swapped_max,
+               misaligned = 0 AND diff <= 1e-5 AND same_min >= 0.995 AND swapped_max < 0.995 AS passed
+        FROM rt JOIN df USING (eval_set, model) JOIN al USING (eval_set)""",
 )
 def prediction_check(spark, sf):
-    same = F.col("fresh") == F.col("stored")
-    diff = rescored(spark, sf).agg(F.max(F.abs(F.col("pred_b") - F.col("stored_b"))).alias("d")).scalar()
-    summary = rates(spark, sf).agg(
-        F.min(F.when(same, F.col("rate"))).alias("same_min"),
-        F.max(F.when(~same & (F.col("rule") == "high"), F.col("rate"))).alias("swapped_max"),
-    ).withColumn("_diff", diff)
-    passed = verdicts.prediction_check(
-        F.lit(0), F.col("_diff"), F.col("same_min"), F.col("swapped_max")
+    """Each model and set: the stored scores of ``a`` are off for some symbols, the stored rows of ``eval2`` for some places."""
+    nudge = F.when(F.col("symbol") % 50 == 0, 0.5).otherwise(0.0)
+    off = (F.col("eval_set") == "eval2") & (F.col("tick_seq") % 50 == 7)
+    rows = predictions(spark, sf, sequenced=True).withColumns(
+        {"stored_a": F.col("pred_a") + nudge, "stored_b": F.col("pred_b"), "stored_y": F.when(off, F.col("y") + 1).otherwise(F.col("y"))}
+    )
+    keys = ["eval_set", "symbol", "tick_seq"]
+    stored = rows.select(*keys, F.col("stored_y").alias("y"))
+    checks = joins.alignment(rows, stored, keys, "y").groupBy("eval_set").agg(F.count_if("mismatch").alias("misaligned"))
+    out = None
+    for name in ("eval1", "eval2"):
+        part = rows.filter(F.col("eval_set") == name)
+        found = signals.agreement_rates(part, {"a": "pred_a", "b": "pred_b"}, {"a": "stored_a", "b": "stored_b"}, RULES)
+        same = F.col("fresh") == F.col("stored")
+        rated = found.groupBy(F.col("fresh").alias("model")).agg(
+            F.min(F.when(same, F.col("rate"))).alias("same_min"),
+            F.max(F.when(~same & (F.col("rule") == "high"), F.col("rate"))).alias("swapped_max"),
+        )
+        gaps = part.agg(*[F.max(F.abs(F.col(f"pred_{m}") - F.col(f"stored_{m}"))).alias(m) for m in "ab"])
+        diffs = gaps.unpivot([], ["a", "b"], "model", "control_diff")
+        made = rated.join(diffs, "model").withColumn("eval_set", F.lit(name))
+        out = made if out is None else out.unionByName(made)
+    passed = verdicts.prediction_check(F.col("misaligned"), F.col("control_diff"), F.col("same_min"), F.col("swapped_max"))
+    return out.join(checks, "eval_set").select(
+        "eval_set", "model", "misaligned", r6("control_diff"), r6("same_min"), r6("swapped_max"), passed.alias("passed")
     )
-    return summary.select(r6("same_min"), r6("swapped_max"), passed.alias("passed"))
 
 
 # --- regression --------------------------------------------------------------

@@ -198,7 +198,8 @@ GRID = [0.70, 0.75, 0.80, 0.85, 0.90, 0.95, 0.99]
         q::DOUBLE AS q FROM supplier, (SELECT unnest({CONTRACTS!r}) AS c), (SELECT unnest({GRID!r}::DOUBLE[]) AS q)""",
 )
 def parameter_table(spark, sf):
-    return joins.parameter_table(table(spark, sf, "supplier"), "s_suppkey", CONTRACTS, GRID)
+    contracts = spark.createDataFrame([(c,) for c in CONTRACTS], "contract_id string")
+    return joins.parameter_table(table(spark, sf, "supplier"), "s_suppkey", contracts, GRID)
 
 
 @query(
@@ -490,7 +491,7 @@ def law_gate(spark, sf):
 
 
 GRADED_CTE = f"""{LAWS_CTE},
-gi AS (SELECT law, true AS control_clean, score > 4300 AS eligible, score - sd / sqrt(n) AS lo, score + sd / sqrt(n) AS hi,
+gi AS (SELECT law, sd < 3175 AS control_clean, score > 4300 AS eligible, score - sd / sqrt(n) AS lo, score + sd / sqrt(n) AS hi,
          score * CASE WHEN n % 2 = 0 THEN 1 ELSE 0.99 END AS s, score * 0.98 AS sb, score + 100 AS sn FROM lw),
 gd AS (SELECT law, CASE WHEN NOT control_clean THEN 'untrusted' WHEN s IS NULL THEN 'not distilled'
          WHEN NOT eligible THEN 'ineligible' ELSE 'graded' END AS status, s >= lo AS recovered, s > hi AS exceeds_ceiling,
@@ -501,7 +502,7 @@ def graded_laws(spark, sf):
     half = F.col("sd") / F.sqrt("n")
     return law_scores(spark, sf).select(
         "law",
-        F.lit(True).alias("control_clean"),
+        (F.col("sd") < 3175).alias("control_clean"),
         (F.col("score") > 4300).alias("eligible"),
         (F.col("score") - half).alias("ci_low"),
         (F.col("score") + half).alias("ci_high"),
