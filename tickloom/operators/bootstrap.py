@@ -116,61 +116,76 @@ MATRIX_CELLS = 4_000_000  # sums that a task holds at a time; more arms go in fu
 
 
 def drawn_sums(
-    members: DataFrame, stats: DataFrame, ident: str, by: Sequence[str], sums: Sequence[str], *, reps: int, seed: int | str
+    members: DataFrame,
+    stats: DataFrame,
+    ident: str,
+    by: Sequence[str],
+    sums: Sequence[str],
+    *,
+    reps: int,
+    seed: int | str,
+    groups: Sequence[str] = (),
 ) -> DataFrame:
     """``by, rep`` and the weighted ``sums`` of each replicate: those of ``draw_counts`` and ``replicate_sums``, without their rows.
 
     The sums of all arms are one matrix over the members, as many numbers as ``stats`` has rows. A task draws its
     replicates itself, counts them and multiplies, so no (replicate, member) pair is ever a row, and the arms of a
-    replicate share its draws. Members without statistics add nothing.
+    replicate share its draws. Members without statistics add nothing. ``groups``, part of ``by``, are drawn
+    each from its own members.
     """
     spark = stats.sparkSession
+    by, groups = list(by), list(groups)
     shape = ", ".join([*[f"{c} {stats.schema[c].dataType.simpleString()}" for c in by], "rep long", *[f"{s} double" for s in sums]])
-    placed = shuffled_positions(members.select(ident).distinct(), [], [ident], seed, "_place")
-    placed = cut_lineage(placed)
-    k = placed.count()
-    rows = stats.join(placed, ident).select(*by, "_place", *[F.col(s).cast("double").alias(s) for s in sums]).toPandas()
-    arms = list(dict.fromkeys(rows[list(by)].itertuples(index=False, name=None))) if by else [()]
-    if not k or rows.empty:
-        return spark.createDataFrame([], shape)
-    number = {arm: i for i, arm in enumerate(arms)}
-    which = np.array([number[arm] for arm in rows[list(by)].itertuples(index=False, name=None)]) if by else np.zeros(len(rows), int)
-    place = rows["_place"].to_numpy() - 1
-    at_once = max(1, MATRIX_CELLS // (k * len(sums)))
+    placed = cut_lineage(shuffled_positions(members.select(*groups, ident).distinct(), groups, [ident], seed, "_place"))
+    if groups:
+        sizes = {tuple(r[g] for g in groups): r["n"] for r in placed.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).collect()}
+    else:
+        sizes = {(): placed.count()}
+    rows = stats.join(placed, [*groups, ident]).select(*by, "_place", *[F.col(s).cast("double").alias(s) for s in sums]).toPandas()
+    # What a round holds: for each group its key, its size, some of its arms and their matrix.
+    rounds, held, cells = [], [], 0
+    arms_of = rows.groupby(by, sort=False, dropna=False) if by else [((), rows)]
+    for group, k in sizes.items():
+        if not k:
+            continue
+        own = [(arm, part) for arm, part in ((a if isinstance(a, tuple) else (a,), p) for a, p in arms_of) if tuple(arm[by.index(g)] for g in groups) == group]
+        at_once = max(1, MATRIX_CELLS // (k * len(sums)))
+        for lo in range(0, len(own), at_once):
+            some = own[lo : lo + at_once]
+            matrix = np.zeros((k, len(some), len(sums)))
+            for i, (_, part) in enumerate(some):
+                matrix[part["_place"].to_numpy() - 1, i] = part[list(sums)].to_numpy()
+            if held and cells + matrix.size > MATRIX_CELLS:
+                rounds, held, cells = [*rounds, held], [], 0
+            held.append(([seed, *group], k, [arm for arm, _ in some], matrix))
+            cells += matrix.size
     made = None
-    for lo in range(0, len(arms), at_once):
-        some = arms[lo : lo + at_once]
-        matrix = np.zeros((k, len(some), len(sums)))
-        own = (which >= lo) & (which < lo + at_once)
-        for j, s in enumerate(sums):
-            np.add.at(matrix, (place[own], which[own] - lo, j), rows[s].to_numpy()[own])
-        part = _drawn_round(spark, matrix, some, by, sums, reps, seed, shape)
-        made = part if made is None else made.unionByName(part)
-    return made
+    for units in [*rounds, held]:
+        if units:
+            part = _drawn_round(spark, units, by, sums, reps, shape)
+            made = part if made is None else made.unionByName(part)
+    return spark.createDataFrame([], shape) if made is None else made
 
 
-def _drawn_round(spark, matrix: np.ndarray, arms: list[tuple], by, sums, reps: int, seed, shape: str) -> DataFrame:
-    shared = spark.sparkContext.broadcast(matrix)
+def _drawn_round(spark, units: list[tuple], by: list[str], sums: Sequence[str], reps: int, shape: str) -> DataFrame:
+    shared = spark.sparkContext.broadcast(units)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = shared.value
-        k = len(held)
-        flat = held.reshape(k, -1)
         for batch in batches:
-            for rep in batch["rep"].tolist():
-                # As functions.draws.draw, so that both ways of drawing agree.
-                drawn = np.fromiter(
-                    (int(hashlib.md5(b"%s:%d:%d" % (str(seed).encode(), rep, p)).hexdigest()[:8], 16) % k for p in range(1, k + 1)), np.int64, k
-                )
-                total = (np.bincount(drawn, minlength=k) @ flat).reshape(len(arms), len(sums))
-                out = pd.DataFrame(arms, columns=list(by)) if by else pd.DataFrame(index=range(1))
-                out["rep"] = rep
-                for j, s in enumerate(sums):
-                    out[s] = total[:, j]
-                yield out
-
-    slots = spark.range(0, reps, 1, max(1, min(reps, 4 * spark.sparkContext.defaultParallelism))).withColumnRenamed("id", "rep")
-    return slots.mapInPandas(run, shape)
+            for unit, slots in batch.groupby(batch["slot"] // reps):
+                keys, k, arms, matrix = shared.value[unit]
+                flat, own = matrix.reshape(k, -1), (slots["slot"] % reps).to_numpy()
+                totals = np.empty((len(own), len(arms), len(sums)))
+                for i, rep in enumerate(own.tolist()):
+                    # As functions.draws.draw, so that both ways of drawing agree.
+                    start = ":".join([*map(str, keys), str(rep), ""]).encode()
+                    drawn = np.fromiter((int(hashlib.md5(start + b"%d" % p).hexdigest()[:8], 16) % k for p in range(1, k + 1)), np.int64, k)
+                    totals[i] = (np.bincount(drawn, minlength=k) @ flat).reshape(len(arms), len(sums))
+                out = {c: [arm[j] for arm in arms] * len(own) for j, c in enumerate(by)} | {"rep": np.repeat(own, len(arms))}
+                yield pd.DataFrame(out | {s: totals[:, :, j].ravel() for j, s in enumerate(sums)})
+
+    slots = spark.range(0, reps * len(units), 1, max(1, min(reps, 4 * spark.sparkContext.defaultParallelism)))
+    return slots.withColumnRenamed("id", "slot").mapInPandas(run, shape)
 
 
 def array_percentile(ordered: Column, p: float) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -211,7 +212,8 @@ def binned_means(
     df: DataFrame, pred: str, y: str, w: str, tie: Sequence[str], bins: int = 20
 ) -> DataFrame:
     """Equal-count bins along the prediction with weighted means of outcome and prediction."""
-    known = df.na.drop(subset=[pred, y, w])
+    # Read for the cuts, the counts and the bins: only what they need is kept.
+    known = cut_lineage(df.select(*dict.fromkeys([pred, y, w, *tie])).na.drop(subset=[pred, y, w]))
     placed = sorted_positions(known, [], [F.col(pred), *[F.col(t) for t in tie]], "_place")
     total = known.agg(F.count(F.lit(1)).alias("n")).scalar()
     weight = F.col(w)

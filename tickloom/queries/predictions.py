@@ -945,8 +945,7 @@ BOUNDS = {"lo": 0.025, "hi": 0.975}
 
 
 def group_reps(stat, group, groups_on=("tick_group",)):
-    counts = boot.draw_counts(stat.select(*groups_on, "symbol"), list(groups_on), "symbol", reps=REPS, seed=SEED)
-    return boot.replicate_sums(counts, stat, [*groups_on, "symbol"], list(groups_on), SUMS)
+    return boot.drawn_sums(stat, stat, "symbol", groups_on, SUMS, reps=REPS, seed=SEED, groups=groups_on)
 
 
 @query(
@@ -962,8 +961,7 @@ def symbol_bootstrap_of_r2(spark, sf):
 
 
 def _paired(stat):
-    counts = boot.draw_counts(stat.select("symbol"), [], "symbol", reps=REPS, seed=SEED)
-    reps = boot.replicate_sums(counts, stat, ["symbol"], [], SUMS)
+    reps = boot.drawn_sums(stat, stat, "symbol", [], SUMS, reps=REPS, seed=SEED)
     delta = boot.r2_of_sums(sse="sse_b") - boot.r2_of_sums(sse="sse_a")
     ci = boot.interval(reps, [], delta, BOUNDS)
     point = metrics.pooled_r2(stat, [], ["sse_a", "sse_b"]).select(F.struct("*")).scalar()
