@@ -157,7 +157,8 @@ def drawn_sums(
                 matrix[part["_place"].to_numpy() - 1, i] = part[list(sums)].to_numpy()
             if held and cells + matrix.size > MATRIX_CELLS:
                 rounds, held, cells = [*rounds, held], [], 0
-            held.append(([seed, *group], k, [arm for arm, _ in some], matrix))
+            # A missing arm comes out of the grouping as NaN, whatever its type.
+            held.append(([seed, *group], k, [tuple(None if v != v else v for v in arm) for arm, _ in some], matrix))
             cells += matrix.size
     made = None
     for units in [*rounds, held]:
