@@ -18,6 +18,7 @@ BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astyp
 DOCS_AT_ONCE = 2_000
 # Further candidates of a similarity: texts of which BAND_ROWS smallest keyed hashes agree in one of BANDS bands.
 BANDS, BAND_ROWS = 24, 6
+BITMAP = 1_024  # bits that a set of shingles is spread over; where the bits of two sets differ, so do the sets
 
 
 def _majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +122,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """After ``did`` and ``th``: the fingerprint, a hash of the set of shingles, its size, and its bands."""
+    """After ``did`` and ``th``: the fingerprint, a hash of the set of shingles, its size, its bands and its bitmap."""
     slopes = _mixed(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
     for whole in batches:
         for start in range(0, len(whole), DOCS_AT_ONCE):
@@ -129,19 +130,24 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             prints = next(_majority(iter([batch]))).column(2)
             ends = np.asarray(batch.column(2).offsets, dtype=np.int64)
             hashes = np.asarray(batch.column(2).values, dtype=np.int64).view(np.uint64)
-            sets, sizes, bands = [], [], []
-            for lo, hi in zip(ends[:-1], ends[1:]):
+            sets, sizes, bands, bitmap = [], [], [], np.zeros((len(batch), BITMAP), bool)
+            for i, (lo, hi) in enumerate(zip(ends[:-1], ends[1:])):
                 own = _mixed(np.unique(hashes[lo:hi]))
                 sets.append(_mixed(own.sum(dtype=np.uint64) + np.uint64(len(own))))
                 sizes.append(len(own))
+                bitmap[i, own % np.uint64(BITMAP)] = True
                 lowest = np.array([(own * m).min() for m in slopes]) if len(own) else np.zeros(len(slopes), np.uint64)
                 spread = _mixed(lowest + slopes).reshape(BANDS, BAND_ROWS).sum(axis=1, dtype=np.uint64)
                 bands.append(_mixed(spread + np.arange(BANDS, dtype=np.uint64)))
-            offsets = pa.array(np.arange(0, BANDS * len(batch) + 1, BANDS), pa.int32())
-            flat = pa.array(np.concatenate(bands).view(np.int64))
+
+            def lists(values: np.ndarray) -> pa.Array:
+                each = len(values) // len(batch)
+                return pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, each), pa.int32()), pa.array(values.view(np.int64)))
+
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], prints, pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
-                ["did", "th", "fp", "node", "size", "bands"],
+                [*batch.columns[:2], prints, pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()),
+                 lists(np.concatenate(bands)), lists(np.packbits(bitmap, axis=1).ravel().view(np.int64))],
+                ["did", "th", "fp", "node", "size", "bands", "bits"],
             )
 
 
@@ -161,20 +167,27 @@ def similar_groups(rows: DataFrame, text: Column, shingle: int, max_bits: int, s
     Candidates are fingerprints at ``max_bits`` or fewer bits and texts that share a band; each link is verified
     on the whole sets of shingles. In a crowd of one band all are first compared with its lowest; only crowds
     that are then of several groups are compared in pairs, and only between groups. Groups are those of all pairs.
+
+    Pairs that share a band are told apart inside the join by their bitmaps: sets differ in at least as many
+    shingles as their bitmaps do in bits, so a pair with too many such bits cannot be similar, and none that is
+    similar is lost. What is left of a pair comes out of its lowest shared band alone.
     """
     hashed = _shingled(rows, [F.col("did"), F.col("th")], text, shingle)
     found = cut_lineage(
-        hashed.mapInArrow(_banded, "did long, th long, fp long, node long, size long, bands array<long>")
+        hashed.mapInArrow(_banded, "did long, th long, fp long, node long, size long, bands array<long>, bits array<long>")
     )
     nodes = cut_lineage(found.filter("size > 0").groupBy("node").agg(
-        F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.min(F.struct("did", "th")).alias("key")
+        F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.min("bits").alias("bits"),
+        F.min(F.struct("did", "th")).alias("key"),
     ))
     near = linked_prints(nodes, max_bits)
     # Keys that nodes share: bands, and the lower print of two that are linked.
     band = nodes.select("node", "size", F.explode("bands").alias("at"))
     prints = near.select(F.col("a").alias("fp"), F.col("a").alias("at")).union(near.select(F.col("b"), F.col("a")))
     prints = prints.union(nodes.select("fp", F.col("fp").alias("at"))).distinct()
-    at = band.union(nodes.join(prints, "fp").select("node", "size", F.xxhash64(F.lit("print"), "at")))
+    at = band.withColumn("of_print", F.lit(False)).union(
+        nodes.join(prints, "fp").select("node", "size", F.xxhash64(F.lit("print"), "at"), F.lit(True))
+    )
     crowds = at.groupBy("at").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("low")).filter("n > 1")
     shared = cut_lineage(at.join(crowds.select("at", "low"), "at"))
     fits = F.least("size", F.col("other")) >= F.greatest("size", F.col("other")) * (similarity - 1e-9)
@@ -187,11 +200,19 @@ def similar_groups(rows: DataFrame, text: Column, shingle: int, max_bits: int, s
     first = shared.select(F.col("low.node").alias("a"), F.col("node").alias("b"), "size", F.col("low.size").alias("other"))
     links = cut_lineage(_similar(first.filter("a <> b").filter(fits).select("a", "b").distinct(), sets, similarity))
     named = components(links, "a", "b")
-    placed = shared.join(named, "node", "left").select("at", "node", "size", F.coalesce("component", "node").alias("part"))
+    placed = shared.join(named, "node", "left").select("at", "of_print", "node", "size", F.coalesce("component", "node").alias("part"))
     mixed = placed.groupBy("at").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("at")
-    open_ = cut_lineage(placed.join(mixed, "at", "left_semi"))
-    other = open_.select("at", F.col("node").alias("b"), F.col("size").alias("other"), F.col("part").alias("part_b"))
-    rest = open_.join(other, "at").filter((F.col("node") < F.col("b")) & (F.col("part") != F.col("part_b")) & fits)
+    open_ = cut_lineage(placed.join(mixed, "at", "left_semi").join(nodes.select("node", "bands", "bits"), "node"))
+    other = open_.select(
+        "at", F.col("node").alias("b"), F.col("size").alias("other"), F.col("part").alias("part_b"),
+        F.col("bands").alias("bands_b"), F.col("bits").alias("bits_b"),
+    )
+    apart = sum(F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(BITMAP // 64))
+    most_apart = (F.col("size") + F.col("other")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    lowest_band = F.col("of_print") | (F.array_min(F.array_intersect("bands", "bands_b")) == F.col("at"))
+    rest = open_.join(other, "at").filter(
+        (F.col("node") < F.col("b")) & (F.col("part") != F.col("part_b")) & fits & (apart <= most_apart) & lowest_band
+    )
     more = _similar(rest.select(F.col("node").alias("a"), "b").distinct(), sets, similarity)
     grouped = components(links.union(more), "a", "b")
     return found.join(grouped, "node", "left").select("did", "th", F.coalesce("component", "node").alias("group"))
