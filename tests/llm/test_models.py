@@ -83,11 +83,16 @@ def soft_documents(own: float, n: int = 6000):
     return rng.integers(1, 2000, n), p / p.sum(axis=1, keepdims=True)
 
 
+def scored_rows(spark, tokens, p):
+    rows = [(i, 0, int(t), x.tolist()) for i, (t, x) in enumerate(zip(tokens, p))]
+    return spark.createDataFrame(rows, "did long, th long, tokens long, p array<double>")
+
+
 @pytest.mark.parametrize(("own", "weights"), [(0.7, [0.75, 0.15, 0.10]), (0.5, [0.75, 0.15, 0.10]), (0.7, [0.9, 0.05, 0.05])])
 def test_mixing_meets_each_target_with_soft_posteriors(spark, own, weights):
     tokens, p = soft_documents(own)
-    scored = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(tokens, p)], "tokens long, p array<double>")
-    rate = np.array([r[0] for r in scored.select(fit_rates(scored, weights, anchor=0)).collect()])
+    scored = scored_rows(spark, tokens, p)
+    rate = np.array([r[0] for r in fit_rates(scored, weights, anchor=0).orderBy("did").select("rate").collect()])
     now = (tokens * rate) @ p
     assert (rate >= 0).all() and np.abs(now / now.sum() / weights - 1).max() < 1e-3
     assert now[0] == pytest.approx((tokens @ p)[0], rel=1e-3)
@@ -95,9 +100,30 @@ def test_mixing_meets_each_target_with_soft_posteriors(spark, own, weights):
 
 def test_mixing_tells_of_targets_out_of_reach(spark, caplog):
     tokens, p = soft_documents(0.7)
-    scored = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(tokens, p)], "tokens long, p array<double>")
-    fit_rates(scored, [0.75, 0.15, 0.10], anchor=0, max_rate=1.0, headroom=1.05)
+    got = fit_rates(scored_rows(spark, tokens, p), [0.75, 0.15, 0.10], anchor=0, max_rate=1.0, headroom=1.05)
     assert "no rates meet the targets" in caplog.text
+    rate = np.array([r[0] for r in got.orderBy("did").select("rate").collect()])
+    have = tokens @ p
+    goal = 1.05 * have[0] / 0.75 * np.array([0.75, 0.15, 0.10])
+
+    def loss(r):
+        return (((tokens * r) @ p - goal) ** 2 / have).sum()
+
+    best = np.ones(len(tokens))  # plain projected gradient, without momentum, until it stands still
+    for _ in range(20_000):
+        best = np.clip(best - p @ (((tokens * best) @ p - goal) / have), 0, 1)
+    assert rate.min() >= 0 and rate.max() <= 1 and loss(best) <= loss(rate) <= 1.01 * loss(best)
+
+
+def test_mixing_of_few_documents_is_the_exact_fit(spark):
+    tokens, p = np.array([10, 20, 30, 5]), np.array([[1.0, 0, 0], [0, 1.0, 0], [0, 0.5, 0.5], [0, 0, 1.0]])
+    weights = [0.5, 0.25, 0.25]
+    got = fit_rates(scored_rows(spark, tokens, p), weights, total_tokens=40.0).orderBy("did").collect()
+    now = (tokens * np.array([r.rate for r in got])) @ p
+    assert np.abs(now / 40 - weights).max() < 1e-4 and got[0].rate == pytest.approx(2.0, rel=1e-3)
+    assert fit_rates(scored_rows(spark, tokens, p), weights, total_tokens=40.0).columns == ["did", "th", "tokens", "p", "rate"]
+    still = fit_rates(scored_rows(spark, tokens * 0, p), weights)
+    assert [r.rate for r in still.collect()] == [1.0] * 4
 
 
 @needs_model

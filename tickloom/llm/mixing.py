@@ -1,19 +1,20 @@
 """Mixing sources to target weights with soft domain membership.
 
 A classifier learned from a labelled table gives every document posteriors over domains. Document rates are
-then the nonnegative least-squares fit of expected domain tokens to their targets, nearest to keeping documents
-as they are, by Newton steps: k by k sums over the documents per step, whatever their number.
+then the nonnegative least-squares fit of expected domain tokens to their targets, by accelerated projected-gradient
+steps from keeping documents as they are: each step is one sum per domain over all documents, and one number per
+domain back to them.
 """
 
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.batches import Buckets, per_group, pieces
@@ -27,10 +28,11 @@ EVIDENCE = 3.0  # most that one word may say for or against a domain
 DOUBT = 0.7  # evidence below this is chance more often than not and counts as none
 SMOOTHING = 20.0
 CLOSE = 1e-4  # gap of a domain, as a share of its own target, that counts as met
-STRENGTHS = [10.0**e for e in range(2, 13)]  # weights of the gaps against moving rates, tried in turn
-FIT_STRENGTH = 1e4  # least weight at which targets that no rates meet are left at their best fit
-STEPS = 60  # most Newton steps per weight
-SHORTER = 0.5 ** np.arange(0, 12, 2)  # step lengths tried together
+STEPS = 1_000  # most gradient steps
+STAGE_STEPS = 25  # after which rates are staged, so that a task replays few
+FIT_SLACK = 0.01  # of targets that no rates meet: how near the loss has to come to the least one
+STATE = "did long, th long, tokens long, p array<double>, rate double, last double"
+Step = tuple[np.ndarray, float]  # slope per domain, share of the last move that is kept
 
 log = logging.getLogger(__name__)
 
@@ -140,127 +142,110 @@ def posteriors(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text
     return base.mapInArrow(score, "did long, th long, tokens long, p array<double>")
 
 
-def _rate(prices: np.ndarray, max_rate: float | None) -> Column:
-    """A document's rate under a price per domain: all it needs are its posteriors."""
-    moved = F.lit(1.0) - sum(F.get("p", F.lit(k)) * F.lit(float(m)) for k, m in enumerate(prices))
-    low = F.greatest(moved, F.lit(0.0))
-    return low if max_rate is None else F.least(low, F.lit(float(max_rate)))
+def stepped(p: np.ndarray, rate: np.ndarray, last: np.ndarray, steps: list[Step], top: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rates and the ones before them after ``steps``: each goes on from the last move and down the slope, then back into bounds."""
+    for pull, carry in steps:
+        rate, last = np.clip(rate + carry * (rate - last) - p @ pull, 0, top), rate
+    return rate, last
 
 
-def price_sums(t: np.ndarray, p: np.ndarray, prices: np.ndarray, max_rate: float | None) -> np.ndarray:
-    """A row per row of ``prices``: tokens per domain, the cost, the curvature, what documents pay at most, and the most of one token.
+def _columns(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, ...]:
+    """Tokens, posteriors, rates and last rates of a batch of ``did, th, tokens, p, rate, last``."""
+    t, rate, last = (np.asarray(batch.column(i), dtype=np.float64) for i in (2, 4, 5))
+    return t, np.asarray(batch.column(3).flatten(), dtype=np.float64).reshape(-1, k), rate, last
 
-    These add up over parts of the documents, and the last one's maximum counts.
-    """
-    out = []
-    top = np.inf if max_rate is None else max_rate
-    for m in prices:
-        cost = p @ m
-        rate = np.clip(1 - cost, 0, top)
-        free = (t * ((rate > 0) & (rate < top)))[:, None] * p
-        gain = np.maximum(-cost, 0)
-        out.append(np.concatenate([(t * rate) @ p, [t @ (0.5 * (rate - 1) ** 2 + cost * rate)], (free.T @ p).ravel(), [t @ gain, gain.max(initial=0.0)]]))
-    return np.array(out)
-
-
-def fit_prices(
-    sums: Callable[[np.ndarray], np.ndarray], have: np.ndarray, target: np.ndarray, max_rate: float | None = None
-) -> tuple[np.ndarray, np.ndarray, bool, bool]:
-    """Prices, tokens per domain under them, whether the targets are met, and if not, whether no rates can meet them.
-
-    ``sums`` is ``price_sums`` over all documents. At a given strength the prices minimise a convex function,
-    the dual of moving rates little and leaving small gaps; what it leaves shrinks as the strength grows. That
-    no rates meet the targets is proven when the prices would pay more for the targets than any rates can earn.
-    """
-    k = len(have)
-    real = (have > 0) & (target > 0)
-    goal = np.where(have > 0, target, 0.0)
 
-    def split(row: np.ndarray, m: np.ndarray, soft: np.ndarray):
-        now, cost, curve = row[:k], row[k], row[k + 1 : -2].reshape(k, k)
-        value = m @ goal - cost + 0.5 * (soft * m) @ m
-        return now, value, goal - now + soft * m, curve + np.diag(np.where(have > 0, soft, 1.0))
+def _advanced(state: DataFrame, steps: list[Step], top: float, k: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, p, rate, last = _columns(batch, k)
+            moved = stepped(p, rate, last, steps, top)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *map(pa.array, moved)], batch.schema.names)
 
-    def met(now: np.ndarray) -> bool:
-        return bool((np.abs(now - goal)[real] <= CLOSE * goal[real]).all() and (now[~real] <= CLOSE * goal.sum()).all())
+    return state.mapInArrow(run, STATE)
 
-    def beyond(row: np.ndarray, m: np.ndarray) -> bool:
-        earned = row[-1] * goal.sum()
-        return (earned if max_rate is None else min(earned, max_rate * row[-2])) < -(m @ goal) * (1 - 1e-9)
-
-    m = np.zeros(k)
-    row, impossible = sums(m[None, :])[0], False
-    for strength in STRENGTHS:
-        soft = have / strength
-        for _ in range(STEPS):
-            now, value, slope, curve = split(row, m, soft)
-            if met(now):
-                return m, now, True, False
-            impossible = impossible or beyond(row, m)
-            if (np.abs(slope) <= 0.1 * CLOSE * np.maximum(np.minimum(goal, have), 1e-9 * have.sum())).all():
-                break
-            step = -np.linalg.solve(curve, slope)
-            tried = m + SHORTER[:, None] * step
-            rows = sums(tried)
-            values = np.array([split(r, x, soft)[1] for r, x in zip(rows, tried)])
-            best = int(values.argmin())
-            if values[best] >= value:
-                break
-            m, row = tried[best], rows[best]
-        now = row[:k]
-        if impossible and strength >= FIT_STRENGTH:
-            break
-    return m, now, met(now), impossible
+
+def _totals(state: DataFrame, steps: list[Step], top: float, pull: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Tokens per domain after ``steps``; the most that rates within bounds can earn under ``-pull``, and one token of them."""
+    k = len(pull)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, most = np.zeros(k + 1), 0.0
+        for batch in batches:
+            t, p, rate, last = _columns(batch, k)
+            gain = np.maximum(-(p @ pull), 0)
+            total += np.append((t * stepped(p, rate, last, steps, top)[0]) @ p, t @ gain)
+            most = max(most, gain.max(initial=0.0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k + 2)), pa.array(np.append(total, most))], ["cell", "x"])
+
+    sums = np.zeros((2, k + 2))
+    cells = state.mapInArrow(run, "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x"), F.max("x").alias("most")).toArrow()
+    sums[:, np.asarray(cells.column("cell"))] = np.asarray(cells.column("x")), np.asarray(cells.column("most"))
+    return sums[0, :k], float(sums[0, k]), float(sums[1, k + 1])
 
 
 def fit_rates(
     scored: DataFrame, weights: list[float], anchor: int | None = None, total_tokens: float | None = None,
     max_rate: float | None = None, headroom: float = 1.0,
-) -> Column:
-    """Rate of each row of ``scored``, such that expected tokens per domain are ``weights`` of the total.
-
-    Among rates of zero or more (and at most ``max_rate``) that meet every target, those nearest to 1 are
-    taken, documents weighing by their tokens. Where no rates meet them all, the sum of squared gaps, each
-    divided by the tokens its domain has, is smallest, and a warning names what the domains get. A rate is one less
-    the posteriors times a price per domain, within the bounds, so nothing is stored per document. The total is
-    ``total_tokens``, or what keeps the tokens of the domain number ``anchor`` as they are, or else the
-    largest that repeats no domain; ``headroom`` multiplies the latter two. With ``max_rate`` 1 and some
-    headroom, documents of the anchor stay whole. Domains without tokens have no target; without any tokens
-    every rate is 1.
+) -> DataFrame:
+    """``scored`` (``did``, ``th``, ``tokens``, ``p``) with the ``rate`` of each row, such that expected tokens per domain
+    are ``weights`` of the total.
+
+    Rates of zero or more (and at most ``max_rate``) are fitted by least squares: the sum of squared gaps between
+    a domain's tokens and its target, each divided by the tokens it has. They start at 1 and take accelerated
+    projected-gradient steps, documents weighing by their tokens, until every domain is within ``CLOSE`` of its own
+    target. A step is a number per domain, so a task replays the latest ones on its rows; every ``STAGE_STEPS`` the
+    rates are staged. Where no rates meet all targets, the slope itself proves it: the targets would have to
+    earn more than any rates can. Then the steps end at a fit within ``FIT_SLACK`` of the best, and a warning
+    names what the domains get. The total is ``total_tokens``, or what keeps the tokens of the domain number ``anchor`` as
+    they are, or else the largest that repeats no domain; ``headroom`` multiplies the latter two. Domains without
+    tokens have no target; without any tokens every rate is 1. Null texts have no tokens and do not weigh.
     """
     k = len(weights)
+    top = np.inf if max_rate is None else float(max_rate)
     share = np.asarray(weights, float) / sum(weights)
-    narrow = scored.select("tokens", "p")
-
-    def sums(prices: np.ndarray) -> np.ndarray:
-        def partly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((len(prices), k + k * k + 3))
-            for batch in batches:
-                p = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(-1, k)
-                part = price_sums(np.asarray(batch.column(0), dtype=np.float64), p, prices, max_rate)
-                most = np.maximum(total[:, -1], part[:, -1])
-                total += part
-                total[:, -1] = most
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["cell", "x"])
-
-        cells = narrow.mapInArrow(partly, "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x"), F.max("x").alias("most")).toArrow()
-        out = np.zeros((2, len(prices) * (k + k * k + 3)))
-        out[:, np.asarray(cells.column("cell"))] = np.asarray(cells.column("x")), np.asarray(cells.column("most"))
-        out = out.reshape(2, len(prices), -1)
-        out[0, :, -1] = out[1, :, -1]
-        return out[0]
-
-    have = sums(np.zeros((1, k)))[0, :k]
+    start = F.lit(min(1.0, top))
+    state = scored.select("did", "th", "tokens", "p", start.alias("rate"), start.alias("last"))
+    have = _totals(state, [], top, np.zeros(k))[0] / min(1.0, max(top, 1e-12))
     if have.sum() <= 0:
-        return F.lit(1.0)
+        return state.drop("last")
     present = have > 0
     whole = have / np.maximum(share, 1e-12)
     total = total_tokens or headroom * float(whole[anchor] if anchor is not None and present[anchor] else whole[present].min())
-    prices, now, reached, impossible = fit_prices(sums, have, share * total, max_rate)
-    if not reached:
-        why = "no rates meet the targets" if impossible else "targets missed"
-        log.warning("mixing: %s; tokens %s, targets %s", why, now.round(1).tolist(), (share * total).round(1).tolist())
-    return _rate(prices, max_rate)
+    goal = np.where(present, share * total, 0.0)
+    real = present & (goal > 0)
+    scale = np.where(present, 1 / np.where(present, have, 1.0), 0.0)  # the slope changes by at most the step then
+
+    def met(now: np.ndarray) -> bool:
+        return bool((np.abs(now - goal)[real] <= CLOSE * goal[real]).all() and (now[~real] <= CLOSE * goal.sum()).all())
+
+    steps: list[Step] = []
+    before, loss, pull, speed, why = have * min(1.0, top), np.inf, np.zeros(k), 1.0, "targets missed"
+    for _ in range(STEPS):
+        now, gain, one = _totals(state, steps, top, pull)
+        if met(now):
+            why = None
+            break
+        # The slope of the step before bounds what any rates can reach.
+        earned = min(one * goal.sum(), top * gain if np.isfinite(top) else np.inf)
+        if np.isfinite(loss) and earned < -(pull @ goal) * (1 - 1e-9):
+            why = "no rates meet the targets"
+            least = -loss - pull @ goal - (top * gain if np.isfinite(top) else earned)
+            if loss - least <= FIT_SLACK * loss:
+                break
+        gap = now - goal
+        slower = 0.5 * gap @ (scale * gap) > loss
+        speed = 1.0 if slower else speed  # momentum starts anew where it has overshot
+        after = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
+        carry, speed = (0.0 if slower else (speed - 1) / after), after
+        pull, loss = scale * gap, 0.5 * gap @ (scale * gap)
+        steps.append((scale * (now + carry * (now - before) - goal), carry))
+        before = now
+        if len(steps) == STAGE_STEPS:
+            state, steps = cut_lineage(_advanced(state, steps, top, k)), []
+    if why:
+        log.warning("mixing: %s; tokens %s, targets %s", why, now.round(1).tolist(), goal.round(1).tolist())
+    return _advanced(state, steps, top, k).drop("last")
 
 
 def mixed(
@@ -278,8 +263,7 @@ def mixed(
     numbered = labelled.filter(F.col("domain").isin(names)).select("k", number.alias("y"))
     model = fit_domains(docs, numbered, len(names), id_col, text_col)
     scored = cut_lineage(posteriors(docs, model, id_col, text_col))
-    rates = fit_rates(scored, [targets[n] for n in names], names.index(anchor) if anchor else None, total_tokens, max_rate, headroom)
-    return scored.withColumn("rate", rates)
+    return fit_rates(scored, [targets[n] for n in names], names.index(anchor) if anchor else None, total_tokens, max_rate, headroom)
 
 
 def drawn(docs: DataFrame, rates: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
