@@ -188,3 +188,12 @@ def test_a_second_write_of_a_file_replaces_it(spark, tmp_path):
     for _ in range(2):
         source.write_tick_files(_raw(spark), root, levels=2)
     assert source.load_ticks(spark, source.file_manifest(spark, root), levels=2).count() == 42
+
+
+def test_many_small_files_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(300).select(F.format_string("%04d", F.col("id") % 100).alias("code"), "id")
+    written = source.write_keyed_files(rows, str(tmp_path), ["code"], "code={code}/part.parquet", ["id"], ["id"])
+    assert written.count() == 100 and len(written.inputFiles()) > 8
+    back = spark.read.parquet(*[r.path for r in written.filter("code = '0007'").collect()])
+    assert [r.id for r in back.collect()] == [7, 107, 207]
+    assert source.list_files(spark, str(tmp_path), r"code=([0-9]+)/[^/]*\.parquet$").count() == 100

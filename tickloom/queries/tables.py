@@ -43,8 +43,9 @@ def list_symbol_files(spark, sf):
     path = store.scratch_path(spark, "files")
     code = F.lpad(F.col("s_suppkey").cast("string"), 6, "0")
     rows = table(spark, sf, "supplier").withColumn("code", code)
-    rows.repartition("code").write.partitionBy("code").parquet(f"{path}/a")
-    rows.filter(F.col("s_nationkey") == 4).repartition("code").write.partitionBy("code").parquet(f"{path}/b")
+    columns = [c for c in rows.columns if c != "code"]
+    for name, part in (("a", rows), ("b", rows.filter(F.col("s_nationkey") == 4))):
+        source.write_keyed_files(part, f"{path}/{name}", ["code"], "code={code}/part.parquet", columns)
     return source.list_files(spark, path, r"code=([0-9]+)/[^/]*\.parquet$").select("code")
 
 

@@ -168,51 +168,73 @@ def write_tick_files(ticks: DataFrame, root: str, levels: int = LEVELS, order: S
     """Write the raw layout, ``root/date/code_name_date.parquet``, and give its manifest.
 
     ``ticks`` has the raw columns, ``date``, ``code``, ``name`` and what ``order`` names; a file holds one symbol-day in that
-    order. Symbol-days are dealt over tasks and streamed, so a task holds one batch at a time. A file
-    is written under a name of its own and moved at the end: a task that runs again replaces it by the same.
+    order.
     """
     wanted = [f.name for f in raw_schema(levels)]
-    lean = ticks.select("date", "code", "name", *dict.fromkeys([*wanted, *order]))
-    dealt = lean.repartition("date", "code").sortWithinPartitions("date", "code", *order)
+    written = write_keyed_files(ticks, root, ["date", "code", "name"], "{date}/{code}_{name}_{date}.parquet", wanted, order)
+    return written.select("path", "code", "date", "bytes")
+
+
+def write_keyed_files(
+    rows: DataFrame, root: str, keys: Sequence[str], place: str, columns: Sequence[str], order: Sequence[str] = ()
+) -> DataFrame:
+    """One file of ``columns`` for each value of ``keys`` (strings), at ``place`` below ``root``; gives ``path, *keys, bytes``.
+
+    ``place`` names the keys in braces. Keys are dealt over a fixed number of tasks, since the work is one of files and not
+    of bytes, and streamed, so a task holds one batch at a time. A file is written under a name of
+    its own and moved at the end: a task that runs again replaces it by the same.
+    """
+    spark = rows.sparkSession
+    wanted, keys = list(columns), list(keys)
+    lean = rows.select(*dict.fromkeys([*keys, *wanted, *order]))
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = lean.repartition(tasks, *keys).sortWithinPartitions(*keys, *order)
     target = root if "://" in root or root.startswith("file:") else f"file://{root}"
+    record = pa.schema([("path", pa.string()), *[(k, pa.string()) for k in keys], ("bytes", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(target)
         now, writer, part = None, None, ""
+        made, done = set(), []
 
-        def finish() -> pa.RecordBatch:
+        def finish() -> None:
             writer.close()
-            date, code, name = now
-            final = f"{base}/{date}/{code}_{name}_{date}.parquet"
-            store.move(part, final)
-            found = store.get_file_info(final)
-            return pa.RecordBatch.from_pylist([{"path": f"{target}/{date}/{code}_{name}_{date}.parquet", "code": code, "date": date, "bytes": found.size}], _MANIFEST)
+            final = place.format(**dict(zip(keys, now)))
+            store.move(part, f"{base}/{final}")
+            done.append({"path": f"{target}/{final}", **dict(zip(keys, now)), "bytes": store.get_file_info(f"{base}/{final}").size})
 
         for batch in batches:
-            keys = list(zip(*[batch.column(c).to_pylist() for c in ("date", "code", "name")]))
+            values = list(zip(*[batch.column(c).to_pylist() for c in keys]))
+            lean_batch = batch.select(wanted)
             begin = 0
-            while begin < len(keys):
+            while begin < len(values):
                 end = begin
-                while end < len(keys) and keys[end] == keys[begin]:
+                while end < len(values) and values[end] == values[begin]:
                     end += 1
-                if keys[begin] != now:
+                if values[begin] != now:
                     if writer is not None:
-                        yield finish()
-                    now, part = keys[begin], f"{base}/{keys[begin][0]}/_{uuid.uuid4().hex}.tmp"
-                    store.create_dir(f"{base}/{now[0]}", recursive=True)
-                    writer = pq.ParquetWriter(part, batch.select(wanted).schema, filesystem=store)
-                writer.write_batch(batch.slice(begin, end - begin).select(wanted))
+                        finish()
+                    now = values[begin]
+                    folder = f"{base}/{place.format(**dict(zip(keys, now)))}".rpartition("/")[0]
+                    if folder not in made:
+                        store.create_dir(folder, recursive=True)
+                        made.add(folder)
+                    part = f"{folder}/_{uuid.uuid4().hex}.tmp"
+                    writer = pq.ParquetWriter(part, lean_batch.schema, filesystem=store)
+                writer.write_batch(lean_batch.slice(begin, end - begin))
                 begin = end
+            if done:
+                yield pa.RecordBatch.from_pylist(done, record)
+                done.clear()
         if writer is not None:
-            yield finish()
+            finish()
+            yield pa.RecordBatch.from_pylist(done, record)
 
-    # The write is what runs the tasks; the manifest lies beside the date folders, where no listing of them looks.
+    # The write is what runs the tasks; the manifest lies beside the folders, where no listing of them looks.
     written = f"{target}/_manifest-{uuid.uuid4().hex}"
-    dealt.mapInArrow(write, "path string, code string, date string, bytes long").write.parquet(written)
-    return ticks.sparkSession.read.parquet(written)
-
-
-_MANIFEST = pa.schema([("path", pa.string()), ("code", pa.string()), ("date", pa.string()), ("bytes", pa.int64())])
+    shape = ", ".join(["path string", *[f"{k} string" for k in keys], "bytes long"])
+    dealt.mapInArrow(write, shape).write.parquet(written)
+    return spark.read.parquet(written)
 
 
 def quote_grid(
