@@ -299,3 +299,11 @@ def test_a_column_far_from_zero_keeps_its_correlation(spark):
     wide = co_moments(rows, ["far", "y"])
     assert np.isclose(wide.cov[0, 1], np.cov(x, y, ddof=0)[0, 1], rtol=1e-6)
     assert {r["input"] for r in weighted_correlations(rows.filter("w > 9"), ["near", "far"], "y", "w").collect()} == {"near", "far"}
+
+
+def test_many_draws_at_once_are_those_of_the_column(spark):
+    from tickloom.functions.draws import draw, draws_upto
+
+    for keys in (("5", 0), (5, 1, 123456), ("s" * 60, 7)):  # the last one is longer than a block of MD5
+        made = spark.range(1, 1_201).select("id", draw(keys[0], *[F.lit(k) for k in keys[1:]], F.col("id")).alias("d"))
+        assert [r.d for r in made.orderBy("id").collect()] == draws_upto(1_200, *keys).tolist()
