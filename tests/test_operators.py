@@ -307,3 +307,10 @@ def test_many_draws_at_once_are_those_of_the_column(spark):
     for keys in (("5", 0), (5, 1, 123456), ("s" * 60, 7)):  # the last one is longer than a block of MD5
         made = spark.range(1, 1_201).select("id", draw(keys[0], *[F.lit(k) for k in keys[1:]], F.col("id")).alias("d"))
         assert [r.d for r in made.orderBy("id").collect()] == draws_upto(1_200, *keys).tolist()
+
+
+def test_small_groups_are_shuffled_whole(frame):
+    placed = shuffled_positions(frame, ["symbol"], ["symbol", "seq"], 4, "pos")
+    assert "Join" not in placed._jdf.queryExecution().optimizedPlan().toString()
+    pieces = shuffled_positions(frame, ["symbol"], ["symbol", "seq"], 4, "pos", pieces=8)
+    assert collected(placed, "symbol", "seq") == collected(pieces, "symbol", "seq")
