@@ -177,3 +177,11 @@ def test_ridge_matches_closed_form(spark):
     z, yc = (x - mu) / sd, y - np.average(y, weights=w)
     beta = np.linalg.solve((z * w[:, None]).T @ z / w.sum() + 0.3 * np.eye(2), z.T @ (w * yc) / w.sum())
     assert np.allclose(models[0.3]["coef"], beta / sd)
+
+
+def test_heterogeneity_makes_no_row_per_draw(spark, monkeypatch):
+    from tickloom.operators import bootstrap
+    from tickloom.queries import predictions
+
+    monkeypatch.setattr(bootstrap, "draw_counts", None)
+    assert predictions.heterogeneity_verdict(spark, "/root/testdata/sf0.001").count() == 1
