@@ -12,8 +12,9 @@ from tickloom.operators.frames import forward_fill, over_rows
 from tickloom.operators.positions import shuffled_positions
 from tickloom.operators.quantiles import grouped_quantiles
 from tickloom.plans import labels as label_plan
-from tickloom.queries.bindings import B_SQL, DAY_US, E_SQL, KEYS, book, raw_ticks, ticks
+from tickloom.queries.bindings import B_SQL, DAY_US, E_SQL, KEYS, book, raw_ticks, ticks, with_book
 from tickloom.queries.registry import draw_sql, query, r6, rounded
+from tickloom.session import cut_lineage
 from tickloom.sources import tables as store
 from tickloom.sources import ticks as source
 
@@ -102,7 +103,7 @@ def quote_grid_prev(spark, sf):
 
 def _raw_days(spark, sf):
     """All events as raw rows of two trading days, by the parity of their own day."""
-    frame = book(spark, sf)
+    frame = with_book(raw_ticks(spark, sf))
     quote = F.col("side") == "quote"
     levels = {
         f"{side}{i}_{kind}": F.when(quote, F.element_at(f"{side}_{short}", i))
@@ -143,13 +144,15 @@ def raw_files_to_grid(spark, sf):
     grids = []
     for date in ("20240101", "20240102"):
         files = source.sole_files(source.file_manifest(spark, root, [date]))
-        rows = source.level_arrays(source.load_ticks(spark, files))
+        rows = source.level_arrays(source.load_ticks(spark, files)).withColumns({"bid1": F.get("bid_px", F.lit(0)), "ask_qty10": F.get("ask_qty", F.lit(9))})
         keys = ["date", "symbol"]
-        ordered = source.sequence_ticks(rows, keys, "t_us", ["file_row"], DAY_US)
+        # Read by every step below; each of very many small files is opened once.
+        lean = [*keys, "t_us", "file_row", "data_type", "askbid_type", "trade_price", "trade_quantity", "bid1", "ask_qty10"]
+        ordered = source.sequence_ticks(cut_lineage(rows.select(*lean)), keys, "t_us", ["file_row"], DAY_US)
         trade = F.col("data_type") == source.TRADE_ROW
         grids.append(
             source.quote_grid(
-                ordered.withColumns({"bid1": F.get("bid_px", F.lit(0)), "ask_qty10": F.get("ask_qty", F.lit(9))}),
+                ordered,
                 keys,
                 "tick_seq",
                 is_quote=F.col("data_type") == source.QUOTE_ROW,
