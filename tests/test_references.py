@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.operators import bootstrap as boot
 from tickloom.operators.sampling import fold_assignments
 from tickloom.plans import binned, references
 from tickloom.plans.laws import decay_grid
@@ -86,6 +87,48 @@ def test_binned_bootstrap_repeats_rows_only_in_thought(spark, panel, monkeypatch
     assert len(got) == 7
 
 
+@pytest.mark.parametrize(("cells", "at_once", "at_ends"), [(4_000_000, 1_000, 200), (50, 1_000, 2), (30, 4, 1)])
+def test_binned_bootstrap_reads_the_rows_as_often_for_many_symbols(spark, panel, monkeypatch, cells, at_once, at_ends):
+    monkeypatch.setattr(binned, "DRAWN_CELLS", cells)
+    monkeypatch.setattr(binned, "REPS_AT_ONCE", at_once, raising=False)
+    monkeypatch.setattr(binned, "REPS_AT_ENDS", at_ends, raising=False)
+    monkeypatch.setattr(binned, "LEAST_SLICES", 9)
+    staged, stage = [], binned.cut_lineage
+    monkeypatch.setattr(binned, "cut_lineage", lambda df: staged.append(df) or stage(df))
+    rows = spark.createDataFrame(panel.assign(p=panel.x.round(1)))
+    order = ["symbol", "p", "y", "w", ["symbol", "seq"]]
+    members = rows.select("symbol").union(spark.createDataFrame([("s99",), (None,)], "symbol string"))  # members without rows
+    counts = boot.draw_counts(members.distinct(), [], "symbol", reps=9, seed=3)
+    given = {r.rep: r.binned_r2 for r in binned.bootstrap_binned_r2(rows, counts, *order, bins=11).collect()}
+    assert len(staged) == 6  # before, two and one more for each round of replicates
+    drawn = {r.rep: r.binned_r2 for r in binned.drawn_binned_r2(rows, members, *order, reps=9, seed=3, bins=11).collect()}
+    data = panel.assign(p=panel.x.round(1)).sort_values(["p", "symbol", "seq"])
+    times = counts.toPandas()
+    assert sorted(given) == sorted(drawn) == list(range(9))
+    for rep, own in times.groupby("rep"):
+        often = data.symbol.map(dict(zip(own.symbol, own.times))).fillna(0).astype(int)
+        copies = data.loc[data.index.repeat(often)]
+        want = binned_r2(copies.y.to_numpy(), copies.p.to_numpy(), copies.w.to_numpy(), 11)
+        assert np.isclose(given[rep], want) and np.isclose(drawn[rep], want)
+
+
+def test_binned_bootstrap_of_few_rows_and_of_large_counts(spark, monkeypatch):
+    monkeypatch.setattr(binned, "DRAWN_CELLS", 3)  # a block for each symbol
+    rows = spark.createDataFrame([(f"s{i % 3}", i, float(i % 5), float(i * i % 7), 1.0 + i % 2) for i in range(12)], "symbol string, seq long, p double, y double, w double")
+    order = ["symbol", "p", "y", "w", ["symbol", "seq"]]
+    counts = [(0, "s0", 300), (0, "s1", 2), (2, "s2", 70_000), (2, "s0", 1)]  # no draws in replicate 1
+    got = {r.rep: r.binned_r2 for r in binned.bootstrap_binned_r2(rows, spark.createDataFrame(counts, "rep long, symbol string, times long"), *order, bins=4).collect()}
+    data = rows.toPandas().sort_values(["p", "symbol", "seq"])
+    for rep in (0, 2):
+        often = data.symbol.map({s: n for r, s, n in counts if r == rep}).fillna(0).astype(int)
+        copies = data.loc[data.index.repeat(often)]
+        assert np.isclose(got[rep], binned_r2(copies.y.to_numpy(), copies.p.to_numpy(), copies.w.to_numpy(), 4))
+    assert set(got) == {0, 1, 2} and got[1] is None
+    few = binned.drawn_binned_r2(rows.limit(1), rows.select("symbol"), *order, reps=2, seed=1).collect()
+    assert [r.binned_r2 for r in few] == [None, None]
+    assert binned.drawn_binned_r2(rows.limit(0), rows.select("symbol"), *order, reps=2, seed=1).count() == 0
+
+
 def test_step_curve_and_its_odd_form(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=4000)

@@ -12,18 +12,23 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import ratio
+from tickloom.operators import bootstrap as boot
 from tickloom.operators import metrics
-from tickloom.operators.positions import range_piece
+from tickloom.operators.positions import piece_offsets, shuffled_positions
 from tickloom.operators.sampling import fold_assignments
-from tickloom.session import cut_lineage
+from tickloom.session import broadcast_if_small, cut_lineage
 
-SLICE_ROWS = 16_384
+SLICE_ROWS = 65_536  # of a slice, while there are no more than MOST_SLICES
 LEAST_SLICES = 64
-DRAWN_CELLS = 4_000_000  # replicates by symbols whose draws a task holds at a time; more go in further rounds
+MOST_SLICES = 1_024
+DRAWN_CELLS = 4_000_000  # replicates by symbols whose draws a task holds at a time
+REPS_AT_ONCE = 1_000  # replicates of a block of symbols that one task takes
+GATHERED = 256  # symbols whose draws are multiplied at a time, so that they stay in cache
+REPS_AT_ENDS = 200  # replicates whose draws one task holds for the rows of a slice in which they end a bin
 ROWS_PER_BIN = 5  # fewer rows than this a bin make fewer bins
 
 
@@ -67,87 +72,152 @@ def bootstrap_binned_r2(
 ) -> DataFrame:
     """``rep, binned_r2``: binned R squared when each row counts as often as its symbol was drawn.
 
-    ``counts`` has ``rep``, ``symbol`` and ``times``. The order is by prediction, then ``tie``, then copy. A row
-    is in one slice of that order; each slice has sums per symbol, which a replicate weighs by its draws. A
-    bin's end lies in one slice per replicate, where the rows decide; nothing else is read again.
+    ``counts`` has ``rep``, ``symbol`` and ``times``. The order is by prediction, then ``tie``, then copy.
     """
-    known = rows.na.drop(subset=[pred, y, w]).select(symbol, pred, y, w, *[t for t in tie if t != symbol])
     counts = cut_lineage(counts.select("rep", symbol, "times"))
-    members = np.array(sorted(r[0] for r in counts.select(symbol).distinct().toLocalIterator()))
+    places = cut_lineage(shuffled_positions(counts.select(symbol).distinct(), [], [symbol], 0, "_place"))
     first, last = counts.agg(F.min("rep"), F.max("rep")).first()
-    if not len(members):
-        return known.sparkSession.createDataFrame([], "rep long, binned_r2 double")
-    slices = max(LEAST_SLICES, known.count() // SLICE_ROWS)
-    order = [F.col(pred), *[F.col(t) for t in tie]]
-    # Read twice: for the sums and at the bins' ends.
-    cut = cut_lineage(known.withColumn("_slice", range_piece(known, order, slices)))
+    if first is None:
+        return rows.sparkSession.createDataFrame([], "rep long, binned_r2 double")
+    width = _block_width(rows.sparkSession, places.count(), last + 1 - first)
+    return _reweighted_r2(rows, places, boot.packed_counts(counts, places, symbol, width), width, first, last, symbol, pred, y, w, tie, bins)
+
+
+def drawn_binned_r2(
+    rows: DataFrame, members: DataFrame, symbol: str, pred: str, y: str, w: str, tie: Sequence[str], *, reps: int, seed: int | str, bins: int = 20
+) -> DataFrame:
+    """:func:`bootstrap_binned_r2` with the counts of ``draw_counts``, which are drawn in packs and never rows."""
+    distinct = cut_lineage(members.select(symbol).distinct())  # read twice
+    places = cut_lineage(shuffled_positions(distinct, [], [symbol], seed, "_place"))
+    known = places.count()
+    width = _block_width(rows.sparkSession, known, reps)
+    drawn = boot.packed_draws(rows.sparkSession, known, width, reps=reps, seed=seed)
+    return _reweighted_r2(rows, places, drawn, width, 0, reps - 1, symbol, pred, y, w, tie, bins)
+
+
+def _block_width(spark: SparkSession, members: int, reps: int) -> int:
+    """Symbols of a block: as many as a task holds the draws of, fewer where that makes too few tasks."""
+    return max(1, min(DRAWN_CELLS // min(reps, REPS_AT_ONCE), -(-members // (2 * spark.sparkContext.defaultParallelism))))
+
+
+def _reweighted_r2(rows, places, drawn, width, first, last, symbol, pred, y, w, tie, bins) -> DataFrame:
+    """Replicates ``first`` to ``last`` with the draws of blocks of symbols.
+
+    A row is in one slice of the order; each slice has sums per symbol. Sums and draws meet once, by blocks of symbols, and
+    a block gives its part of every slice and replicate. A bin's end then lies in one slice per replicate: the draws of
+    that slice's symbols in the replicates that end there are handed to its rows, which decide. There are no
+    more slices than MOST_SLICES whatever the rows, so every step grows with the rows or with the symbols; past
+    67 million rows the slices grow instead, of which a task holds one.
+    """
+    spark = rows.sparkSession
     weight = F.col(w).cast("double")
-    per_symbol = cut.groupBy("_slice", symbol).agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum(weight * F.col(y)).alias("swy"),
-        F.sum(weight * F.col(pred)).alias("swp"), F.sum(weight).alias("sw"),
+    laid = cut_lineage(
+        rows.na.drop(subset=[pred, y, w]).orderBy(F.col(pred), *[F.col(t) for t in tie])
+        .select(symbol, (weight * F.col(y)).alias("wy"), (weight * F.col(pred)).alias("wp"), weight.alias("w"), F.monotonically_increasing_id().alias("_id"))
+    ).withColumn("_piece", F.shiftright("_id", 33))
+    total = laid.count()
+    if not total or not places.limit(1).count():
+        return spark.createDataFrame([], "rep long, binned_r2 double")
+    slices = min(max(LEAST_SLICES, total // SLICE_ROWS), MOST_SLICES)
+    # One row per partition of the sorted rows.
+    offsets = F.broadcast(piece_offsets(laid, [], "_piece"))
+    place = F.col("_offset") + F.col("_id").bitwiseAND((1 << 33) - 1)
+    ordered = laid.join(offsets, "_piece").withColumn("_at", place).withColumn("_slice", F.floor(F.col("_at") * slices / total).cast("int"))
+    known = broadcast_if_small(places)
+    spot = F.col("_place") - 1
+    # Read twice: for the sums and for the draws of the slices in which bins end.
+    sums = cut_lineage(
+        ordered.groupBy("_slice", symbol).agg(
+            F.count(F.lit(1)).cast("double").alias("n"), F.sum("wy").alias("swy"), F.sum("wp").alias("swp"), F.sum("w").alias("sw")
+        ).join(known, symbol)
+        .select("_slice", F.floor(spot / width).cast("int").alias("_block"), (spot % width).cast("int").alias("_spot"), "n", "swy", "swp", "sw")
     )
-    at_once = max(1, DRAWN_CELLS // len(members))
-    rounds = [
-        _bootstrap_round(cut, per_symbol, counts, members, symbol, pred, y, w, tie, bins, lo, min(lo + at_once, last + 1))
-        for lo in range(first, last + 1, at_once)
-    ]
-    out = rounds[0]
-    for more in rounds[1:]:
-        out = out.unionByName(more)
-    return out
-
+    drawn = cut_lineage(drawn.withColumn("_part", F.floor((F.col("rep") - first) / REPS_AT_ONCE).cast("int")))
+    parts = F.explode(F.sequence(F.lit(0), F.lit((last - first) // REPS_AT_ONCE))).alias("_part")
+    keys = ["_block", "_part"]
+
+    def block_sums(key: tuple, own: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
+        low = first + key[1] * REPS_AT_ONCE
+        reps = min(REPS_AT_ONCE, last + 1 - low)
+        found, made = _by_slice(own), []
+        times = boot.unpacked(draws["rep"] - low, draws["times"], width, reps)
+        for _, part in found:
+            values, spots, held = part[["n", "swy", "swp", "sw"]].to_numpy(), part["_spot"].to_numpy(), np.zeros((reps, 4))
+            for i in range(0, len(part), GATHERED):
+                held += times[spots[i : i + GATHERED]].T.astype(float) @ values[i : i + GATHERED]
+            made.append(held)
+        out = pd.DataFrame(np.concatenate(made) if made else np.zeros((0, 4)), columns=["n", "swy", "swp", "sw"])
+        out.insert(0, "rep", np.tile(np.arange(low, low + reps), len(made)))
+        out.insert(0, "_slice", np.repeat([k for k, _ in found], reps))
+        return out
 
-def _bootstrap_round(cut, per_symbol, counts, members, symbol, pred, y, w, tie, bins, lo, hi) -> DataFrame:
-    """Replicates ``lo`` to ``hi``; their draws, at most DRAWN_CELLS, are what every task holds."""
-    drawn = np.zeros((hi - lo, len(members)), np.float32)
-    for batch in counts.filter((F.col("rep") >= lo) & (F.col("rep") < hi)).toArrow().to_batches():
-        at = np.searchsorted(members, np.array(batch.column(1).to_pylist(), members.dtype))
-        drawn[batch.column(0).to_numpy() - lo, at] = batch.column(2).to_numpy()
-    shared = cut.sparkSession.sparkContext.broadcast((members, drawn))
-
-    def columns(values: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-        """Places of symbols among the members, and which are members."""
-        known, _ = shared.value
-        at = np.minimum(np.searchsorted(known, values.to_numpy()), len(known) - 1)
-        return at, known[at] == values.to_numpy()
-
-    def slice_sums(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        at, own = columns(part[symbol])
-        sums = shared.value[1][:, at[own]].astype(float) @ part.loc[own, ["n", "swy", "swp", "sw"]].to_numpy(float)
-        made = pd.DataFrame(sums, columns=["n", "swy", "swp", "sw"])
-        made.insert(0, "rep", np.arange(lo, hi))
-        made.insert(0, "_slice", key[0])
-        return made
-
-    shape = "_slice int, rep long, n double, swy double, swp double, sw double"
-    cells = cut_lineage(per_symbol.groupBy("_slice").applyInPandas(slice_sums, shape))
+    cells = cut_lineage(
+        sums.select("*", parts).groupBy(*keys).cogroup(drawn.groupBy(*keys))
+        .applyInPandas(block_sums, "_slice int, rep long, n double, swy double, swp double, sw double")
+        .groupBy("_slice", "rep").agg(*[F.sum(c).alias(c) for c in ("n", "swy", "swp", "sw")])
+    )
     met = _with_ends(cells, ["rep"], "_slice", bins).select(
-        F.col("_slice").alias("end_slice"), "rep", "b_n", "b_swy", "b_swp", "b_sw", F.explode("inside").alias("e")
-    ).select("end_slice", "rep", "b_swy", "b_swp", "b_sw", F.col("e.j").alias("j"), (F.col("e.at") - F.col("b_n")).alias("at"))
-
-    def at_ends(part: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
-        if part.empty or ends.empty:
-            return pd.DataFrame({"rep": [], "j": [], "swy": [], "swp": [], "sw": []})
-        part = part.sort_values([pred, *tie], na_position="first")
-        at, own = columns(part[symbol])
-        part, at = part[own], at[own]
-        weight = part[w].to_numpy(float)
-        each = np.column_stack([weight * part[y].to_numpy(float), weight * part[pred].to_numpy(float), weight])
-        out = []
-        for rep, own_ends in ends.groupby("rep"):
-            times = shared.value[1][rep - lo, at].astype(float)
-            upto, sums = np.cumsum(times), np.cumsum(times[:, None] * each, axis=0)
-            for e in own_ends.itertuples():
-                k = int(np.searchsorted(upto, e.at, "left"))  # the row of which the end is a copy
-                held = sums[k] - (upto[k] - e.at) * each[k]
-                out.append((rep, e.j, e.b_swy + held[0], e.b_swp + held[1], e.b_sw + held[2]))
+        "_slice", "rep", "b_n", "b_swy", "b_swp", "b_sw", F.explode("inside").alias("e")
+    ).select("_slice", "rep", "b_swy", "b_swp", "b_sw", F.col("e.j").alias("j"), (F.col("e.at") - F.col("b_n")).alias("at"))
+    # At most replicates x bins ends. A slice's replicates go in shares, so that a task holds few draws of its rows at a time.
+    wanted = {int(k): own for k, own in met.toPandas().sort_values(["_slice", "rep", "j"]).groupby("_slice")}
+    reps_of = {k: own["rep"].unique() for k, own in wanted.items()}
+    shared = spark.sparkContext.broadcast((wanted, reps_of))
+    shares = F.broadcast(spark.createDataFrame([(k, -(-len(r) // REPS_AT_ENDS)) for k, r in reps_of.items()], "_slice int, _shares int"))
+
+    def block_draws(key: tuple, own: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
+        low, made = first + key[1] * REPS_AT_ONCE, []
+        reps = min(REPS_AT_ONCE, last + 1 - low)
+        times = boot.unpacked(draws["rep"] - low, draws["times"], width, reps)
+        for k, part in _by_slice(own):
+            for i in range(0, len(shared.value[1][k]), REPS_AT_ENDS):
+                own_reps = shared.value[1][k][i : i + REPS_AT_ENDS]
+                own_reps = own_reps[(own_reps >= low) & (own_reps < low + reps)]
+                if len(own_reps):
+                    chosen = times[part["_spot"].to_numpy()[:, None], own_reps - low]
+                    made.append(pd.DataFrame({
+                        "_slice": k, "_share": i // REPS_AT_ENDS, "_part": key[1], "_place": key[0] * width + part["_spot"] + 1, "times": [t.tobytes() for t in chosen],
+                    }))
+        shape = {"_slice": [], "_share": [], "_part": [], "_place": [], "times": []}
+        return pd.concat(made) if made else pd.DataFrame(shape)
+
+    chosen = (
+        sums.join(shares, "_slice").select("_slice", "_block", "_spot", parts).groupBy(*keys).cogroup(drawn.groupBy(*keys))
+        .applyInPandas(block_draws, "_slice int, _share int, _part int, _place long, times binary")
+    )
+    dealt = ordered.join(shares, "_slice").join(known, symbol).select(
+        "_slice", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_share"), "_at", "_place", "wy", "wp", "w"
+    )
+
+    def at_ends(key: tuple, part: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
+        part, out = part.sort_values("_at"), []
+        each, spots = part[["wy", "wp", "w"]].to_numpy(float), part["_place"].to_numpy()
+        ends = shared.value[0][key[0]]
+        reps = shared.value[1][key[0]][key[1] * REPS_AT_ENDS : (key[1] + 1) * REPS_AT_ENDS]
+        for number, own in draws.groupby("_part"):
+            own, low = own.sort_values("_place"), first + number * REPS_AT_ONCE
+            own_reps = reps[(reps >= low) & (reps < low + REPS_AT_ONCE)]
+            times = np.stack([np.frombuffer(t, f"<u{len(t) // len(own_reps)}") for t in own["times"]])  # blocks may differ in size of number
+            at = np.searchsorted(own["_place"].to_numpy(), spots)
+            for rep, own_ends in ends[ends["rep"].isin(own_reps)].groupby("rep"):
+                drawn_times = times[:, np.searchsorted(own_reps, rep)][at].astype(float)
+                upto = np.cumsum(drawn_times)
+                for e in own_ends.itertuples():
+                    k = int(np.searchsorted(upto, e.at, "left"))  # the row of which the end is a copy
+                    held = drawn_times[: k + 1] @ each[: k + 1] - (upto[k] - e.at) * each[k]
+                    out.append((rep, e.j, e.b_swy + held[0], e.b_swp + held[1], e.b_sw + held[2]))
         return pd.DataFrame(out, columns=["rep", "j", "swy", "swp", "sw"])
 
     ends = (
-        cut.groupBy("_slice").cogroup(met.groupBy("end_slice"))
+        dealt.groupBy("_slice", "_share").cogroup(chosen.groupBy("_slice", "_share"))
         .applyInPandas(at_ends, "rep long, j int, swy double, swp double, sw double")
     )
-    return r2_of_ends(ends.unionByName(_last_ends(cells, ["rep"], bins)), ["rep"])
+    made = r2_of_ends(ends.unionByName(_last_ends(cells, ["rep"], bins)), ["rep"])
+    return spark.range(first, last + 1).withColumnRenamed("id", "rep").join(made, "rep", "left")
+
+
+def _by_slice(sums: pd.DataFrame) -> list[tuple[int, pd.DataFrame]]:
+    return [(int(k), own) for k, own in sums.groupby("_slice")]
 
 
 # --- repeated k-fold -----------------------------------------------------------
