@@ -97,6 +97,15 @@ def test_links_are_exactly_the_close_prints(spark):
     assert links == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) % 2**64).bit_count() <= 2}
 
 
+@pytest.mark.parametrize("max_bits", [2, 3])
+def test_exploded_prints_are_never_broadcast(spark, max_bits):
+    """Some 33 rows a print: a table of prints below the threshold would pass through the driver many times as large."""
+    links = linked_prints(spark.range(500).select(F.xxhash64("id").alias("fp")), max_bits)
+    links.collect()
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_a_long_path(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     found = {r.node: r.component for r in components(path, "a", "b").collect()}

@@ -65,7 +65,8 @@ def linked_prints(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     ``max_bits`` bits over ``max_bits // 2 + 1`` segments leave one segment with at most one of them. Every
     print is indexed under each whole segment, and looked up under each segment and each of its variants
     with one bit set, so two prints whose segment is equal or one bit apart meet by equality, once per
-    segment. Candidates are verified on all bits.
+    segment. Candidates are verified on all bits. Both sides are exploded after they were last sized, so a
+    planner that could choose would broadcast many times what it counted; they are always merged.
     """
     pieces = max_bits // 2 + 1
     cuts = [BITS * i // pieces for i in range(pieces + 1)]
@@ -88,7 +89,7 @@ def linked_prints(prints: DataFrame, max_bits: int = 2) -> DataFrame:
         F.col("fp").alias("a"), "k.piece", "k.value"
     )
     return (
-        lookup.join(index, ["piece", "value"])
+        lookup.hint("merge").join(index.hint("merge"), ["piece", "value"])
         .filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
