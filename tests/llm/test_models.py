@@ -1,6 +1,7 @@
 """Learned operators: held-out accuracy, targets met, exact round trips; and the registered queries."""
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.conftest import prose
 from tests.oracle import compare, connect
+from tickloom.llm import components, simhash
 from tickloom.llm.mixing import drawn, fit_rates, mixed
 from tickloom.llm.pieces import MODEL, Vocabulary, _mixed, _skipped, decode, encode
 from tickloom.llm.quality import score_quality
@@ -186,6 +188,34 @@ def test_pipeline_stages_on_odd_rows(docs_of, odd_docs, tmp_path):
     assert docs.filter("NOT lossless").count() == 0
 
 
+def test_near_dedup_broadcasts_nothing_exploded(spark, docs_of, odd_docs, monkeypatch):
+    """What is exploded after it was sized is many times as large, so no broadcast of the stage may hold it."""
+    cut, plans = components.cut_lineage, []
+
+    def watched(df):
+        done = cut(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return done
+
+    monkeypatch.setattr(components, "cut_lineage", watched)
+    monkeypatch.setattr(simhash, "cut_lineage", watched)
+    corpus_pipeline.near_dedup(spark, docs_of(odd_docs), SF).collect()
+    assert any("Generate explode" in p for p in plans)
+    for lines in (p.split("\n") for p in plans):
+        for i, line in enumerate(lines):
+            if "BroadcastExchange" not in line:
+                continue
+            at, sized = len(re.match(r"[^A-Za-z]*", line)[0]), 10**9
+            for below in lines[i + 1 :]:
+                depth = len(re.match(r"[^A-Za-z]*", below)[0])
+                if depth <= at:
+                    break
+                sized = 10**9 if depth <= sized else sized
+                if sized == 10**9 and " Exchange " in below.replace("- ", "  "):
+                    sized = depth
+                assert sized < depth or "Generate explode" not in below, below
+
+
 @needs_tables
 @needs_model
 def test_pipeline_runs(spark):
