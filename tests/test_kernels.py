@@ -183,6 +183,21 @@ def test_only_chosen_files_are_read(spark, tmp_path):
     assert source.load_ticks(spark, root, levels=2).columns == loaded.columns
 
 
+def test_many_files_are_listed_and_opened_by_tasks(spark, tmp_path, monkeypatch):
+    """The same rows as through Spark's index, which then holds none of the files; odd names and absent columns too."""
+    root = f"file:{tmp_path}/raw"
+    source.write_tick_files(_raw(spark).withColumn("name", F.lit("a %20{b} c=d")), root, levels=2)
+    (tmp_path / "raw" / "20240101" / "_000009_hidden_20240101.parquet").write_text("not a table")
+    listed = source.file_manifest(spark, root)
+    assert listed.count() == 6 and not any(f.endswith("_20240101.parquet") for f in listed.inputFiles())
+    plain = source.load_ticks(spark, listed, levels=3)
+    monkeypatch.setattr(source, "INDEXED_FILES", 5)
+    many = source.load_ticks(spark, listed, levels=3)
+    assert len(plain.inputFiles()) == 6 and many.inputFiles() == []
+    assert many.dtypes == plain.dtypes and many.count() == 42
+    assert sorted(map(str, many.collect())) == sorted(map(str, plain.collect()))
+
+
 def test_a_second_write_of_a_file_replaces_it(spark, tmp_path):
     root = f"file:{tmp_path}/raw"
     for _ in range(2):

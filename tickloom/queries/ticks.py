@@ -141,9 +141,10 @@ def raw_files_to_grid(spark, sf):
     """Writes one raw file per symbol-day, then loads each day through its own part of the listed manifest."""
     root = store.scratch_path(spark, "raw")
     source.write_tick_files(_raw_days(spark, sf), root, order=("local_time", "event_id"))
-    grids = []
-    for date in ("20240101", "20240102"):
-        files = source.sole_files(source.file_manifest(spark, root, [date]))
+    grids, dates = [], ("20240101", "20240102")
+    manifest = source.file_manifest(spark, root, dates)
+    for date in dates:
+        files = source.sole_files(manifest.filter(F.col("date") == date))
         rows = source.level_arrays(source.load_ticks(spark, files)).withColumns({"bid1": F.get("bid_px", F.lit(0)), "ask_qty10": F.get("ask_qty", F.lit(9))})
         keys = ["date", "symbol"]
         # Read by every step below; each of very many small files is opened once.

@@ -7,7 +7,8 @@ with an explicit schema; projection and the row-type and session filters reach t
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from fnmatch import fnmatchcase
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -19,11 +20,15 @@ from pyspark.sql import types as T
 from tickloom.functions.clock import SESSION_END, SESSION_START, bucket_of, packed_to_micros
 from tickloom.operators.frames import CHUNK_ROWS, running_total
 from tickloom.operators.positions import positions_by_piece
+from tickloom.session import cut_lineage
 
 QUOTE_ROW, TRADE_ROW = 12, 11
 SELL_LED, BUY_LED = 1, 2
 LEVELS = 10
 FILE_PATTERN = r"([0-9A-Za-z]+)_[^/]*_([0-9]{8})\.parquet$"
+INDEXED_FILES = 1_000  # more than so many files are opened by the tasks and not kept in an index of the driver
+TASK_STORES = ("file", "hdfs")  # schemes of which tasks list and open files themselves
+ROWS_AT_ONCE = 8_192
 
 
 def raw_schema(levels: int = LEVELS) -> T.StructType:
@@ -48,10 +53,10 @@ def file_manifest(
     """``path, code, date, bytes`` of the tick files in the date folders of ``root``; no file is opened.
 
     ``dates`` names the folders to list; without it every folder directly below ``root`` is. Folders are
-    listed by Spark, as a job of their own where there are many. Files whose name does not fit
+    listed by tasks (``_listing``). Files whose name does not fit
     ``pattern`` (code, then date) are left out. A manifest can be stored and read instead of listing again.
     """
-    folders = [f"{root.rstrip('/')}/{d}" for d in dates] if dates is not None else [f"{root.rstrip('/')}/*"]
+    folders = [f"{root.rstrip('/')}/{d}" for d in dates] if dates is not None else [root.rstrip("/")]
     path = F.col("path")
     if not folders:
         return spark.createDataFrame([], "path string, code string, date string, bytes long")
@@ -85,8 +90,63 @@ def list_files(spark: SparkSession, root: str, pattern: str = FILE_PATTERN) -> D
 
 
 def _listing(spark: SparkSession, folders: list[str], glob: str) -> DataFrame:
-    """Paths and sizes; the content column is pruned, so the files stay closed."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folders)
+    """``path`` and ``length`` of the files at any depth below ``folders`` whose name fits ``glob``; none is opened.
+
+    Tasks list the folders, level by level, so that no list of files is held by the driver: only the number of
+    folders of a level reaches it. As with Spark's readers, names that begin with a dot or an underscore are
+    hidden. In a store that tasks do not open themselves, Spark's own index in the driver lists.
+    """
+    folders = [_qualified(spark, f) for f in folders]
+    if any(f.partition(":")[0] not in TASK_STORES for f in folders):
+        reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+        return reader.load(folders).select("path", "length")
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stores: dict[str, fs.FileSystem] = {}
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                store, place = _place(folder, stores)
+                seen = [
+                    (f"{folder}/{x.base_name}", x.size, x.type == fs.FileType.Directory)
+                    for x in store.get_file_info(fs.FileSelector(place))
+                    if not x.base_name.startswith(".") and ("=" in x.base_name or not x.base_name.startswith("_"))
+                    and (x.type == fs.FileType.Directory or fnmatchcase(x.base_name, glob))
+                ]
+                for i in range(0, len(seen), ROWS_AT_ONCE):
+                    columns = zip(*seen[i : i + ROWS_AT_ONCE])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.bool_()))], ["path", "length", "folder"])
+
+    level, found = spark.createDataFrame([(f,) for f in folders], "path string"), None
+    while True:
+        here = cut_lineage(level.mapInArrow(entries, "path string, length long, folder boolean"))
+        files = here.filter("NOT folder").select("path", "length")
+        found = files if found is None else found.union(files)
+        below = here.filter("folder").select("path")
+        left = below.count()
+        if not left:
+            return found
+        level = below.repartition(min(left, _tasks(spark)), "path")
+
+
+def _tasks(spark: SparkSession) -> int:
+    """Tasks that work on files is dealt over, since it is one of files and not of bytes."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of its store, which is Spark's default where it names none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
+def _place(path: str, stores: dict[str, fs.FileSystem]) -> tuple[fs.FileSystem, str]:
+    """The store of a listed path, one for each host, and the name there; characters stand for themselves."""
+    scheme, _, rest = path.partition(":")
+    host, name = ("", rest) if not rest.startswith("//") else (rest[2:].partition("/")[0], "/" + rest[2:].partition("/")[2])
+    key = f"{scheme}://{host}/"
+    if key not in stores:
+        stores[key] = fs.FileSystem.from_uri(key)[0]
+    return stores[key], name
 
 
 def eligible_symbols(
@@ -134,15 +194,21 @@ def load_ticks(
     """Rows of tick files with code, date and clock in microseconds, and ``file_row``, the place in the file.
 
     ``files`` is a manifest (rows of :func:`file_manifest`, filtered as wanted) or a root folder, of which every
-    file below is read. Of a manifest only the paths reach the driver, where Spark's own file index keeps
-    them too; files that were filtered out are neither listed nor opened. An empty manifest gives no rows.
+    file below is read. Files that were filtered out are neither listed nor opened. The paths of up to
+    ``INDEXED_FILES`` files go to Spark's reader, whose index keeps them in the driver; those of more stay
+    with the tasks, which open the files themselves. An empty manifest gives no rows.
     """
     reader = spark.read.schema(raw_schema(levels))
     if isinstance(files, str):
         raw = reader.option("recursiveFileLookup", "true").parquet(files)
     else:
-        paths = [_escaped(r.path) for r in files.select("path").toLocalIterator()]
-        raw = reader.parquet(*paths) if paths else None
+        staged = cut_lineage(files.select("path"))
+        paths = [r.path for r in staged.limit(INDEXED_FILES + 1).collect()]
+        if len(paths) > INDEXED_FILES:
+            if paths[0].partition(":")[0] in TASK_STORES:
+                return _opened_by_tasks(staged, pattern, levels)
+            paths = [r.path for r in staged.toLocalIterator()]
+        raw = reader.parquet(*map(_escaped, paths)) if paths else None
     if raw is None:
         nothing = spark.createDataFrame([], raw_schema(levels))
         return nothing.select("*", *[F.lit(None).cast(t).alias(n) for n, t in _ADDED.items()])
@@ -156,6 +222,50 @@ def load_ticks(
     )
 
 
+def _opened_by_tasks(files: DataFrame, pattern: str, levels: int) -> DataFrame:
+    """``load_ticks`` of any number of files (``path``), dealt over tasks that hold a batch of rows at a time."""
+    spark, path = files.sparkSession, F.col("path")
+    fields = raw_schema(levels).fields
+    arrow = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
+    kinds = [(f.name, arrow[f.dataType.simpleString()]) for f in fields]
+    shape = pa.schema([*kinds, ("symbol", pa.string()), ("date", pa.string()), ("file_row", pa.int64())])
+    dealt = files.select(
+        path, F.regexp_extract(path, pattern, 1).alias("symbol"), F.regexp_extract(path, pattern, 2).alias("date")
+    ).repartition(_tasks(spark), "path")
+
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
+    rows = dealt.mapInArrow(_file_rows(kinds, shape), f"{columns}, symbol string, date string, file_row long")
+    return rows.select(*[f.name for f in fields], "symbol", "date", packed_to_micros(F.col("local_time")).alias("t_us"), "file_row")
+
+
+def _file_rows(kinds: list[tuple[str, pa.DataType]], shape: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of the files named in batches of path, symbol and date; columns that a file lacks are NULL, as with Spark's reader."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stores: dict[str, fs.FileSystem] = {}
+        held, n = [], 0
+        for batch in batches:
+            for path, symbol, date in zip(*[c.to_pylist() for c in batch.columns]):
+                store, name = _place(path, stores)
+                with store.open_input_file(name) as opened:
+                    file, at = pq.ParquetFile(opened), 0
+                    have = {c.lower(): c for c in file.schema_arrow.names}
+                    wanted = [have[c.lower()] for c, _ in kinds if c.lower() in have]
+                    for part in file.iter_batches(ROWS_AT_ONCE, columns=wanted, use_threads=False):
+                        rows = part.num_rows
+                        values = [part.column(have[c.lower()]).cast(t) if c.lower() in have else pa.nulls(rows, t) for c, t in kinds]
+                        place = pa.array(range(at, at + rows), pa.int64())
+                        held.append(pa.RecordBatch.from_arrays([*values, pa.repeat(symbol, rows), pa.repeat(date, rows), place], schema=shape))
+                        at, n = at + rows, n + rows
+                        if n >= ROWS_AT_ONCE:
+                            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                            held, n = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return run
+
+
 _ADDED = {"symbol": "string", "date": "string", "t_us": "bigint", "file_row": "bigint"}
 
 
@@ -187,8 +297,7 @@ def write_keyed_files(
     spark = rows.sparkSession
     wanted, keys = list(columns), list(keys)
     lean = rows.select(*dict.fromkeys([*keys, *wanted, *order]))
-    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = lean.repartition(tasks, *keys).sortWithinPartitions(*keys, *order)
+    dealt = lean.repartition(_tasks(spark), *keys).sortWithinPartitions(*keys, *order)
     target = root if "://" in root or root.startswith("file:") else f"file://{root}"
     record = pa.schema([("path", pa.string()), *[(k, pa.string()) for k in keys], ("bytes", pa.int64())])
 
